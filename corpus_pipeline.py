@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terraweft.llm import ngram_join, quality
+from terraweft.llm import decontam, mixing, ngram_join, pii, quality
 from terraweft.session import settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +23,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.keep_one(docs, size=5, percent=80)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of ten words of a benchmark item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by pseudonyms; n_chars follows the new text."""
+    found = pii.with_pseudonyms(docs).drop("_pii")
+    return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents with the words taken of each; those of which nothing is taken go."""
+    return mixing.mixed(docs).where("taken > 0")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_stage),
     ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii_pseudonyms", pii_stage),
+    ("source_mixing", mixing_stage),
 ]
 
 ORACLE_SQL = None
