@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweft.llm import decontam, mixing, ngram_join, pii, quality
+from terraweft.llm import decontam, mixing, ngram_join, pii, quality, substring
 from terraweft.session import table
 
 
@@ -15,6 +15,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -45,6 +50,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -71,4 +77,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), low AS (SELECT h, min(doc_id) AS lowest FROM win GROUP BY h
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS g FROM win JOIN low USING (h) WHERE lowest < doc_id GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
+    CASE WHEN g IS NULL THEN w ELSE list_filter(list_transform(w, lambda x, i: CASE WHEN list_contains(g, i) THEN NULL ELSE x END), lambda x: x IS NOT NULL) END AS k
+  FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
+    "op9_benchmark_decontamination": OP9_SQL,
+}
