@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, epochs: in
                 model.learn(buckets, label)
         yield pd.DataFrame({"weights": [model.weights().astype(np.float64).tobytes()]})
 
-    found = texts.mapInPandas(vectors, "doc_id long, quality int, buckets binary").coalesce(1).mapInPandas(fit, "weights binary").collect()
+    found = texts.mapInPandas(vectors, "doc_id long, quality int, buckets binary").repartition(1).mapInPandas(fit, "weights binary").collect()
     return np.frombuffer(found[0][0]) if found else np.zeros(2**BITS + 1)
 
 
