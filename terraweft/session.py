@@ -48,5 +48,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def split_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are both shuffled for it alone: adaptive execution then splits the partition of a hot key.
+
+    small (one row a key) is written first; a side that an aggregate has partitioned already could not be split.
+    """
+    return big.join(settle(small, "side"), on, how)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
