@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from terraweft.llm.common import salted_lookup, shingles
 from terraweft.operators.graph import connected_components
-from terraweft.session import settle
+from terraweft.session import discard, settle, split_join
 
 #: Share of the hash order that the probe reads.
 PROBE_SHARE = 0.4
@@ -230,7 +230,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     probed = max(1, round(PROBE_SHARE * fragments))
     schema = "kind int, doc_id long, cls binary, n long, toks binary"
     read = settle(docs.mapInPandas(_probe_rows(size, fragments, probed), schema), "probe")
-    stats = read.where("kind = -1").select("doc_id", "cls", "n")
+    stats = settle(read.where("kind = -1").select("doc_id", "cls", "n"), "stats")
     classes = settle(stats.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
     # Probe: sets with few enough shingles that are theirs alone.
@@ -240,6 +240,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     slack = F.expr(f"n - (n * {percent} + 99) div 100")
     near = classes.where("n > 0 and rep is not null").join(lone, "cls", "left").where(F.coalesce("unshared", F.lit(0)) <= slack)
     near = settle(near.select("cls", F.col("rep").alias("doc_id")), "near")
+    discard(read)
     texts = docs.join(near.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     found = texts.mapInPandas(_sets(size), "node long, cls binary, n long, toks array<long>").where("n > 0")
     sets = settle(found.join(near.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
@@ -247,7 +248,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     # Prefix filter: the rarest shingles of a set, of those that another set holds too.
     tokens = sets.select("cls", "node", "n", F.explode("toks").alias("tok"))
     often = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    shared = salted_lookup(tokens, often, "tok", "cls", how="inner")
+    shared = split_join(tokens, often, "tok")
     by_set = Window.partitionBy("cls")
     shared = shared.withColumn("k", F.row_number().over(by_set.orderBy("df", "tok"))).withColumn("held", F.count("*").over(by_set))
     prefix = shared.where(F.col("k") <= slack + 1 - (F.col("n") - F.col("held")))
@@ -256,7 +257,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     postings = prefix.select("node", "n", F.explode(F.array(octave, octave + 1)).alias("octave"), "tok")
     postings = settle(postings.select("node", F.xxhash64("tok", "octave").alias("spot")), "postings")
     spots = postings.groupBy("spot").agg(F.min("node").alias("src"), F.max("node").alias("top")).where("src <> top")
-    met = salted_lookup(postings, spots.select("spot", "src"), "spot", "node", how="inner").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
+    met = split_join(postings, spots.select("spot", "src"), "spot").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
     clusters = settle(connected_components(met).select("node", F.col("component").alias("cluster")), "clusters")
 
     # Overlap: block pairs of each cluster.
