@@ -42,13 +42,6 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * _ODD[0] + b * _ODD[1] + _ODD[2])
 
 
-def salted_semi(big: DataFrame, small: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
-    """big's rows whose key is in small (distinct keys); a hot key's rows are dealt over `salts` partitions."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.select(key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left_semi").drop("_salt")
-
-
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column | str, salts: int = 16, how: str = "left") -> DataFrame:
     """big joined with small (one row a key); a hot key's rows are dealt over `salts` partitions."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraweft.llm.common import pair_hash, salted_lookup, salted_semi, word_hashes
-from terraweft.session import settle, shuffle_width
+from terraweft.llm.common import pair_hash, salted_lookup, word_hashes
+from terraweft.session import settle, shuffle_width, split_join
 
 WINDOW, ANCHOR = 50, 25
 BUCKET_CHARS = 6_000_000
@@ -189,7 +189,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     phrases = stats.where("doc_id is not null and size(chosen) > 0 and (first is null or doc_id = first)").select("doc_id", F.explode("chosen").alias("phrase"))
     recurring = phrases.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    held = salted_semi(phrases, recurring, "phrase", "doc_id").groupBy("doc_id").agg(F.collect_set("phrase").alias("chosen"))
+    held = split_join(phrases, recurring, "phrase", "left_semi").groupBy("doc_id").agg(F.collect_set("phrase").alias("chosen"))
     texts = docs.where("doc_id is not null").join(held.hint("shuffle_hash"), "doc_id").withColumn("chars", F.length("text"))
     texts = settle(texts, "texts")
     chars = texts.agg(F.sum("chars")).first()[0] or 0
