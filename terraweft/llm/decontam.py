@@ -15,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
@@ -133,6 +134,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     return merged
 
 
+def _clean(sent: Broadcast, key: str, share: float) -> Callable[[str], Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        if key not in _compiled:
+            _compiled.clear()
+            _compiled[key] = automaton(sent.value)
+        out = []
+        for t in texts:
+            many, words, _ = hits(_compiled[key], sent.value, t)
+            out.append(len(words) <= share * many)
+        return pd.Series(out, dtype=bool)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = 0.0) -> DataFrame:
     """docs without the rows of which more than `share` of the words are hit; columns are docs'.
 
@@ -143,16 +159,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
         sent = docs.sparkSession.sparkContext.broadcast(patterns)
         key = hashlib.sha1(repr(patterns).encode("utf-8", "surrogatepass")).hexdigest()
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent, key=key) -> pd.Series:
-            if key not in _compiled:
-                _compiled.clear()
-                _compiled[key] = automaton(sent.value)
-            out = []
-            for t in texts:
-                many, words, _ = hits(_compiled[key], sent.value, t)
-                out.append(len(words) <= share * many)
-            return pd.Series(out, dtype=bool)
-
-        kept = kept.where(clean("text"))
+        kept = kept.where(_clean(sent, key, share)("text"))
     return kept
