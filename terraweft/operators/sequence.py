@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -14,23 +17,25 @@ def in_order(*keys: str, by: str = "seq") -> WindowSpec:
 def distance_trigger(df: DataFrame, key: str, order: str, east: str, north: str, interval: float) -> DataFrame:
     """Rows at least `interval` from the last kept row of their key; the first row is kept.
 
-    The state is one row and depends on what was kept, so no window frame expresses it; a fold over each key's
-    rows in order does, with one struct a row: (order, east, north). A key is one session, whose rows are one flight.
+    The state depends on what was kept, so no window frame expresses it. Keys are dealt to partitions and sorted there; a
+    task streams its rows and holds one kept position, so that a key of any length needs no memory of its own.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, east, north))).alias("rows"))
-    kind = f"array<struct<{order}:{dict(df.dtypes)[order]},{east}:double,{north}:double>>"
-
-    def step(acc: Column, r: Column) -> Column:
-        far = F.hypot(r[east] - acc["last"][east], r[north] - acc["last"][north]) >= interval
-        keep = acc["last"].isNull() | far
-        return F.struct(
-            F.when(keep, r).otherwise(acc["last"]).alias("last"),
-            F.when(keep, F.concat(acc["kept"], F.array(r))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    start = F.struct(F.lit(None).cast(kind[6:-1]).alias("last"), F.array().cast(kind).alias("kept"))
-    kept = rows.select(key, F.explode(F.aggregate("rows", start, step)["kept"]).alias("k"))
-    return kept.select(key, f"k.{order}", f"k.{east}", f"k.{north}")
+    kinds = dict(df.dtypes)
+    limit = interval * interval
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, e0, n0 = None, 0.0, 0.0
+        for b in batches:
+            keep = []
+            for k, e, n in zip(b[key].tolist(), b[east].tolist(), b[north].tolist(), strict=True):
+                far = k != last_key or (e - e0) * (e - e0) + (n - n0) * (n - n0) >= limit
+                if far:
+                    last_key, e0, n0 = k, e, n
+                keep.append(far)
+            yield b[keep]
+
+    rows = df.select(key, order, east, north).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {east} double, {north} double")
 
 
 def filled_forward(value: Column, order: WindowSpec, default: float = 0.0) -> Column:
