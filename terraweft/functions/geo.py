@@ -141,15 +141,25 @@ def segment_cut(ax: Column, ay: Column, bx: Column, by: Column, c: Point, d: Poi
 
 def general_number(x: Column, digits: int = 12) -> Column:
     """A double as printf's %.<digits>g writes it: significant digits, no trailing zeros, an exponent where it is long."""
-    text = F.format_string(f"%.{digits - 1}e", x)
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)e", 1), r"\.", "")
-    power = F.regexp_extract(text, r"e([+-][0-9]+)$", 1).cast("int")
-    short = F.regexp_replace(mantissa, "0+$", "")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), short)
-    padded = F.rpad(short, F.greatest(power + 1, F.length(short)), "0")
-    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.when(F.length(short) > power + 1, F.concat(F.lit("."), F.substring(padded, power + 2, F.length(padded)))).otherwise(""))
-    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))
-    long = F.concat(F.substring(short, 1, 1), F.when(F.length(short) > 1, F.concat(F.lit("."), F.substring(short, 2, 20))).otherwise(""), tail)
-    body = F.when(x == 0, "0").when((power < -4) | (power >= digits), long).when(power < 0, small).otherwise(large)
-    return F.concat(F.when(x == 0, "").otherwise(sign), body)
+
+    def written(p: Column) -> Column:
+        short, power = p["short"], p["power"]
+        size = F.length(short)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), short)
+        whole = F.rpad(short, F.greatest(power + 1, size), "0")
+        large = F.rtrim(F.concat_ws(".", F.substring(whole, F.lit(1), power + 1), F.when(size > power + 1, F.substring(whole, power + 2, size))))
+        tail = F.format_string("e%s%02d", F.when(power < 0, "-").otherwise("+"), F.abs(power))
+        long = F.concat(F.concat_ws(".", F.substring(short, 1, 1), F.when(size > 1, F.substring(short, F.lit(2), size))), tail)
+        body = F.when((power < -4) | (power >= digits), long).when(power < 0, small).otherwise(large)
+        return F.when(short == "", "0").otherwise(F.concat(p["sign"], body))
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
+            F.regexp_replace(F.regexp_replace(F.split_part(text, F.lit("e"), F.lit(1)), "[-.]", ""), "0+$", "").alias("short"),
+            F.split_part(text, F.lit("e"), F.lit(2)).cast("int").alias("power"),
+        )
+
+    # Arrays of one element bind a value to a name, so that it is computed once.
+    found = F.transform(F.array(F.format_string(f"%.{digits - 1}e", x)), parts)
+    return F.transform(found, written)[0]
