@@ -47,3 +47,14 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column | s
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> DataFrame:
+    """The rows with the smallest seeded hash of key, at most `rows` of them.
+
+    All but about two times as many are ruled out where they are read, so that what is ordered does not grow with df.
+    """
+    share = min(1.0, (2.0 * rows + 100) / max(1, df.count()))
+    order = F.xxhash64(F.lit(seed), key)
+    part = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
+    return df.where(part).orderBy(F.pmod(order, F.lit(1 << 30)), order, key).limit(rows)

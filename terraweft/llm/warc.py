@@ -16,7 +16,6 @@ empty table writes no archive; a very long page is an archive of its own size.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -24,25 +23,27 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow.fs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweft.llm.common import salted_lookup
+from terraweft.llm.common import bounded_sample, salted_lookup
 from terraweft.session import settle, shared_folder
 
 #: Fixed value: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32_000_000
-DICTIONARY_BYTES, DICTIONARY_PAGES = 65_536, 400
+#: The dictionary's size, and how many pages of what length it is trained on at most.
+DICTIONARY_BYTES, DICTIONARY_PAGES, DICTIONARY_CHARS = 65_536, 400, 40_000
 LEVEL = 3
 _REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest")
 
 
 def trained_dictionary(pages: DataFrame) -> bytes:
     """From a bounded sample; pages too few or too short to train on give an empty dictionary."""
-    chosen = pages.where("html is not null").orderBy(F.xxhash64(F.lit("dictionary"), "page_id"), "page_id").limit(DICTIONARY_PAGES).select("html")
-    samples = [r.html.encode("utf-8", "surrogatepass")[:100_000] for r in chosen.collect()]
+    chosen = bounded_sample(pages.where(F.length("html") <= DICTIONARY_CHARS), "page_id", DICTIONARY_PAGES, "dictionary").select("html")
+    samples = [r.html.encode("utf-8", "surrogatepass") for r in chosen.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -84,14 +85,14 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def archive(records: Iterator[bytes], dictionary: bytes) -> bytes:
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=True, write_checksum=True)
-    out = io.BytesIO()
-    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-    for r in records:
-        out.write(press.compress(r))
-    return out.getvalue()
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=True, write_checksum=True)
+
+
+def leading_frame(dictionary: bytes) -> bytes:
+    """The skippable frame that every archive begins with."""
+    return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -127,35 +128,43 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
-    """Writes every page to archives in folder and returns (archive, records) of the files written."""
-    marked = with_revisits(pages)
-    total = pages.agg(F.sum(F.length("html"))).first()[0] or 0
-    many = max(1, -(-total // ARCHIVE_BYTES))
-    marked = marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    dealt = marked.withColumn("archive", F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(many)).cast("int"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        number = int(group.archive.iloc[0])
-        rows = group.sort_values(["page_id", "payload_digest"], kind="stable")
-
-        def each() -> Iterator[bytes]:
-            for r in rows.itertuples(index=False):
-                page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
-                block = b"" if refers is not None or not isinstance(r.html, str) else r.html.encode("utf-8", "surrogatepass")
-                yield record("response" if refers is None else "revisit", page_id, r.url, r.payload_digest, int(r.payload_bytes), refers, block)
+    """Writes every page to archives in folder and returns (archive, records) of the files written.
+
+    The partitions of the join by digest are sorted and streamed into archives of about ARCHIVE_BYTES, so that pages move
+    once and a task holds one archive. Names follow from the partition and the order within it.
+    """
+    marked = with_revisits(pages).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
 
-        data = archive(each(), dictionary)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        name = f"{path}/part-{number:06d}.warc.zst"
-        passing = f"{path}/.{number:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(passing) as out:
-            out.write(data)
-        store.move(passing, name)
-        return pd.DataFrame({"archive": [name.rsplit("/", 1)[1]], "records": [len(rows)]})
-
-    return settle(dealt.groupBy("archive").applyInPandas(run, "archive string, records long"), "archives")
+        part = TaskContext.get().partitionId()
+        press = compressor(dictionary)
+        held, size, number = [leading_frame(dictionary)], 0, 0
+
+        def written() -> pd.DataFrame:
+            name, passing = f"{path}/part-{part:06d}-{number:04d}.warc.zst", f"{path}/.{part:06d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(passing) as out:
+                for piece in held:
+                    out.write(piece)
+            store.move(passing, name)
+            return pd.DataFrame({"archive": [name.rsplit("/", 1)[1]], "records": [len(held) - 1]})
+
+        for b in batches:
+            for r in b.itertuples(index=False):
+                page_id = None if pd.isna(r.page_id) else int(r.page_id)
+                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
+                block = b"" if refers is not None or not isinstance(r.html, str) else r.html.encode("utf-8", "surrogatepass")
+                held.append(press.compress(record("response" if refers is None else "revisit", page_id, r.url, r.payload_digest, int(r.payload_bytes), refers, block)))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield written()
+                    held, size, number = held[:1], 0, number + 1
+        if len(held) > 1:
+            yield written()
+
+    columns = ("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
+    return settle(marked.select(*columns).sortWithinPartitions("page_id", "payload_digest").mapInPandas(run, "archive string, records long"), "archives")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
