@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraweft.llm.common import bounded_sample
+
 LEARN_PAGES = 2_000
 BUCKETS = 4096
 #: Added to each count; small, as a kind that is never seen as content is strong evidence.
@@ -247,7 +249,7 @@ class Model:
 
 def train(pages: DataFrame, rows: int = LEARN_PAGES) -> Model:
     """Counts of the bounded sample, summed by key, and of the examples."""
-    chosen = pages.where("html is not null").orderBy(F.xxhash64(F.lit("learn"), "page_id"), "page_id").limit(rows).select("html")
+    chosen = bounded_sample(pages.where("html is not null"), "page_id", rows, "learn").select("html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraweft.llm.common import bounded_sample
+
 BITS = 18
 #: Learning reads at most so many labelled rows (those with the smallest seeded hash of doc_id).
 LEARN_ROWS = 12_000
@@ -87,8 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, epochs: in
     """The weight vector, learned by one task from a bounded sample of the rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = F.xxhash64(F.lit("learn"), "doc_id")
-    chosen = known.orderBy(order, "doc_id").limit(rows)
+    chosen = bounded_sample(known, "doc_id", rows, "learn")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
