@@ -22,7 +22,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,8 @@ from terraweft.session import discard, settle, split_join
 #: Share of the hash order that the probe reads.
 PROBE_SHARE = 0.4
 #: Shingles that a task holds at once in the probe, and about as many a fragment.
-CHUNK = 1_500_000
-FRAGMENT = 4_000_000
+CHUNK = 1_000_000
+FRAGMENT = 1_000_000
 #: Sets and shingles in a block of the overlap step.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 SLICE = 4096
@@ -47,87 +49,97 @@ def _slack(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (n * percent + 99) // 100
 
 
-def _probe_rows(size: int, fragments: int, probed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows of kind -1 (a document), -2 (what a chunk has counted of a set) and 0 up (a set's segment in a fragment)."""
+_PROBE = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("chunk", pa.int64()), ("toks", pa.binary()), ("owners", pa.binary())])
+_PROBE_DDL = "kind int, doc_id long, n long, key binary, chunk long, toks binary, owners binary"
+
+
+def _probe_rows(size: int, fragments: int, probed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of kind -1 (a document: doc_id, n, its set's digest as key), -2 (a chunk: the digests of its sets as key) and 0 up
+    (a chunk's part of a fragment: shingles of one of its sets each, set by set, owners telling how many of which set,
+    and as key the shingles that several of its sets hold)."""
     step = -(-(1 << 64) // fragments)
     bounds = np.array([min(i * step, (1 << 64) - 1) for i in range(probed + 1)], dtype=np.uint64)
 
-    def counted(chunk: list[tuple[bytes, int, np.ndarray]]) -> Iterator[tuple]:
-        every = np.concatenate([t for *_, t in chunk])
-        owner = np.repeat(np.arange(len(chunk)), [len(t) for *_, t in chunk])
+    def counted(chunk: list[tuple[bytes, np.ndarray]], number: int) -> Iterator[tuple]:
+        yield -2, None, None, b"".join(c for c, _ in chunk), number, None, None
+        every = np.concatenate([t for _, t in chunk])
+        owner = np.repeat(np.arange(len(chunk), dtype=np.int32), [len(t) for _, t in chunk])
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         first = np.append(True, every[1:] != every[:-1]) if len(every) else np.empty(0, bool)
         single = first & np.append(first[1:], True) if len(every) else first
-        lone, lone_of = every[single], owner[single]
-        many = every[first & ~single]
+        lone, lone_of, many = every[single], owner[single], every[first & ~single]
         for f in range(probed):
             lo, hi = np.searchsorted(lone, bounds[f : f + 2])
-            a, b = np.searchsorted(many, bounds[f : f + 2])
-            if b > a:
-                yield f, None, b"", 0, many[a:b].tobytes()
-            part, whose = lone[lo:hi], lone_of[lo:hi]
-            order = np.argsort(whose, kind="stable")
-            part, whose = part[order], whose[order]
-            cuts = np.flatnonzero(np.diff(whose)) + 1
-            for seg, at in zip(np.split(part, cuts), np.append(0, cuts) if len(part) else [], strict=False):
-                yield f, None, chunk[whose[at]][0], chunk[whose[at]][1], seg.tobytes()
+            c, d = np.searchsorted(many, bounds[f : f + 2])
+            if hi > lo or d > c:
+                by = np.argsort(lone_of[lo:hi], kind="stable")
+                whose, count = np.unique(lone_of[lo:hi], return_counts=True)
+                yield f, None, None, many[c:d].tobytes(), number, lone[lo:hi][by].tobytes(), np.stack([whose, count.astype(np.int32)]).tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in _PROBE]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PROBE, strict=True)], schema=_PROBE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         chunk: list = []
-        held = 0
-        names = ["kind", "doc_id", "cls", "n", "toks"]
-
-        def frame(rows: list) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
+        held, number = 0, TaskContext.get().partitionId() << 32
         for b in batches:
             out: list = []
-            for doc_id, text in zip(b.doc_id, b.text, strict=True):
-                s = shingles(text, size)
+            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                s = shingles(text.as_py(), size)
                 cls = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((-1, None if pd.isna(doc_id) else int(doc_id), cls, len(s), None))
+                out.append((-1, doc_id.as_py(), len(s), cls, None, None, None))
                 if len(s) and cls not in seen:
                     seen.add(cls)
-                    chunk.append((cls, len(s), s[: np.searchsorted(s, bounds[-1])]))
-                    held += len(chunk[-1][2])
+                    chunk.append((cls, s[: np.searchsorted(s, bounds[-1])].copy()))
+                    held += len(chunk[-1][1])
                     if held >= CHUNK:
-                        out += counted(chunk)
-                        chunk, held = [], 0
-                if len(out) >= 20_000:
-                    yield frame(out)
-                    out = []
-            yield frame(out)
+                        for row in counted(chunk, number):
+                            yield batch([row])
+                        chunk, held, number = [], 0, number + 1
+            yield batch(out)
         if chunk:
-            yield frame(list(counted(chunk)))
+            for row in counted(chunk, number):
+                yield batch([row])
 
     return run
 
 
 def _unshared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one fragment: how many shingles of each set no other set holds."""
-    parts = {}
-    shared = []
-    for cls, n, toks in zip(group.cls, group.n, group.toks, strict=True):
-        if len(cls):
-            parts[cls] = (n, np.frombuffer(toks, np.uint64))
-        else:
-            shared.append(np.frombuffer(toks, np.uint64))
-    keys = list(parts)
-    every = np.concatenate([parts[k][1] for k in keys]) if keys else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(keys)), [len(parts[k][1]) for k in keys])
-    order = np.argsort(every)
-    every, owner = every[order], owner[order]
-    first = np.append(True, every[1:] != every[:-1]) if len(every) else np.empty(0, bool)
-    single = first & np.append(first[1:], True) if len(every) else first
-    known = np.unique(np.concatenate(shared)) if shared else np.empty(0, np.uint64)
-    at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
-    if len(known):
-        single = single & (known[at] != every)
-    count = np.bincount(owner[single], minlength=len(keys))
-    some = np.flatnonzero(count)
-    return pd.DataFrame({"cls": [keys[i] for i in some], "unshared": count[some]})
+    """Of one fragment: for each chunk, how many shingles of which of its sets no other set holds."""
+    parts = [np.frombuffer(t, np.uint64) for t in group.toks]
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    ranked = every[order]
+    first = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.empty(0, bool)
+    alone = first & np.append(first[1:], True) if len(ranked) else first
+    known = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in group.key]))
+    if len(known) and len(ranked):
+        alone &= known[np.minimum(np.searchsorted(known, ranked), len(known) - 1)] != ranked
+    single = np.empty(len(every), bool)
+    single[order] = alone
+    counts, owners, at = [], [], 0
+    for t, o in zip(parts, group.owners, strict=True):
+        whose, many = np.frombuffer(o, np.int32).reshape(2, -1)
+        ends = np.cumsum(many)
+        total = np.append(0, np.cumsum(single[at : at + len(t)]))
+        at += len(t)
+        counts.append((total[ends] - total[ends - many]).astype(np.int32).tobytes())
+        owners.append(whose.tobytes())
+    return pd.DataFrame({"chunk": group.chunk.to_numpy(), "owners": owners, "counts": counts})
+
+
+def _summed(listing: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """Of one chunk: its sets' digests with the sums of what the fragments have counted."""
+    if not len(listing):
+        return pd.DataFrame({"cls": [], "unshared": []})
+    key = listing.key.iloc[0]
+    total = np.zeros(len(key) // 16, np.int64)
+    for o, c in zip(found.owners, found.counts, strict=True):
+        total[np.frombuffer(o, np.int32)] += np.frombuffer(c, np.int32)
+    return pd.DataFrame({"cls": [key[16 * i : 16 * i + 16] for i in range(len(total))], "unshared": total})
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -212,11 +224,16 @@ def _block_links(percent: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     return run
 
 
-def _sets(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("node", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("toks", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t, size) for t in b.text]
-            yield pd.DataFrame({"node": b.doc_id, "cls": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "n": [len(s) for s in found], "toks": [s.view(np.int64) for s in found]})
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                found = [shingles(t.as_py(), size) for t in part.column(1)]
+                columns = [part.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in found], [len(s) for s in found], [s.view(np.int64) for s in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -228,21 +245,22 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(8, -(-chars // (6 * FRAGMENT)))
     probed = max(1, round(PROBE_SHARE * fragments))
-    schema = "kind int, doc_id long, cls binary, n long, toks binary"
-    read = settle(docs.mapInPandas(_probe_rows(size, fragments, probed), schema), "probe")
-    stats = settle(read.where("kind = -1").select("doc_id", "cls", "n"), "stats")
+    read = settle(docs.mapInArrow(_probe_rows(size, fragments, probed), _PROBE_DDL), "probe")
+    stats = settle(read.where("kind = -1").select("doc_id", F.col("key").alias("cls"), "n"), "stats")
     classes = settle(stats.groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    # Probe: sets with few enough shingles that are theirs alone.
-    width = max(probed, 1)
-    lone = read.where("kind >= 0").repartition(width, "kind").groupBy("kind").applyInPandas(_unshared, "cls binary, unshared long")
-    lone = lone.groupBy("cls").agg(F.sum("unshared").alias("unshared"))
+    # Probe: sets with few enough shingles that are theirs alone. A set that several tasks have read is judged by any of them:
+    # its shingles are then shared, at least by its copies, and the smallest count is taken.
+    found = read.where("kind >= 0").groupBy("kind").applyInPandas(_unshared, "chunk long, owners binary, counts binary")
+    listing = read.where("kind = -2").select("chunk", "key")
+    lone = listing.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(_summed, "cls binary, unshared long")
+    lone = lone.groupBy("cls").agg(F.min("unshared").alias("unshared"))
     slack = F.expr(f"n - (n * {percent} + 99) div 100")
     near = classes.where("n > 0 and rep is not null").join(lone, "cls", "left").where(F.coalesce("unshared", F.lit(0)) <= slack)
     near = settle(near.select("cls", F.col("rep").alias("doc_id")), "near")
     discard(read)
     texts = docs.join(near.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    found = texts.mapInPandas(_sets(size), "node long, cls binary, n long, toks array<long>").where("n > 0")
+    found = texts.mapInArrow(_sets(size), "node long, cls binary, n long, toks array<long>").where("n > 0")
     sets = settle(found.join(near.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     # Prefix filter: the rarest shingles of a set, of those that another set holds too.
