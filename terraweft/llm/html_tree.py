@@ -172,8 +172,8 @@ def examples() -> list[str]:
     kinds += [f"<div class='{w}'>{other}</div>" for w in sorted(OTHER_WORDS)] + [f"<div role='{r}'>{other}</div>" for r in sorted(OTHER_ROLES)]
     pages = []
     for k in kinds:
-        pages.append(f"<html><head><title>t</title></head><body>{k}<article>{body}{k}{body}</article>{k}</body></html>")
-        pages.append(f"<html><body><div>{k}<main><div>{body}</div>{k}</main></div></body></html>")
+        pages.append(f"<html><head><title>t</title></head><body>{k}<article>{body}{k}<div><div>{body}</div></div></article>{k}</body></html>")
+        pages.append(f"<html><body><div>{k}<main><div><div><div>{body}</div></div></div>{k}</main></div></body></html>")
     return pages
 
 

@@ -80,7 +80,8 @@ def apportioned(parties: DataFrame, group: list[str], claim: str, seats: str, ke
 def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """docs with the columns size, source_size, target and taken (replaced if docs has them)."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*own).withColumn("size", words(F.col("text")))
+    # The row travels as one struct, so that no column of docs meets one of the names below.
+    sized = docs.select(F.struct(*own).alias("_row"), F.col("doc_id"), F.col("text"), F.col("source")).withColumn("size", words(F.col("text")))
     tie = F.xxhash64(F.lit(seed), "doc_id", "text")
     # Per source and fine shard first: one small row for each of at most 4096 parts of a source, however large.
     fine = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(4096)).cast("int")
@@ -108,7 +109,7 @@ def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int
     quotas = quotas.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), "shard", "shard_size", F.least(F.col("quota") * block, F.col("shard_size") * repeats).alias("quota"))
     quotas = settle(quotas, "quotas")
 
-    placed = with_source(sized.withColumn("_fine", fine).withColumn("_tie", tie), ["source_size", "target", "shards"])
+    placed = with_source(sized.withColumn("_fine", fine).withColumn("_tie", tie).drop("text"), ["source_size", "target", "shards"])
     placed = placed.withColumn("_shard", F.col("_fine") % F.col("shards"))
     seeded = Window.partitionBy("source", "_shard").orderBy("_tie", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("size").over(seeded)).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
@@ -117,4 +118,4 @@ def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int
     rest = F.col("quota") - rounds * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
     taken = F.when(F.col("size") > 0, rounds * F.col("size") + part).otherwise(F.lit(0))
-    return full.select(*own, "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return full.select("_row.*", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))

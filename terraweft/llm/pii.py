@@ -189,5 +189,6 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     pieces = F.when(F.size("_found") > 0, F.split("text", ANY, -1))
     new = F.transform("_found", lambda x: pseudonym(x, key))
     joined = F.when(F.size("_found") > 0, F.concat(F.array_join(F.zip_with(F.slice("_pieces", 1, F.size("_found")), "_new", lambda p, n: F.concat(p, n)), ""), F.element_at("_pieces", -1))).otherwise(F.col("text"))
-    held = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_pieces", pieces).withColumn("_new", new)
-    return held.withColumn("text", joined).withColumn("_pii", F.transform("_found", kind_of)).drop("_found", "_pieces", "_new")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), "text").withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_pieces", pieces).withColumn("_new", new)
+    held = held.withColumn("_text", joined)
+    return held.select(*((F.col("_text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns), F.transform("_found", kind_of).alias("_pii"))

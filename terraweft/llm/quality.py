@@ -125,5 +125,5 @@ def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score threshold or more, with docs' columns; learn_from has the labelled texts."""
-    kept = with_scores(docs.withColumnRenamed("score", "_score_in"), train(learn_from, labels)).where(F.col("score") >= threshold)
-    return kept.drop("score").withColumnRenamed("_score_in", "score").select(*docs.columns)
+    held = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return with_scores(held, train(learn_from, labels)).where(F.col("score") >= threshold).select("_row.*")
