@@ -82,10 +82,10 @@ def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     # The row travels as one struct, so that no column of docs meets one of the names below.
     sized = docs.select(F.struct(*own).alias("_row"), F.col("doc_id"), F.col("text"), F.col("source")).withColumn("size", words(F.col("text")))
-    tie = F.xxhash64(F.lit(seed), "doc_id", "text")
+    tie = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
     # Per source and fine shard first: one small row for each of at most 4096 parts of a source, however large.
-    fine = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(4096)).cast("int")
-    parts = settle(sized.withColumn("_fine", fine).groupBy("source", "_fine").agg(F.sum("size").alias("size")), "parts")
+    sized = sized.withColumn("_tie", tie).withColumn("_fine", F.conv(F.substring("_tie", 30, 3), 16, 10).cast("int")).drop("text")
+    parts = settle(sized.groupBy("source", "_fine").agg(F.sum("size").alias("size")), "parts")
     aimed = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")))
     total = parts.agg(F.sum("size")).first()[0] or 0
     seats = aimed.withColumn("seats", F.lit(-(-total // block)).cast("long"))
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int
     quotas = quotas.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none"), "shard", "shard_size", F.least(F.col("quota") * block, F.col("shard_size") * repeats).alias("quota"))
     quotas = settle(quotas, "quotas")
 
-    placed = with_source(sized.withColumn("_fine", fine).withColumn("_tie", tie).drop("text"), ["source_size", "target", "shards"])
+    placed = with_source(sized, ["source_size", "target", "shards"])
     placed = placed.withColumn("_shard", F.col("_fine") % F.col("shards"))
     seeded = Window.partitionBy("source", "_shard").orderBy("_tie", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_end", F.sum("size").over(seeded)).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())

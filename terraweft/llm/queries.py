@@ -152,7 +152,56 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, concat(len(w), ' words: ', array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)
+), e AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l
+), reach(node, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen
+), c AS (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws('|', '20240601', CAST(doc_id AS VARCHAR), coalesce(text, ''))) AS tie FROM documents
+), f AS (SELECT *, CAST(concat('0x', substr(tie, 30, 3)) AS BIGINT) AS fine FROM d
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s
+), c AS (SELECT *, sum(cap) OVER before AS full_cap, sum(weight) OVER before AS full_weight, sum(weight) OVER () AS all_weight FROM w
+  WINDOW before AS (ORDER BY cap * 1e0 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), v AS (SELECT *, CAST(total - coalesce(full_cap, 0) AS BIGINT) / CAST(all_weight - coalesce(full_weight, 0) AS BIGINT) AS level FROM c
+), x AS (SELECT *, (SELECT arg_min(level, cap * 1e0 / weight) FROM v WHERE level * weight <= cap) AS fixed FROM v
+), t AS (SELECT source, source_size, total, least(cap * 1e0, coalesce(fixed * weight, cap * 1e0)) AS target, CAST(ceil(total / 64e0) AS BIGINT) AS seats FROM x
+), q AS (SELECT source, n, row_number() OVER (ORDER BY target / (2 * n + 1) DESC, source NULLS LAST, n) AS rank, seats FROM (SELECT *, unnest(range(0, seats)) AS n FROM t WHERE target > 0)
+), b AS (SELECT source, count(*) AS blocks FROM q WHERE rank <= seats GROUP BY source
+), k AS (SELECT t.source, t.source_size, t.target, coalesce(blocks, 0) AS blocks, CAST(pow(2, least(12, greatest(0, ceil(log2(greatest(t.source_size, 1) / 400000e0))))) AS BIGINT) AS shards FROM t LEFT JOIN b ON b.source IS NOT DISTINCT FROM t.source
+), g AS (SELECT f.doc_id, f.size, f.source, f.tie, k.source_size, k.target, k.blocks, f.fine % k.shards AS shard FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source
+), h AS (SELECT source, blocks, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM g GROUP BY source, blocks, shard
+), r AS (SELECT source, shard, blocks, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * n + 1) DESC, shard, n) AS rank FROM (SELECT *, unnest(range(0, blocks)) AS n FROM h WHERE shard_size > 0)
+), u AS (SELECT h.source, h.shard, h.shard_size, least(64 * count(r.rank), 3 * h.shard_size) AS quota FROM h LEFT JOIN r ON r.source IS NOT DISTINCT FROM h.source AND r.shard = h.shard AND r.rank <= r.blocks GROUP BY h.source, h.shard, h.shard_size
+), o AS (SELECT g.*, u.shard_size, u.quota, sum(g.size) OVER (PARTITION BY g.source, g.shard ORDER BY g.tie, g.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM g JOIN u ON u.source IS NOT DISTINCT FROM g.source AND u.shard = g.shard)
+SELECT doc_id, size, source, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE quota // shard_size * size + greatest(0, least(size, quota % shard_size - (upto - size))) END AS BIGINT) AS taken FROM o
+"""
+
+OP10_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[a-z/][^>]*(>|$)', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)) AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(x, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op7_source_mixing": OP7_SQL,
+    "op10_html_extraction": OP10_SQL,
     "op6_vantage_point_search": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op5_warc_zstd": OP5_SQL,
