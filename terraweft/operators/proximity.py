@@ -14,14 +14,14 @@ def celled(df: DataFrame, east: str, north: str, size: float) -> DataFrame:
 def within(df: DataFrame, group: str, node: str, east: str, north: str, radius: float) -> DataFrame:
     """group, i, j, d for every ordered pair of different nodes of a group closer than radius.
 
-    Rows meet through an equi-join on cells of the radius: one side is sent to its nine neighbouring cells.
+    Distances are compared to the micrometre, so that ties don't turn on the last bit. Rows meet through an equi-join on cells of the radius: one side is sent to its nine neighbouring cells.
     """
     at = celled(df.select(group, node, east, north), east, north, radius)
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     near = at.select(group, F.col(node).alias("j"), F.col(east).alias("_e2"), F.col(north).alias("_n2"), "_ce", "_cn")
     near = near.withColumn("_de", F.explode(steps)).withColumn("_dn", F.explode(steps))
     near = near.select(group, "j", "_e2", "_n2", (F.col("_ce") + F.col("_de")).alias("_ce"), (F.col("_cn") + F.col("_dn")).alias("_cn"))
-    d = F.hypot(F.col(east) - F.col("_e2"), F.col(north) - F.col("_n2"))
+    d = F.round(F.hypot(F.col(east) - F.col("_e2"), F.col(north) - F.col("_n2")), 6)
     return at.join(near, [group, "_ce", "_cn"]).where(F.col(node) != F.col("j")).withColumn("d", d).where(F.col("d") < radius).select(group, F.col(node).alias("i"), "j", "d")
 
 

@@ -136,7 +136,7 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Joins of captures. A session is one flight.
-CLOSE_SQL = f"{LOCAL_SQL}, close AS (SELECT a.session, a.frame_id AS i, b.frame_id AS j, sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)) AS d FROM placed a JOIN placed b ON a.session = b.session AND a.frame_id <> b.frame_id AND sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)) < 120), near AS (SELECT *, row_number() OVER (PARTITION BY session, i ORDER BY d, j) AS rank FROM close)"
+CLOSE_SQL = f"{LOCAL_SQL}, close AS (SELECT a.session, a.frame_id AS i, b.frame_id AS j, round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6) AS d FROM placed a JOIN placed b ON a.session = b.session AND a.frame_id <> b.frame_id AND round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6) < 120), near AS (SELECT *, row_number() OVER (PARTITION BY session, i ORDER BY d, j) AS rank FROM close)"
 
 
 def close_pairs(spark: SparkSession, sf_dir: str, k: int = 25, radius: float = 120.0) -> DataFrame:
@@ -174,7 +174,7 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("J6_arrival_pairs", f"""WITH {LOCAL_SQL}, arrived AS (
-  SELECT n.session, n.frame_id AS newcomer, a.frame_id AS i, b.frame_id AS j, row_number() OVER (PARTITION BY n.session, n.frame_id, a.frame_id ORDER BY pow(a.east - b.east, 2) + pow(a.north - b.north, 2), b.frame_id) AS rank
+  SELECT n.session, n.frame_id AS newcomer, a.frame_id AS i, b.frame_id AS j, row_number() OVER (PARTITION BY n.session, n.frame_id, a.frame_id ORDER BY round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6), b.frame_id) AS rank
   FROM placed n JOIN placed a ON a.session = n.session AND a.frame_id <= n.frame_id JOIN placed b ON b.session = n.session AND b.frame_id <= n.frame_id AND b.frame_id <> a.frame_id
     AND sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)) < 120)
 SELECT DISTINCT session, least(i, j) AS i, greatest(i, j) AS j FROM arrived WHERE rank <= 3 AND (i = newcomer OR j = newcomer)""")

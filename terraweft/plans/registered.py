@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from terraweft.plans import capture, geometry, live, matching, missions, rasters, records  # noqa: F401
+from terraweft.plans import capture, extras, geometry, live, matching, missions, rasters, records  # noqa: F401
 from terraweft.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
