@@ -105,7 +105,7 @@ def from_sexagesimal(d: Column, m: Column, s: Column, ref: Column) -> Column:
 
 
 def apply_homography(h: Sequence[Column], x: Column, y: Column) -> tuple[Column, Column]:
-    w = h[6] * x + h[7] * y + h[8]
+    w = F.nullif(h[6] * x + h[7] * y + h[8], F.lit(0.0))  # a point at infinity is null
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
@@ -123,14 +123,15 @@ def segment_cut(ax: Column, ay: Column, bx: Column, by: Column, c: Point, d: Poi
     """Parameters along a-b at which it meets the segment c-d (an array; both ends of an overlap)."""
     rx, ry, sx, sy = bx - ax, by - ay, F.lit(d[0] - c[0]), F.lit(d[1] - c[1])
     det = rx * sy - ry * sx
-    t = ((F.lit(c[0]) - ax) * sy - (F.lit(c[1]) - ay) * sx) / det
-    u = ((F.lit(c[0]) - ax) * ry - (F.lit(c[1]) - ay) * rx) / det
+    some = F.nullif(det, F.lit(0.0))
+    t = ((F.lit(c[0]) - ax) * sy - (F.lit(c[1]) - ay) * sx) / some
+    u = ((F.lit(c[0]) - ax) * ry - (F.lit(c[1]) - ay) * rx) / some
     tol = 1e-9
     crossing = F.when(t.between(-tol, 1 + tol) & u.between(-tol, 1 + tol), F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))))
     length = rx * rx + ry * ry
     ends = []
     for px, py in (c, d):
-        along = ((F.lit(px) - ax) * rx + (F.lit(py) - ay) * ry) / length
+        along = ((F.lit(px) - ax) * rx + (F.lit(py) - ay) * ry) / F.nullif(length, F.lit(0.0))
         off = F.abs(rx * (F.lit(py) - ay) - ry * (F.lit(px) - ax))
         box = F.lit(px).between(F.least(ax, bx) - 1e-8, F.greatest(ax, bx) + 1e-8) & F.lit(py).between(F.least(ay, by) - 1e-8, F.greatest(ay, by) + 1e-8)
         ends.append(F.when((off <= 1e-7) & box, along))

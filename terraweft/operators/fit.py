@@ -44,13 +44,14 @@ def affine(points: DataFrame, group: list[str], weight: str | None = None) -> Da
 def similarity(points: DataFrame, group: list[str], weight: Column) -> DataFrame:
     """p, q, tx, ty of each group: x = p u - q v + tx, y = q u + p v + ty, weighted least squares in closed form."""
     held = points.withColumn("_w", weight)
-    mean = held.groupBy(*group).agg(*((F.sum(F.col("_w") * F.col(k)) / F.sum("_w")).alias(f"m{k}") for k in "uvxy"))
+    mean = held.groupBy(*group).agg(*((F.sum(F.col("_w") * F.col(k)) / F.nullif(F.sum("_w"), F.lit(0.0))).alias(f"m{k}") for k in "uvxy"))
     both = held.join(mean, group)
     du, dv, dx, dy = (F.col(k) - F.col(f"m{k}") for k in "uvxy")
     s = both.groupBy(*group, *(f"m{k}" for k in "uvxy")).agg(
         F.sum(F.col("_w") * (du * dx + dv * dy)).alias("a"), F.sum(F.col("_w") * (du * dy - dv * dx)).alias("b"), F.sum(F.col("_w") * (du * du + dv * dv)).alias("n"),
     )
-    p, q = F.col("a") / F.col("n"), F.col("b") / F.col("n")
+    some = F.nullif("n", F.lit(0.0))
+    p, q = F.col("a") / some, F.col("b") / some
     return s.where("n > 0").select(*group, p.alias("p"), q.alias("q"), (F.col("mx") - p * F.col("mu") + q * F.col("mv")).alias("tx"), (F.col("my") - q * F.col("mu") - p * F.col("mv")).alias("ty"))
 
 
@@ -83,9 +84,9 @@ def anchored(points: DataFrame, group: str, order: str, tolerance: float, least:
     second = rows.select(group, (F.col("_k")).alias("_j"), *(F.col(k).alias(f"{k}2") for k in "uvxy"))
     pair = first.withColumn("_j", F.col("_k") + F.col("_step")).join(second, [group, "_j"])
     du, dv, dx, dy = (F.col(f"{k}2") - F.col(f"{k}1") for k in "uvxy")
-    n = du * du + dv * dv
+    n = F.nullif(du * du + dv * dv, F.lit(0.0))
     p, q = (du * dx + dv * dy) / n, (du * dy - dv * dx) / n
-    hyp = pair.where(n > 0).select(group, F.col("_k").alias("h1"), F.col("_j").alias("h2"), p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
+    hyp = pair.where(n.isNotNull()).select(group, F.col("_k").alias("h1"), F.col("_j").alias("h2"), p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
     judged = residual(points, hyp, [group]).where(F.col("error") <= tolerance)
     score = judged.groupBy(group, "h1", "h2", "p", "q", "tx", "ty").agg(F.count("*").alias("inliers"), F.sum("error").alias("total"))
     best = score.groupBy(group).agg(F.max(F.struct("inliers", (-F.col("total")).alias("t"), (-F.col("h1")).alias("h1"), (-F.col("h2")).alias("h2"), "p", "q", "tx", "ty")).alias("b")).where(F.col("b.inliers") >= least)
@@ -96,7 +97,7 @@ def anchored(points: DataFrame, group: str, order: str, tolerance: float, least:
 
 def homography_jacobian(h: list[Column], u: Column, v: Column) -> tuple[Column, Column]:
     """Derivatives of the projected point by the first eight entries of a homography: two arrays of eight."""
-    w = h[6] * u + h[7] * v + 1
+    w = F.nullif(h[6] * u + h[7] * v + 1, F.lit(0.0))
     x, y = (h[0] * u + h[1] * v + h[2]) / w, (h[3] * u + h[4] * v + h[5]) / w
     zero = F.lit(0.0)
     return F.array(u / w, v / w, 1 / w, zero, zero, zero, -x * u / w, -x * v / w), F.array(zero, zero, zero, u / w, v / w, 1 / w, -y * u / w, -y * v / w)

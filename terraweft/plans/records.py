@@ -47,6 +47,30 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("session", "inliers", *(F.round(k, 4).alias(k) for k in ("p", "q", "tx", "ty")))
 
 
+@query("G11_homographies")
+def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraweft.operators import projective
+
+    h = projective.consensus(views(spark, sf_dir), "session", "seq", tolerance=1.0)
+    return h.select("session", "inliers", "points", *(F.round(F.col("h")[k], 3).alias(f"h{k}") for k in range(8)))
+
+
+@query("G7_adjusted_poses")
+def g7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a ring of ten adjusted to each other; the median residual before and after."""
+    from terraweft.operators import projective
+    from terraweft.session import settle
+
+    at = F.col("frame_id") % 10
+    p = placed(spark, sf_dir).select(at.alias("i"), ((at + 1) % 10).alias("j"), (F.col("east") / 100).alias("u"), (F.col("north") / 100).alias("v"), (F.col("east") / 100 + 0.02).alias("x"), (F.col("north") / 100 - 0.01).alias("y"))
+    matches = settle(p, "matches")
+    poses = matches.select(F.col("i").alias("view")).distinct().withColumn("h", F.array(*(F.lit(float(k in (0, 4, 8))) for k in range(9))))
+    after = projective.adjusted(matches, poses, root=0, rounds=3)
+    median = lambda h, name: projective.residuals(matches, h).groupBy("i").agg(F.percentile(F.hypot("rx", "ry"), 0.5).alias(name))
+    both = median(poses, "before").join(median(after, "after"), "i")
+    return both.select(F.col("i").alias("view"), F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
 @query("G8_jacobian", f"WITH {VIEWS_SQL}, w AS (SELECT *, 0.01e0 * u - 0.02e0 * v + 1 AS w FROM views), j AS (SELECT session, u / w AS j0, -((1.1e0 * u + 0.1e0 * v + 2) / w) * u / w AS j6 FROM w) SELECT session, round(sum(j0 * j0), 4) AS n00, round(sum(j0 * j6), 4) AS n06, round(sum(j6 * j6), 4) AS n66 FROM j GROUP BY session")
 def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal equations of a projective adjustment, position by position; three of them are shown."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraweft.functions import geo
-from terraweft.operators import fit, graph, mission, proximity, raster, sequence, spanning
+from terraweft.operators import fit, graph, mission, projective, proximity, raster, sequence, spanning
 from terraweft.sources import config, exif, frames, sinks
 from terraweft.streaming import capture, live_map
 
@@ -193,3 +193,38 @@ def test_backlog_serves_the_newest_first(spark):
     jobs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "i long, j long")
     done = spark.createDataFrame([(1, 2)], "i long, j long")
     assert [tuple(r) for r in live_map.backlog(jobs, done, 2).collect()] == [(1, 4), (1, 3)]
+
+
+TRUE_H = np.array([[1.1, 0.05, 0.3], [-0.04, 0.95, -0.2], [0.02, -0.03, 1.0]])
+
+
+def mapped(h, p):
+    q = np.column_stack([p, np.ones(len(p))]) @ h.T
+    return q[:, :2] / q[:, 2:]
+
+
+def test_consensus_homography_recovers_its_truth(spark):
+    rng = np.random.default_rng(7)
+    p = rng.uniform(-1, 1, (120, 2))
+    q = mapped(TRUE_H, p)
+    q[:40] += rng.uniform(1, 2, (40, 2))
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "k": range(120), "u": p[:, 0], "v": p[:, 1], "x": q[:, 0], "y": q[:, 1]}))
+    got = projective.consensus(df, "g", "k", 1e-6, samples=60).first()
+    assert got.inliers == 80 and np.allclose(np.array(got.h).reshape(3, 3), TRUE_H, atol=1e-6)
+
+
+def test_adjustment_brings_matches_together(spark):
+    rng = np.random.default_rng(11)
+    truth = {0: np.eye(3)} | {k: np.eye(3) + rng.normal(scale=0.03, size=(3, 3)) * np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0]]) for k in (1, 2, 3)}
+    rows = []
+    for i in range(4):
+        for j in range(i):
+            ground = rng.uniform(-1, 1, (25, 2))
+            a, b = (mapped(np.linalg.inv(truth[k]), ground) for k in (i, j))
+            rows += [(i, j, *map(float, (*x, *y))) for x, y in zip(a, b)]
+    matches = spark.createDataFrame(rows, "i long, j long, u double, v double, x double, y double")
+    start = spark.createDataFrame([(k, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for k in range(4)], "view long, h array<double>")
+    gap = lambda poses: projective.residuals(matches, poses).agg(F.percentile(F.hypot("rx", "ry"), 0.5)).first()[0]
+    after = projective.adjusted(matches, start, root=0, rounds=10, damping=0.7)
+    assert gap(after) < 0.1 * gap(start)
+    assert {r.view: list(r.h) for r in after.collect()}[0] == [1, 0, 0, 0, 1, 0, 0, 0, 1]
