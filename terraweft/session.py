@@ -48,6 +48,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what settle() has left in the shared folder; results that still read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/terraweft")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def split_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """A join whose sides are both shuffled for it alone: adaptive execution then splits the partition of a hot key.
 

@@ -228,3 +228,13 @@ def test_adjustment_brings_matches_together(spark):
     after = projective.adjusted(matches, start, root=0, rounds=10, damping=0.7)
     assert gap(after) < 0.1 * gap(start)
     assert {r.view: list(r.h) for r in after.collect()}[0] == [1, 0, 0, 0, 1, 0, 0, 0, 1]
+
+
+def test_settled_tables_are_shared_and_cleared(spark):
+    from terraweft.session import clear, settle
+
+    held = settle(spark.range(5).toDF("k"))
+    assert held.count() == 5
+    clear(spark)
+    with pytest.raises(Exception):  # noqa: B017  its files are gone
+        spark.read.parquet(held.inputFiles()[0].rsplit("/", 1)[0]).count()
