@@ -11,9 +11,9 @@ from terraweft.operators import raster
 from terraweft.plans.capture import CLOSE_SQL, close_pairs
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL, num, placed
-from terraweft.plans.rasters import CELL, CELLS_SQL, COLUMNS, CORNER, NORTH, ROWS, WEST, cells
+from terraweft.plans.rasters import CELL, CELLS_SQL, COLUMNS, NORTH, ROWS, WEST, cells
 from terraweft.session import settle, table
-from terraweft.sources.frames import AREA, FRAMES_SQL, TELEMETRY_SQL, frames, telemetry
+from terraweft.sources.frames import FRAMES_SQL, TELEMETRY_SQL, frames, telemetry
 
 
 @query("W6_neighbour_ranks", f"WITH {CLOSE_SQL} SELECT session, i, j, CAST(rank AS INTEGER) AS rank FROM near WHERE rank <= 3")
