@@ -11,9 +11,12 @@ SALTS = 8
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column, salts: int = SALTS, how: str = "inner") -> DataFrame:
-    """big joined with small (one row a key); the rows of a hot key are dealt over `salts` partitions."""
+    """big joined with small (one row a key); the rows of a hot key are dealt over `salts` partitions.
+
+    Both sides are shuffled: Spark would size small before it is repeated for each salt, and so could broadcast too much.
+    """
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
