@@ -43,9 +43,9 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column | str, salts: int = 16, how: str = "left") -> DataFrame:
-    """big joined with small (one row a key); a hot key's rows are dealt over `salts` partitions."""
+    """big joined with small (one row a key); a hot key's rows are dealt over `salts` partitions. Both sides are shuffled."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
