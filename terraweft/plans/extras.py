@@ -72,7 +72,7 @@ def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X8_mode_bits", f"WITH {TELEMETRY_SQL} SELECT msg_id, base_mode & 128 AS armed_bit, (base_mode >> 3) & 1 AS stream_bit, base_mode | 1 AS custom FROM telemetry WHERE msg_type = 'HEARTBEAT'")
 def x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("base_mode")
+    m = F.col("base_mode").cast("long")
     return telemetry(spark, sf_dir).where("msg_type = 'HEARTBEAT'").select("msg_id", m.bitwiseAND(128).alias("armed_bit"), F.shiftright(m, 3).bitwiseAND(1).alias("stream_bit"), m.bitwiseOR(1).alias("custom"))
 
 

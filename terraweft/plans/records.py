@@ -200,7 +200,7 @@ def x4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("X5_arrays", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax, list_position(embedding, list_min(embedding)) - 1 AS argmin, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
 def x5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position(e, F.array_max(e)) - 1).alias("argmax"), (F.array_position(e, F.array_min(e)) - 1).alias("argmin"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.array_position(e, F.array_max(e)) - 1).cast("int").alias("argmax"), (F.array_position(e, F.array_min(e)) - 1).cast("int").alias("argmin"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"))
 
 
 @query("S12_polygon_scan", "SELECT s_suppkey AS s, 4 AS corners, round((37.411e0 + s_suppkey % 5 * 0.001e0) * 2 / 4 + (37.412e0 + s_suppkey % 5 * 0.001e0) * 2 / 4, 9) AS lat FROM supplier")
