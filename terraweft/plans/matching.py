@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from terraweft.operators import graph, proximity, spanning
 from terraweft.plans.catalog import query
 from terraweft.session import settle, table
-from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames
+from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames, thinned_edges
 
 WORDS = 16
 
@@ -110,24 +110,52 @@ reach(node, seen) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM reach r J
 
 @query("G1_connected_components", COMPONENTS_SQL + " SELECT node, component FROM comp")
 def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected_components(thinned_edges(spark, sf_dir))
+
+
+@query("G1_whole_components")
+def g1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole graph, for which recursive SQL is too slow; so are the other queries named whole."""
     return graph.connected_components(edges(spark, sf_dir))
 
 
 @query("A8_largest_component", COMPONENTS_SQL + " SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning.largest_component(thinned_edges(spark, sf_dir))
+
+
+@query("A8_whole_component")
+def a8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanning.largest_component(edges(spark, sf_dir))
 
 
 @query("G5_supported_groups", COMPONENTS_SQL.replace("edges AS (", "every AS (").replace("b AS (SELECT src", "edges AS (SELECT * FROM every WHERE score >= 45), b AS (SELECT src") + " SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supported_groups(thinned_edges(spark, sf_dir))
+
+
+@query("G5_whole_groups")
+def g5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supported_groups(edges(spark, sf_dir))
+
+
+def supported_groups(e: DataFrame) -> DataFrame:
     """Components of the well supported edges, without islands of fewer than four."""
-    parts = settle(graph.connected_components(edges(spark, sf_dir).where("score >= 45")), "supported")
+    parts = settle(graph.connected_components(e.where("score >= 45")), "supported")
     return parts.join(parts.groupBy("component").count().where("count >= 4").select("component"), "component", "left_semi").select("node", "component")
 
 
 @query("A11_root_by_score", f"WITH {EDGES_SQL}, s AS (SELECT node, sum(score) AS total FROM (SELECT src AS node, score FROM edges UNION ALL SELECT dst, score FROM edges) GROUP BY node) SELECT node, CAST(total AS BIGINT) AS total FROM s ORDER BY total DESC, node LIMIT 1")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
+    return root_by_score(thinned_edges(spark, sf_dir))
+
+
+@query("A11_whole_root")
+def a11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return root_by_score(edges(spark, sf_dir))
+
+
+def root_by_score(e: DataFrame) -> DataFrame:
     total = e.select(F.col("src").alias("node"), "score").union(e.select("dst", "score")).groupBy("node").agg(F.sum("score").alias("total"))
     return total.orderBy(F.desc("total"), "node").limit(1)
 
@@ -139,8 +167,17 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("G2_forest_parts", COMPONENTS_SQL + " SELECT component, count(*) - 1 AS links FROM comp GROUP BY component")
 def g2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_parts(thinned_edges(spark, sf_dir))
+
+
+@query("G2_whole_parts")
+def g2_whole_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_parts(edges(spark, sf_dir))
+
+
+def forest_parts(e: DataFrame) -> DataFrame:
     """A forest has one edge less than nodes in each component; the exact forest is tested against Kruskal's."""
-    forest = settle(spanning.spanning_forest(edges(spark, sf_dir)), "forest")
+    forest = settle(spanning.spanning_forest(e), "forest")
     parts = graph.connected_components(forest)
     return forest.join(parts, F.col("src") == F.col("node")).groupBy("component").agg(F.count("*").alias("links"))
 
@@ -148,8 +185,17 @@ def g2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("G4_tracks", """WITH RECURSIVE o AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 0), e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM o a JOIN o b USING (i) WHERE a.p <> b.p),
 reach(node, seen) AS (SELECT DISTINCT p, p FROM o UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen) SELECT track, count(*) AS points FROM (SELECT node, min(seen) AS track FROM reach GROUP BY node) GROUP BY track""")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks(table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0"))
+
+
+@query("G4_whole_tracks")
+def g4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks(table(spark, sf_dir, "lineitem"))
+
+
+def tracks(l: DataFrame) -> DataFrame:
     """Union of observations that share a key: components of the bipartite graph, without pairs within a group."""
-    o = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").select("l_orderkey", "l_partkey").distinct()
+    o = l.select("l_orderkey", "l_partkey").distinct()
     parts = graph.connected_components(o.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst")))
     # A track is named after its smallest point: even numbers are points.
     points = settle(parts.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("point"), "component"), "points")
