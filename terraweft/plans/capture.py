@@ -190,6 +190,35 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity.unordered(ranked, "session")
 
 
+@query("J6_arrival_candidates")
+def j6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrival_candidates(placed(spark, sf_dir), 25, (1, 2, 3, 5, 8, 15))
+
+
+@query("J6_arrival_candidates_fast")
+def j6_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrival_candidates(placed(spark, sf_dir), 12, (1, 2, 3, 5))
+
+
+def arrival_candidates(p: DataFrame, k: int, steps: tuple[int, ...]) -> DataFrame:
+    """The pairs that arrivals queue: at j's arrival with its k nearest earlier captures, with the earlier ones that have
+    fewer than k strictly nearer, and with those `steps` places before."""
+    near = proximity.within(p, "session", "frame_id", "east", "north", 120.0)
+    other = near.select("session", F.col("i").alias("at"), F.col("j").alias("o"), F.col("d").alias("od"))
+    pair = near.where("i < j").withColumn("at", F.explode(F.array("i", "j")))
+    # An end's rank counts the nearer ones that arrived before the newcomer; for the newcomer, ties go to the earlier.
+    closer = (F.col("o") < F.col("j")) & ((F.col("od") < F.col("d")) | ((F.col("at") == F.col("j")) & (F.col("od") == F.col("d")) & (F.col("o") < F.col("i"))))
+    # An end with fewer than k in reach needs no count.
+    few = near.groupBy("session", F.col("i").alias("at")).agg(F.count("*").alias("reach"))
+    known = pair.join(few, ["session", "at"])
+    counted = known.where(F.col("reach") > k).join(other, ["session", "at"], "left").groupBy("session", "at", "i", "j").agg(F.count_if(closer).alias("nearer")).where(F.col("nearer") < k)
+    ranked = known.where(F.col("reach") <= k).select("session", "i", "j").union(counted.select("session", "i", "j"))
+    rows = p.select("session", F.col("frame_id").alias("j"), F.col("seq").cast("long").alias("place"))
+    later = F.explode(F.transform(F.array(*map(F.lit, steps)), lambda x: F.col("place") + x))
+    apart = rows.select("session", F.col("j").alias("i"), later.alias("place")).join(rows, ["session", "place"])
+    return ranked.union(apart.select("session", "i", "j")).distinct()
+
+
 @query("J8_edges_in_component", "WITH c AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 12) SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM c)")
 def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi-join: rows whose node is in the large part."""

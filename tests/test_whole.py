@@ -1,10 +1,14 @@
 """Queries over whole tables, by brute force on the smallest ones."""
 
+import math
+import random
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
 
 import __spark_entry__ as entry
+from terraweft.plans.capture import arrival_candidates
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +58,26 @@ def test_graph_queries_see_every_row(spark):
         if n % 2 == 0:
             points[c].append(n // 2)
     assert sorted(run(spark, "G4_whole_tracks")) == sorted((min(p), len(p)) for p in points.values())
+
+
+@pytest.mark.parametrize(("k", "steps"), [(25, (1, 2, 3, 5, 8, 15)), (12, (1, 2, 3, 5)), (2, (1, 4))])
+def test_arrivals_queue_the_pairs_of_a_replay(spark, k, steps):
+    rng = random.Random(4)
+    rows, want = [], set()
+    for session, n in ((1, 45), (2, 4), (3, 1)):
+        at = [(rng.randrange(40) * 5.0, rng.randrange(20) * 5.0) for _ in range(n)]
+        rows += [(session, i + 1, 100 * session + i, *p) for i, p in enumerate(at)]
+        for i in range(n):
+            d = [round(math.dist(at[i], at[j]), 6) for j in range(i)]
+            found = {j for j in sorted(range(i), key=lambda j: (d[j], j))[:k] if d[j] < 120} | {i - s for s in steps if i >= s}
+            for j in range(i):
+                if d[j] < 120 and sum(round(math.dist(at[j], at[o]), 6) < d[j] for o in range(i) if o != j) < k:
+                    found.add(j)
+            want |= {(session, 100 * session + j, 100 * session + i) for j in found}
+    p = spark.createDataFrame(rows, "session long, seq int, frame_id long, east double, north double")
+    got = [tuple(r) for r in arrival_candidates(p, k, steps).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_arrivals_of_the_tables(spark):
+    assert len(run(spark, "J6_arrival_candidates")) > len(run(spark, "J6_arrival_candidates_fast")) > len(run(spark, "J6_arrival_pairs"))
