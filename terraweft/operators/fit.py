@@ -8,8 +8,35 @@ from pyspark.sql.window import Window
 
 from terraweft.session import settle
 
-#: Points of a group at which hypotheses start.
-HYPOTHESES = 12
+#: Consensus goes on until the best map would have been met with this probability.
+CONFIDENCE = 0.999
+
+
+def places(sizes: DataFrame, group: str, start: int, stop: int, slots: int) -> DataFrame:
+    """group, s, slot, _k: seeded samples start <= s < stop of `slots` different places below each group's _n."""
+    draw = F.array().cast("array<long>")
+    for slot in range(slots):
+        x = F.pmod(F.xxhash64(group, "s", F.lit(slot)), F.col("_n") - slot)
+        free = F.aggregate(F.array_sort("_draw"), x, lambda at, taken: F.when(at >= taken, at + 1).otherwise(at)) if slot else x
+        sizes = sizes if slot else sizes.where(F.col("_n") >= slots).withColumn("s", F.explode(F.sequence(F.lit(start), F.lit(stop - 1)))).withColumn("_draw", draw)
+        sizes = sizes.withColumn("_draw", F.concat("_draw", F.array(free)))
+    return sizes.select(group, "s", F.posexplode("_draw").alias("slot", "_k"))
+
+
+def rounds(first: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of samples, each twice as long as the last one, up to `most`."""
+    out, at, many = [], 0, first
+    while at < most:
+        out.append((at, min(most, at + many)))
+        at, many = at + many, many * 2
+    return out
+
+
+def uncertain(sizes: DataFrame, best: DataFrame, group: str, drawn: int, slots: int) -> DataFrame:
+    """The groups in which a map of more inliers than the best one's could still have been missed by all samples."""
+    seen = sizes.join(best.select(group, "inliers"), group, "left")
+    missed = F.pow(1 - F.pow(F.coalesce("inliers", F.lit(0)) / F.col("_n"), F.lit(slots)), F.lit(drawn))
+    return seen.where((missed > 1 - CONFIDENCE) & (F.col("_n") > slots)).select(group, "_n")
 
 
 def determinant3(m: list[list[Column]]) -> Column:
@@ -70,28 +97,35 @@ def robust_similarity(points: DataFrame, group: list[str], scale: float, passes:
     return fitted
 
 
-def anchored(points: DataFrame, group: str, order: str, tolerance: float, least: int, steps: tuple[int, ...] = (1, 2, 3, 5, 8, 13, 21)) -> DataFrame:
-    """The similarity that most points agree with: hypotheses from pairs of points `steps` apart, judged by their inliers.
+def anchored(points: DataFrame, group: str, order: str, tolerance: float, least: int, samples: int = 84, most: int = 10_000) -> DataFrame:
+    """The similarity that most points agree with: hypotheses from seeded pairs of points, judged by their inliers.
 
-    Hypotheses start at the first HYPOTHESES points by a seeded hash, a fixed number a group, and each is judged against all
-    points of its group in one aggregate. Groups with fewer than `least` inliers are left out. The result is refitted to
-    the inliers.
+    Rounds of pairs follow, up to `most`, for the groups that are not certain to CONFIDENCE; each round is judged against
+    all points of its groups in one aggregate. Groups with fewer than `least` inliers are left out. The result is refitted
+    to the inliers.
     """
     w = Window.partitionBy(group).orderBy(order)
-    rows = points.withColumn("_k", F.row_number().over(w))
-    seeded = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(0), "_k"), "_k"))
-    first = rows.withColumn("_seed", seeded).where(F.col("_seed") <= HYPOTHESES).select(group, "_k", *(F.col(k).alias(f"{k}1") for k in "uvxy"), F.explode(F.array(*map(F.lit, steps))).alias("_step"))
-    second = rows.select(group, (F.col("_k")).alias("_j"), *(F.col(k).alias(f"{k}2") for k in "uvxy"))
-    pair = first.withColumn("_j", F.col("_k") + F.col("_step")).join(second, [group, "_j"])
-    du, dv, dx, dy = (F.col(f"{k}2") - F.col(f"{k}1") for k in "uvxy")
-    n = F.nullif(du * du + dv * dv, F.lit(0.0))
-    p, q = (du * dx + dv * dy) / n, (du * dy - dv * dx) / n
-    hyp = pair.where(n.isNotNull()).select(group, F.col("_k").alias("h1"), F.col("_j").alias("h2"), p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
-    judged = residual(points, hyp, [group]).where(F.col("error") <= tolerance)
-    score = judged.groupBy(group, "h1", "h2", "p", "q", "tx", "ty").agg(F.count("*").alias("inliers"), F.sum("error").alias("total"))
-    best = score.groupBy(group).agg(F.max(F.struct("inliers", (-F.col("total")).alias("t"), (-F.col("h1")).alias("h1"), (-F.col("h2")).alias("h2"), "p", "q", "tx", "ty")).alias("b")).where(F.col("b.inliers") >= least)
-    best = settle(best.select(group, "b.inliers", "b.p", "b.q", "b.tx", "b.ty"), "anchor")
-    inside = residual(points, best, [group]).where(F.col("error") <= tolerance).drop("p", "q", "tx", "ty", "error", "inliers")
+    rows = settle(points.withColumn("_k", (F.row_number().over(w) - 1).cast("long")), "points")
+    left = settle(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n >= 2"), "sizes")
+    ends = rows.select(group, "_k", *"uvxy")
+    best = None
+    for start, stop in rounds(samples, most):
+        drawn = places(left, group, start, stop, 2).join(ends, [group, "_k"])
+        first, second = (drawn.where(F.col("slot") == k - 1).select(group, "s", *(F.col(c).alias(f"{c}{k}") for c in "uvxy")) for k in (1, 2))
+        du, dv, dx, dy = (F.col(f"{k}2") - F.col(f"{k}1") for k in "uvxy")
+        n = F.nullif(du * du + dv * dv, F.lit(0.0))
+        p, q = (du * dx + dv * dy) / n, (du * dy - dv * dx) / n
+        hyp = first.join(second, [group, "s"]).where(n.isNotNull()).select(group, "s", p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
+        judged = residual(ends, hyp, [group]).where(F.col("error") <= tolerance)
+        score = judged.groupBy(group, "s", "p", "q", "tx", "ty").agg(F.count("*").alias("inliers"), F.sum("error").alias("total"))
+        score = score.select(group, "inliers", (-F.col("total")).alias("t"), (-F.col("s")).alias("s"), "p", "q", "tx", "ty")
+        score = score if best is None else score.unionByName(best)
+        best = settle(score.groupBy(group).agg(F.max(F.struct("inliers", "t", "s", "p", "q", "tx", "ty")).alias("b")).select(group, "b.*"), "anchor")
+        left = settle(uncertain(left, best, group, stop, 2), "left")
+        if not left.take(1):
+            break
+    best = best.where(F.col("inliers") >= least).select(group, "inliers", "p", "q", "tx", "ty")
+    inside = residual(rows, best, [group]).where(F.col("error") <= tolerance).drop("p", "q", "tx", "ty", "error", "inliers", "_k")
     return similarity(inside, [group], F.lit(1.0)).join(best.select(group, "inliers"), group)
 
 

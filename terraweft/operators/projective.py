@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from terraweft.functions.geo import apply_homography
-from terraweft.operators.fit import homography_jacobian, normal_equations
+from terraweft.operators.fit import homography_jacobian, normal_equations, places, rounds, uncertain
 from terraweft.session import settle
 
 #: Added to the diagonal of each view's system, largest step of an entry, and the residual beyond which weights fall.
@@ -39,27 +39,72 @@ def entries(h: str) -> list[Column]:
     return [F.col(h)[i] for i in range(9)]
 
 
-def consensus(points: DataFrame, group: str, order: str, tolerance: float, samples: int = 24) -> DataFrame:
+def consensus(points: DataFrame, group: str, order: str, tolerance: float, samples: int = 24, most: int = 4000) -> DataFrame:
     """group, h (nine entries), inliers and points: the map that most of a group's correspondences agree with.
 
-    A fixed number of seeded samples of four a group is solved, and each is judged by all of the group's points in one
-    aggregate. Groups without a sample that is not degenerate are left out.
+    Seeded samples of four a group are solved, and each is judged by all of the group's points in one aggregate; rounds of
+    further samples, up to `most`, follow for the groups that are not certain to 0.999. The best map is refitted to its
+    inliers, which are counted before. Groups without a sample that is not degenerate are left out.
     """
     w = Window.partitionBy(group).orderBy(order)
-    rows = points.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    size = rows.where("_k = 0").select(group, "_n")
-    draws = size.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    draws = draws.withColumn("_k", F.pmod(F.xxhash64("s", "slot"), F.col("_n")).cast("int")).drop("_n")
-    four = draws.join(rows.select(group, "_k", "u", "v", "x", "y"), [group, "_k"]).groupBy(group, "s")
+    rows = settle(points.select(group, "u", "v", "x", "y", (F.row_number().over(w) - 1).cast("long").alias("_k")), "points")
+    left = settle(rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n >= 4"), "sizes")
     sample = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array("u", "v", "x", "y").alias("p")))), lambda r: r["p"]))
-    maps = four.agg(sample.alias("p")).where(F.size("p") == 16).select(group, "s", _through_four("p").alias("h")).where("h is not null")
-    judged = points.join(maps, group)
-    px, py = apply_homography(entries("h"), F.col("u"), F.col("v"))
-    judged = judged.withColumn("error", F.hypot(px - F.col("x"), py - F.col("y")))
-    score = judged.groupBy(group, "s").agg(F.count_if(F.col("error") <= tolerance).alias("inliers"), F.count("*").alias("points"), F.sum(F.least("error", F.lit(tolerance))).alias("cost"))
-    best = score.groupBy(group).agg(F.max(F.struct("inliers", (-F.col("cost")).alias("c"), (-F.col("s")).alias("s"), "points")).alias("b"))
-    best = best.select(group, (-F.col("b.s")).alias("s"), "b.inliers", "b.points")
-    return best.join(maps, [group, "s"]).select(group, "h", "inliers", "points")
+    best = None
+    for start, stop in rounds(samples, most):
+        four = places(left, group, start, stop, 4).join(rows, [group, "_k"]).groupBy(group, "s").agg(sample.alias("p"))
+        maps = settle(four.select(group, "s", _through_four("p").alias("h")).where("h is not null"), "maps")
+        judged = rows.join(maps, group).withColumn("error", _error("h"))
+        score = judged.groupBy(group, "s").agg(F.count_if(F.col("error") <= tolerance).alias("inliers"), F.count("*").alias("points"), F.sum(F.least("error", F.lit(tolerance))).alias("cost"))
+        top = score.groupBy(group).agg(F.max(F.struct("inliers", (-F.col("cost")).alias("c"), (-F.col("s")).alias("s"), "points")).alias("b")).select(group, "b.*")
+        top = top.withColumn("at", -F.col("s")).join(maps.withColumnRenamed("s", "at"), [group, "at"]).drop("at")
+        top = top if best is None else top.unionByName(best)
+        best = settle(top.groupBy(group).agg(F.max(F.struct("inliers", "c", "s", "points", "h")).alias("b")).select(group, "b.*"), "best")
+        left = settle(uncertain(left, best, group, stop, 4), "left")
+        if not left.take(1):
+            break
+    inside = settle(rows.join(best.select(group, F.col("h").alias("_h")), group).where(_error("_h") <= tolerance).drop("_h"), "inside")
+    return best.select(group, "h", "inliers", "points").join(refitted(inside, best.select(group, "h"), group), group, "left").select(group, F.coalesce("fine", "h").alias("h"), "inliers", "points")
+
+
+def _error(h: str) -> Column:
+    px, py = apply_homography(entries(h), F.col("u"), F.col("v"))
+    return F.hypot(px - F.col("x"), py - F.col("y"))
+
+
+def refitted(points: DataFrame, maps: DataFrame, group: str, passes: int = 3) -> DataFrame:
+    """group, fine: Gauss-Newton steps from each group's map (group, h) towards least squares over its points.
+
+    A pass that makes the sum of squares larger is not taken."""
+    cost = lambda h: F.sum(F.pow(_error(h), F.lit(2)))
+    fine = maps.select(group, F.col("h").alias("fine"))
+    for _ in range(passes):
+        r = points.join(fine, group)
+        px, py = apply_homography(entries("fine"), F.col("u"), F.col("v"))
+        jx, jy = homography_jacobian(entries("fine"), F.col("u"), F.col("v"))
+        pair = F.array(F.struct(jx.alias("jac"), (F.col("x") - px).alias("t")), F.struct(jy.alias("jac"), (F.col("y") - py).alias("t")))
+        system = normal_equations(r.select(group, F.lit(1.0).alias("w"), F.explode(pair).alias("e")).select(group, "w", "e.jac", "e.t"), [group], "jac", "t", "w")
+        step = system.groupBy(group).agg(_solved_input().alias("system")).select(group, _least_squares("system").alias("d"))
+        moved = settle(fine.join(step, group).select(group, "fine", F.concat(F.zip_with(F.slice("fine", 1, 8), "d", lambda a, b: a + b), F.array(F.lit(1.0))).alias("new")), "moved")
+        sums = points.join(moved, group).groupBy(group).agg(cost("fine").alias("before"), cost("new").alias("after"))
+        fine = settle(moved.join(sums, group).select(group, F.when(F.col("after") < F.col("before"), F.col("new")).otherwise(F.col("fine")).alias("fine")), "fine")
+    return fine
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _least_squares(systems: pd.Series) -> pd.Series:
+    """Eight unknowns from the entries (i, j, value) of normal equations, scaled to a unit diagonal; the shortest solution."""
+    out = []
+    for entries_ in systems:
+        a, b = np.zeros((8, 8)), np.zeros(8)
+        for e in entries_:
+            if e["j"] < 0:
+                b[e["i"]] = e["value"]
+            else:
+                a[e["i"], e["j"]] = a[e["j"], e["i"]] = e["value"]
+        scale = 1 / np.sqrt(np.maximum(np.diag(a), 1e-300))
+        out.append(scale * (np.linalg.pinv(a * np.outer(scale, scale), rcond=1e-13, hermitian=True) @ (b * scale)))
+    return pd.Series(out, dtype="object")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from terraweft.operators import fit, projective
 from terraweft.plans.capture import arrival_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +83,56 @@ def test_arrivals_queue_the_pairs_of_a_replay(spark, k, steps):
 
 def test_arrivals_of_the_tables(spark):
     assert len(run(spark, "J6_arrival_candidates")) > len(run(spark, "J6_arrival_candidates_fast")) > len(run(spark, "J6_arrival_pairs"))
+
+
+def matched(share, n=150, groups=4):
+    """Groups of correspondences of which a share follows one homography, the others nothing."""
+    rng, rows = np.random.default_rng(3), []
+    h = np.array([[1.1, 0.05, 0.3], [-0.04, 0.95, -0.2], [0.02, -0.03, 1.0]])
+    for g in range(groups):
+        p = rng.uniform(-1, 1, (n, 2))
+        q = np.column_stack([p, np.ones(n)]) @ h.T
+        q = q[:, :2] / q[:, 2:] + rng.normal(scale=0.001, size=(n, 2))
+        q[round(share * n) :] = rng.uniform(-3, 3, (n - round(share * n), 2))
+        rows += [(g, k, *map(float, (*a, *b))) for k, (a, b) in enumerate(zip(p, q))]
+    return rows, h
+
+
+MATCHES = "g long, k long, u double, v double, x double, y double"
+
+
+def test_consensus_at_the_acceptance_limit(spark):
+    rows, h = matched(0.36)
+    got = projective.consensus(spark.createDataFrame(rows, MATCHES), "g", "k", 0.006).collect()
+    assert len(got) == 4
+    for r in got:
+        assert r.inliers >= 0.35 * 150 * 0.9 and np.allclose(np.array(r.h).reshape(3, 3), h, atol=0.005)
+
+
+def test_best_map_is_refitted_to_its_inliers(spark):
+    rows, h = matched(1.0, groups=2)
+    for r in projective.consensus(spark.createDataFrame(rows, MATCHES), "g", "k", 0.01).collect():
+        got = np.array(r.h).reshape(3, 3)
+        a = np.array([x[2:] for x in rows if x[0] == r.g])
+        error = lambda m: np.square((q := np.column_stack([a[:, :2], np.ones(len(a))]) @ m.T)[:, :2] / q[:, 2:] - a[:, 2:]).sum()
+        assert r.inliers == 150 and error(got) <= error(h)
+
+
+def test_anchor_meets_a_small_share(spark):
+    rng, rows = np.random.default_rng(8), []
+    for g in range(6):
+        for k in range(200):
+            u, v = rng.uniform(-50, 50, 2)
+            # Six of the true points, in places that no short step joins.
+            x, y = (2 * u - v + 3, u + 2 * v - 1) if k % 34 == 0 else rng.uniform(-9000, 9000, 2)
+            rows.append((g, k, float(u), float(v), float(x), float(y)))
+    got = fit.anchored(spark.createDataFrame(rows, MATCHES), "g", "k", 0.5, 6).collect()
+    assert len(got) == 6 and all((f.p, f.q, f.tx, f.ty) == pytest.approx((2, 1, 3, -1), abs=1e-6) for f in got)
+
+
+def test_samples_are_of_different_places(spark):
+    s = [tuple(r) for r in fit.places(spark.createDataFrame([(1, 4), (2, 9), (3, 3)], "g long, _n long"), "g", 0, 50, 4).collect()]
+    by = defaultdict(set)
+    for g, k, _, at in s:
+        by[g, k].add(at)
+    assert len(by) == 100 and all(len(x) == 4 and x <= set(range(4 if g == 1 else 9)) for (g, _), x in by.items())
