@@ -42,8 +42,11 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str, images: int = 40) -> DataFrame:
+    return weighted(histograms(spark, sf_dir), images)
+
+
+def weighted(h: DataFrame, images: int) -> DataFrame:
     """Square roots of the share of each word's count times log((images + 1) / (1 + images with it)) + 1."""
-    h = histograms(spark, sf_dir)
     by_word, by_image = Window.partitionBy("word"), Window.partitionBy("image_id")
     idf = F.log((F.lit(float(images)) + 1) / (1 + F.count("*").over(by_word))) + 1
     w = h.withColumn("w", F.col("n") * idf)
@@ -57,8 +60,12 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("J3_similar_images", f"WITH {WORDS_SQL}, s AS (SELECT a.image_id AS i, b.image_id AS j, round(sum(a.weight * b.weight), 6) AS s FROM tfidf a JOIN tfidf b USING (word) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rank FROM s) SELECT i, j, s AS similarity FROM r WHERE rank <= 17 AND i <> j")
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_images(weights(spark, sf_dir))
+
+
+def similar_images(w: DataFrame) -> DataFrame:
     """The 17 most similar images of each, itself removed afterwards: dot products over shared words."""
-    w = settle(weights(spark, sf_dir), "weights")
+    w = settle(w, "weights")
     a, b = w.select("word", F.col("image_id").alias("i"), F.col("weight").alias("x")), w.select("word", F.col("image_id").alias("j"), F.col("weight").alias("y"))
     s = a.join(b, "word").groupBy("i", "j").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("similarity"), "j"))
@@ -83,20 +90,73 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair.where((F.col("n") == 2) & (F.col("a.gap") < 0.95 * F.col("second"))).select("image_id", "feat_id", F.col("a.other").alias("other"))
 
 
+#: Most words of a vocabulary, most descriptors of an image that it is fitted to, and descriptors of an image at which images are added.
+VOCABULARY, PER_IMAGE, FULL_IMAGE = 128, 50, 125
+
+
+def image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descriptors dealt over 40 images, or more if those would be full: the images grow with the table."""
+    d = descriptors(spark, sf_dir)
+    return d.withColumn("image_id", F.pmod("feat_id", F.lit(max(40, d.count() // FULL_IMAGE))))
+
+
+def vocabulary(d: DataFrame) -> DataFrame:
+    """word, centre: k-means of at most PER_IMAGE seeded descriptors an image, written once."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    sample = settle(seeded_sample(d), "sample").select(array_to_vector(F.col("desc").cast("array<double>")).alias("features"))
+    n = sample.count()
+    centres = KMeans(k=min(VOCABULARY, n), maxIter=30, tol=0.1, seed=0, initMode="k-means||").fit(sample).clusterCenters() if n > 1 else [r.features.toArray() for r in sample.collect()]
+    return settle(d.sparkSession.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "word long, centre array<double>"), "centres")
+
+
+def worded(d: DataFrame, words: DataFrame) -> DataFrame:
+    """d with the nearest word of each descriptor, ties to the smaller one; words (VOCABULARY at most) become one row."""
+    every = words.agg(F.collect_list(F.struct("word", "centre")).alias("_words"))
+    gaps = F.transform("_words", lambda w: F.struct(F.round(proximity.squared_gap(F.col("desc"), w["centre"]), 9).alias("gap"), w["word"].alias("word")))
+    return d.crossJoin(F.broadcast(every)).withColumn("word", F.array_min(gaps)["word"]).drop("_words")
+
+
 @query("G6_vocabulary")
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-means words of at most 50 seeded descriptors an image."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """k-means words of a bounded sample, with all descriptors that are nearest to each."""
+    d = image_descriptors(spark, sf_dir)
+    words = vocabulary(d)
+    found = worded(d, words).groupBy("word").agg(F.count("*").alias("members"), F.avg(F.col("desc")[0].cast("double")).alias("first_mean"))
+    return words.join(found, "word", "left").select("word", F.coalesce("members", F.lit(0)).alias("members"), "first_mean", "centre")
 
-    sample = sampled_descriptors(spark, sf_dir).select(array_to_vector(F.col("desc").cast("array<double>")).alias("features"))
-    model = KMeans(k=WORDS, maxIter=30, tol=0.1, seed=0, initMode="k-means||").fit(sample)
-    return model.transform(sample).groupBy(F.col("prediction").alias("word")).agg(F.count("*").alias("members"), F.avg(vector_to_array("features")[0]).alias("first_mean"))
 
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms over the k-means vocabulary, of all descriptors."""
+    d = image_descriptors(spark, sf_dir)
+    return settle(worded(d, vocabulary(d)).groupBy("image_id", "word").agg(F.count("*").alias("n")), "counts")
 
-def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+@query("A5_whole_histogram")
+def a5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_counts(spark, sf_dir)
+
+
+@query("A4_whole_tf_idf")
+def a4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = word_counts(spark, sf_dir)
+    return weighted(h, h.select("image_id").distinct().count()).withColumn("weight", F.round("weight", 6))
+
+
+@query("J3_whole_similar_images")
+def j3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = word_counts(spark, sf_dir)
+    return similar_images(weighted(h, h.select("image_id").distinct().count()))
+
+
+def seeded_sample(d: DataFrame) -> DataFrame:
     order = Window.partitionBy("image_id").orderBy(F.sha2(F.concat_ws("|", F.col("feat_id").cast("string"), F.lit("0")), 256), "feat_id")
-    return descriptors(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 50")
+    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_IMAGE)
+
+
+def sampled_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded_sample(descriptors(spark, sf_dir))
 
 
 @query("L8_seeded_sample", "SELECT image_id, feat_id FROM (SELECT vec_id % 40 AS image_id, vec_id AS feat_id, row_number() OVER (PARTITION BY vec_id % 40 ORDER BY sha256(concat(vec_id, '|0')), vec_id) AS rank FROM embeddings) WHERE rank <= 50")

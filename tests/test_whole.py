@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terraweft.operators import fit, projective
+from terraweft.plans import matching
 from terraweft.plans.capture import arrival_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +138,34 @@ def test_samples_are_of_different_places(spark):
     for g, k, _, at in s:
         by[g, k].add(at)
     assert len(by) == 100 and all(len(x) == 4 and x <= set(range(4 if g == 1 else 9)) for (g, _), x in by.items())
+
+
+def test_every_descriptor_gets_its_nearest_word(spark):
+    rng = np.random.default_rng(2)
+    centres, d = rng.normal(size=(20, 8)), rng.normal(size=(500, 8))
+    words = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "word long, centre array<double>")
+    rows = spark.createDataFrame([(k % 7, k, x.tolist()) for k, x in enumerate(d)], "image_id long, feat_id long, desc array<double>")
+    nearest = np.square(d[:, None] - centres).sum(2).argmin(1)
+    held = matching.worded(rows, words).select("image_id", "feat_id", "word")
+    assert {r.feat_id: r.word for r in held.collect()} == dict(enumerate(nearest.tolist()))
+    n = Counter((k % 7, int(w)) for k, w in enumerate(nearest))
+    having = Counter(w for _, w in n)
+    raw = {(i, w): c * (math.log(8 / (1 + having[w])) + 1) for (i, w), c in n.items()}
+    total = Counter()
+    for (i, _), x in raw.items():
+        total[i] += x
+    want = {(i, w): math.sqrt(x / max(total[i], 1)) for (i, w), x in raw.items()}
+    weights = matching.weighted(held.groupBy("image_id", "word").agg(F.count("*").alias("n")), 7)
+    assert {(r.image_id, r.word): r.weight for r in weights.collect()} == pytest.approx(want)
+    close = {(i, j): sum(x * want.get((j, w), 0) for (k, w), x in want.items() if k == i) for i in range(7) for j in range(7) if i != j}
+    assert {(r.i, r.j): r.similarity for r in matching.similar_images(weights).collect()} == pytest.approx(close, abs=1e-6)
+
+
+def test_vocabulary_counts_all_descriptors(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    table = pd.DataFrame({"vec_id": range(1000, 7000), "embedding": [x.astype(np.float32).tolist() for x in rng.normal(size=(6000, 4))]})
+    spark.createDataFrame(table, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = entry.queries()["G6_vocabulary"](spark, str(tmp_path)).collect()
+    assert len(found) == 128 and sum(r.members for r in found) == 6000
+    counts = entry.queries()["A5_whole_histogram"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in counts) == 6000 and len({r.image_id for r in counts}) == 48
