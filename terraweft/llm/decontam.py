@@ -3,7 +3,7 @@
 Normalised: A-Z lower-cased, words are runs of letters and digits (every character from U+0080 up counts as a letter).
 A pattern is a window of WINDOW consecutive words of an item; an item with fewer words, but not none, is one window.
 The automaton is compiled once per Python worker. Patterns are sent in groups of at most GROUP_CHARS characters, which
-bounds what is broadcast; a larger benchmark is scanned group by group and the hits of a document are merged.
+bounds what is broadcast; a larger benchmark is scanned group by group and the hits of a row are united by a key of its own.
 
 Defined results: null texts have no words; an item without words matches nothing; equal items all count; hits at ties or
 overlaps are the union of their words; a table without rows gives an empty result. Spans are character offsets in the
@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,6 +24,9 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from terraweft.session import settle
 
 WINDOW = 10
 GROUP_CHARS = 32_000_000
@@ -102,12 +106,54 @@ def _groups(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, int, li
     yield [(p, n, sorted(i)) for (p, n), i in held.items()]
 
 
+def _split(benchmark: DataFrame, size: int) -> tuple[bool, Iterator[list[tuple[str, int, list[int]]]]]:
+    """Whether there is more than one group, and the groups."""
+    groups = _groups(benchmark, size)
+    head = [g for _, g in zip(range(2), groups)]
+    return len(head) > 1, chain(head, groups)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, hit_words (their numbers, from 0), items (sorted item_ids) and spans of each row of docs."""
     schema = "doc_id long, n_words long, hit_words array<int>, items array<long>, spans array<struct<start:int,end:int>>"
-    results = []
-    for patterns in _groups(benchmark, size):
-        sent = docs.sparkSession.sparkContext.broadcast(patterns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several, groups = _split(benchmark, size)
+    if several:
+        keyed = _keyed(rows)
+        hit = _united(keyed, groups)
+        return keyed.select("_key", "doc_id").join(hit, "_key").select("doc_id", "n_words", F.transform("places", lambda p: p["word"]).alias("hit_words"), "items", _runs("places").alias("spans"))
+    patterns = next(groups)
+    sent = docs.sparkSession.sparkContext.broadcast(patterns)
+    key = hashlib.sha1(repr(patterns).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if key not in _compiled:
+            _compiled.clear()
+            _compiled[key] = automaton(sent.value)
+        for b in batches:
+            rows = [(*hits(_compiled[key], sent.value, t), t) for t in b.text]
+            yield pd.DataFrame({
+                "doc_id": b.doc_id.astype("Int64"),
+                "n_words": [r[0] for r in rows],
+                "hit_words": [r[1].astype(np.int32) for r in rows],
+                "items": [np.array(sorted(r[2]), np.int64) for r in rows],
+                "spans": [[{"start": a, "end": b} for a, b in spans(r[3], r[1])] for r in rows],
+            })
+
+    return rows.mapInPandas(run, schema)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs, written with a key for each row, so that equal rows stay apart and every scan sees the same keys."""
+    return settle(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+
+
+def _united(keyed: DataFrame, groups: Iterator[list[tuple[str, int, list[int]]]]) -> DataFrame:
+    """_key, n_words, places (word, start and end of each hit word, in order) and items over all groups. Texts don't move."""
+    schema = "_key long, n_words long, places array<struct<word:int,start:int,end:int>>, items array<long>"
+    every = None
+    for patterns in groups:
+        sent = keyed.sparkSession.sparkContext.broadcast(patterns)
         key = hashlib.sha1(repr(patterns).encode("utf-8", "surrogatepass")).hexdigest()
 
         def run(batches: Iterator[pd.DataFrame], sent=sent, key=key) -> Iterator[pd.DataFrame]:
@@ -116,22 +162,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
                 _compiled[key] = automaton(sent.value)
             for b in batches:
                 rows = [(*hits(_compiled[key], sent.value, t), t) for t in b.text]
+                at = [[m.span() for m in _CASED.finditer(t)] if len(words) else [] for _, words, _, t in rows]
                 yield pd.DataFrame({
-                    "doc_id": b.doc_id.astype("Int64"),
+                    "_key": b._key,
                     "n_words": [r[0] for r in rows],
-                    "hit_words": [r[1].astype(np.int32) for r in rows],
+                    "places": [[{"word": int(w), "start": x[w][0], "end": x[w][1]} for w in r[1]] for r, x in zip(rows, at, strict=True)],
                     "items": [np.array(sorted(r[2]), np.int64) for r in rows],
-                    "spans": [[{"start": a, "end": b} for a, b in spans(r[3], r[1])] for r in rows],
                 })
 
-        results.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema))
-    if len(results) == 1:
-        return results[0]
-    every = results[0]
-    for r in results[1:]:
-        every = every.unionByName(r)
-    merged = every.groupBy("doc_id", "n_words").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items", "spans")))
-    return merged
+        found = keyed.select("_key", "text").mapInPandas(run, schema)
+        every = found if every is None else every.unionByName(found)
+    return every.groupBy("_key").agg(F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("places", "items")))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def _runs(places: pd.Series) -> pd.Series:
+    """Spans of neighbouring hit words."""
+    out = []
+    for words in places:
+        run: list[dict] = []
+        last = None
+        for p in words:
+            if run and p["word"] == last + 1:
+                run[-1]["end"] = p["end"]
+            else:
+                run.append({"start": p["start"], "end": p["end"]})
+            last = p["word"]
+        out.append(run)
+    return pd.Series(out, dtype="object")
 
 
 def _clean(sent: Broadcast, key: str, share: float) -> Callable[[str], Column]:
@@ -152,10 +210,16 @@ def _clean(sent: Broadcast, key: str, share: float) -> Callable[[str], Column]:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = 0.0) -> DataFrame:
     """docs without the rows of which more than `share` of the words are hit; columns are docs'.
 
-    The scan runs beside the row, so that no join is needed; a benchmark of several groups filters group by group.
+    The scan runs beside the row, so that no join is needed; a benchmark of several groups filters group by group. Only
+    a share of the words of several groups' hits takes a join, by a key of the row.
     """
+    several, groups = _split(benchmark, size)
+    if several and share > 0:
+        keyed = _keyed(docs)
+        over = _united(keyed, groups).where(F.size("places") > share * F.col("n_words")).select("_key")
+        return keyed.join(over, "_key", "left_anti").select(*docs.columns)
     kept = docs
-    for patterns in _groups(benchmark, size):
+    for patterns in groups:
         sent = docs.sparkSession.sparkContext.broadcast(patterns)
         key = hashlib.sha1(repr(patterns).encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -1,0 +1,24 @@
+"""Cases beyond the given tables, by brute force."""
+
+import random
+
+from terraweft.llm import decontam
+
+
+def test_groups_of_a_benchmark_give_the_rows_of_one(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(14))) for k in range(12)]
+    plain = lambda n: " ".join(f"x{rng.randrange(400)}" for _ in range(n))
+    rows = [(None, f"{plain(6)} {items[a][1]}, {items[b][1].upper()} {plain(2)}") for a, b in ((0, 11), (3, 8), (5, 5))]
+    rows += [(1, f"{plain(22)} {items[0][1]}"), (1, f"{items[9][1]} {plain(22)}"), (1, plain(36)), (2, None), (2, None), (3, "")]
+    rows += [rows[0], rows[3], rows[5]]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted(map(repr, decontam.scan(docs, bench).collect())), [sorted(map(repr, decontam.drop_contaminated(docs, bench, share=s).collect())) for s in (0.0, 0.5)]
+
+    want = found()
+    assert len(want[0]) == len(rows) and len(want[1][1]) > len(want[1][0])
+    monkeypatch.setattr(decontam, "GROUP_CHARS", 500)
+    assert len(list(decontam._groups(bench, 10))) > 3
+    assert found() == want
