@@ -183,8 +183,8 @@ def pseudonym(x: Column, key: str) -> Column:
 
 def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the findings in text replaced, and their numbers of each kind in _pii (an array of kinds)."""
-    # Every kind has a digit or an @; a text without them is passed as it is.
-    some = F.col("text").rlike("[0-9@]")
+    # Every kind has a digit, an @ or AKIA; a text without them is passed as it is.
+    some = F.col("text").rlike("[0-9@]|AKIA")
     found = F.when(some, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     pieces = F.when(F.size("_found") > 0, F.split("text", ANY, -1))
     new = F.transform("_found", lambda x: pseudonym(x, key))
