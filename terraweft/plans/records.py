@@ -216,7 +216,7 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("S13_commented_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '// kept' AS note FROM events")
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON with // and /* */ comments outside strings."""
-    text = F.concat(F.lit('// head\n{"note": "// kept", /* "k": 0,\n */ '), F.substring("props", 2, 10_000), F.lit(" // tail"))
+    text = F.concat(F.lit('// head\n{"note": "// kept", /* "k": 0,\n */ '), F.col("props").substr(F.lit(2), F.length("props")), F.lit(" // tail"))
     parsed = F.from_json(config.without_comments(text), "note string, k long")
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), parsed["note"].alias("note"))
 

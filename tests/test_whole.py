@@ -169,3 +169,9 @@ def test_vocabulary_counts_all_descriptors(spark, tmp_path):
     assert len(found) == 128 and sum(r.members for r in found) == 6000
     counts = entry.queries()["A5_whole_histogram"](spark, str(tmp_path)).collect()
     assert sum(r.n for r in counts) == 6000 and len({r.image_id for r in counts}) == 48
+
+
+def test_long_settings_are_read_whole(spark, tmp_path):
+    props = '{"pad": "' + "x" * 20_000 + '", "k": 7}'
+    spark.createDataFrame([(1, props), (2, '{"k": 3}')], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.event_id: r.k for r in entry.queries()["S13_commented_json"](spark, str(tmp_path)).collect()} == {1: 7, 2: 3}
