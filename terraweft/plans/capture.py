@@ -91,8 +91,10 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W7_resample", f"""WITH {FRAMES_SQL}, n AS (SELECT session, list(frame_id ORDER BY frame_id) AS ids FROM frames GROUP BY session), k AS (SELECT session, ids, unnest(range(0, 40)) AS k FROM n)
 SELECT session, k AS place, ids[1 + CAST(floor(k * (len(ids) - 1) / 39e0) AS BIGINT)] AS frame_id FROM k""")
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = frames(spark, sf_dir).groupBy("session").agg(F.array_sort(F.collect_list("frame_id")).alias("ids"))
-    return ids.select("session", F.posexplode(sequence.resampled(F.col("ids"), 40)).alias("place", "frame_id")).withColumn("place", F.col("place").cast("long"))
+    f = frames(spark, sf_dir).select("session", F.col("seq").cast("long").alias("seq"), "frame_id")
+    places = f.groupBy("session").agg(F.count("*").alias("n")).select("session", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("place"))
+    wanted = places.select("session", "place", (F.floor(F.col("place") * (F.col("n") - 1) / F.lit(39.0)) + 1).alias("seq"))
+    return wanted.join(f, ["session", "seq"]).select("session", "place", "frame_id")
 
 
 @query("W11_every_nth", f"WITH {FRAMES_SQL} SELECT session, seq AS at_count, seq // 25 AS run FROM frames WHERE seq % 25 = 0")

@@ -303,11 +303,11 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("matches >= 20 and inliers >= 18 and inliers >= 0.35 * matches and back <= 0.04").select("i", "j", "matches", "inliers")
 
 
-def hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull of points (monotone chain, shoelace)."""
+def hull(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
+    """Corners of the convex hull of points (monotone chain)."""
     p = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
     if len(p) < 3:
-        return 0.0
+        return p
 
     def half(points: list) -> list:
         out: list = []
@@ -317,20 +317,37 @@ def hull_area(x: np.ndarray, y: np.ndarray) -> float:
             out.append(q)
         return out
 
-    hull = half(p)[:-1] + half(p[::-1])[:-1]
-    a = np.array(hull)
+    return half(p)[:-1] + half(p[::-1])[:-1]
+
+
+def hull_area(x: np.ndarray, y: np.ndarray) -> float:
+    """Area of the convex hull of points (shoelace)."""
+    a = np.array(hull(x, y))
+    if len(a) < 3:
+        return 0.0
     return float(abs(np.dot(a[:, 0], np.roll(a[:, 1], -1)) - np.dot(a[:, 1], np.roll(a[:, 0], -1))) / 2)
 
 
+def extreme_points(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """Of each group, the hull's corners of every batch of rows, taken where the rows are read."""
+    rows = df.select(*group, x, y)
+
+    def run(batches):
+        for b in batches:
+            kept = [(*(k if isinstance(k, tuple) else (k,)), *p) for k, g in b.groupby(group, dropna=False, sort=False) for p in hull(g[x].to_numpy(), g[y].to_numpy())]
+            yield pd.DataFrame(kept, columns=[*group, x, y])
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def hull_areas(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Hull area of each group's points. Only extreme points of each of 32 directions of an octagonal sieve could be dropped;
-    the group's points are one view's, a bounded number."""
+    """Hull area of each group's points: the hull of the hulls of batches, so that only extreme points travel."""
 
     @F.pandas_udf("double")
     def area(px: pd.Series, py: pd.Series) -> float:
         return hull_area(px.to_numpy(), py.to_numpy())
 
-    return df.groupBy(*group).agg(area(x, y).alias("area"))
+    return extreme_points(df, group, x, y).groupBy(*group).agg(area(x, y).alias("area"))
 
 
 @query("G3_hull_area")

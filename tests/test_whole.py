@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terraweft.operators import fit, projective
-from terraweft.plans import matching
+from terraweft.plans import extras, matching
 from terraweft.plans.capture import arrival_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +175,21 @@ def test_long_settings_are_read_whole(spark, tmp_path):
     props = '{"pad": "' + "x" * 20_000 + '", "k": 7}'
     spark.createDataFrame([(1, props), (2, '{"k": 3}')], "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert {r.event_id: r.k for r in entry.queries()["S13_commented_json"](spark, str(tmp_path)).collect()} == {1: 7, 2: 3}
+
+
+def test_hulls_of_batches_give_the_area_of_all(spark):
+    rng = np.random.default_rng(6)
+    p = rng.uniform(0, 100, (30_000, 2))
+    rows = pd.DataFrame({"g": np.where(np.arange(30_000) < 29_000, 1, 2), "x": p[:, 0], "y": p[:, 1]})
+    df = spark.createDataFrame(pd.concat([rows, pd.DataFrame({"g": 3, "x": range(50), "y": range(50)})]), "g long, x double, y double")
+    assert matching.extreme_points(df, ["g"], "x", "y").count() < 1000
+    got = {r.g: r.area for r in matching.hull_areas(df, ["g"], "x", "y").collect()}
+    assert got == pytest.approx({g: matching.hull_area(*rows[rows.g == g][["x", "y"]].to_numpy().T) for g in (1, 2)} | {3: 0.0})
+
+
+@pytest.mark.parametrize("name", ["W7_resample", "K13_exchange_round_trip"])
+def test_sessions_are_not_collected(spark, name, monkeypatch):
+    seen = []
+    monkeypatch.setattr(extras, "settle", lambda df, name: seen.append(df) or df)
+    seen.append(entry.queries()[name](spark, SF))
+    assert not any("collect_list" in df._jdf.queryExecution().toString() for df in seen)
