@@ -164,7 +164,7 @@ WITH RECURSIVE d AS (
 ), e AS (SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l
 ), reach(node, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen
 ), c AS (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY 1)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(k, 0) AS n_links FROM c LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM e GROUP BY 1) USING (doc_id)
 """
 
 OP7_SQL = r"""

@@ -61,10 +61,16 @@ def components_by_force(rows):
     return sorted((repr((i, len(s), low.get(root(k)))) for k, (i, s) in enumerate(sets)))
 
 
+def links_by_force(rows):
+    sets = [(i, set(shingles(t).tolist())) for i, t in rows]
+    return sorted(repr((i, len(x), sum(1 for m, (_, y) in enumerate(sets) if m != k and x and y and 100 * len(x & y) >= 80 * len(x | y)))) for k, (i, x) in enumerate(sets))
+
+
 def test_join_by_force(spark):
     rows = near_copies()
     got = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == components_by_force(rows)
+    assert sorted(repr((r.doc_id, r.n_shingles, r.n_links)) for r in got) == links_by_force(rows)
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
@@ -79,17 +85,29 @@ def test_large_group_in_blocks(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == components_by_force(rows)
+    assert sorted(repr((r.doc_id, r.n_shingles, r.n_links)) for r in got) == links_by_force(rows)
 
 
-def test_overlaps_by_slices():
+@pytest.mark.parametrize(("of", "slice_"), [(300, 4096), (300, 7), (30_000, 4096)])
+def test_partial_overlaps_by_force(monkeypatch, of, slice_):
+    monkeypatch.setattr(ngram_join, "SLICE", slice_)
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 300, 120)).astype(np.uint64) for _ in range(20)]
-    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    got = ngram_join.overlaps(sets)
-    np.fill_diagonal(got, 0)
-    want = np.array(want)
-    np.fill_diagonal(want, 0)
-    assert (got == want).all()
+    left, right = ([np.unique(rng.integers(0, of, size)).astype(np.uint64) for size in rng.integers(0, 150, n)] for n in (20, 13))
+    assert ngram_join.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert ngram_join.overlaps([np.empty(0, np.uint64)], []).shape == (1, 0)
+
+
+def test_chain_of_boilerplate(spark, monkeypatch):
+    """Neighbours share a passage, so that all texts meet in one long chain, and a few of them are linked."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    monkeypatch.setattr(ngram_join, "PROBE_SHARE", 0.05)
+    rng = random.Random(12)
+    shared = [words(rng, 40, 10**6) for _ in range(91)]
+    rows = [(k, f"{shared[k]} {shared[k + 1]}") for k in range(90)]
+    rows += [(100 + k, rows[k][1] + " one word more") for k in range(0, 90, 9)]
+    got = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == components_by_force(rows)
+    assert sum(r.n_links for r in got) == 20
 
 
 def removed_by_force(rows, window):
