@@ -128,17 +128,62 @@ def removed_by_force(rows, window):
     return sorted(out)
 
 
-def test_substring_by_force(spark):
-    rng = random.Random(9)
-    passages = [words(rng, n, 10**6) for n in (50, 51, 75, 120, 49)]
+def passages_of(rng, docs):
+    shared = [words(rng, n, 10**6) for n in (50, 51, 75, 120, 49)]
     rows = []
-    for k in range(40):
-        parts = [words(rng, rng.randrange(0, 60), 10**6)] + [p for p in passages if rng.random() < 0.4] + [words(rng, rng.randrange(0, 60), 10**6)]
+    for k in range(docs):
+        parts = [words(rng, rng.randrange(0, 60), 10**6)] + [p for p in shared if rng.random() < 0.4] + [words(rng, rng.randrange(0, 60), 10**6)]
         rows.append((k, "\n".join(parts)))
-    rows += [(40, rows[0][1]), (41, None), (42, ""), (43, passages[0]), (43, passages[2]), (None, passages[3]), (44, "a " * 4000), (45, passages[1].replace(" ", " \t"))]
+    return shared, rows
+
+
+def removed(spark, rows):
     got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == removed_by_force(rows, 50)
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
+    return sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
+
+
+def test_substring_by_force(spark):
+    rng = random.Random(9)
+    passages, rows = passages_of(rng, 40)
+    rows += [(40, rows[0][1]), (41, None), (42, ""), (43, passages[0]), (43, passages[2]), (None, passages[3]), (44, "a " * 4000), (45, passages[1].replace(" ", " \t"))]
+    long = words(rng, 5000, 10**6).split()
+    rows += [(46, " ".join(long)), (47, " ".join(["new"] + long[:1080] + ["and"] + long[2040:4100])), (48, " ".join(long[1000:1050]))]
+    assert removed(spark, rows) == removed_by_force(rows, 50)
+
+
+def test_shared_units_by_force(spark, monkeypatch):
+    """Passages of many documents: their shards exchange what they hold; pieces are short, texts of any length are cut."""
+    monkeypatch.setattr(substring, "SHARD_WORDS", 500)
+    monkeypatch.setattr(substring, "FRAGMENT", 300)
+    monkeypatch.setattr(substring, "STEP", 64)
+    rng = random.Random(10)
+    passages, rows = passages_of(rng, 60)
+    rows += [(k, f"{passages[3]} {words(rng, 30, 10**6)} {passages[3][: len(passages[3]) // 2]}") for k in range(-30, 0, 3)]
+    rows += [(60, words(rng, 900, 10**6)), (61, None), (62, rows[5][1]), (62, rows[6][1]), (62, rows[6][1])]
+    rows += [(63, " ".join(rows[70][1].split()[40:500])), (64, "b " * 300)]
+    assert removed(spark, rows) == removed_by_force(rows, 50)
+
+
+def test_nothing_is_found_without_the_automaton(spark, monkeypatch):
+    text = words(random.Random(3), 90, 10**6)
+    shard = pd.DataFrame({"shard": 1, "shared": False, "doc_id": [4, 2], "tag": [7, 8], "start": [0, 1024], "text": [("x " + text).encode(), text.encode()], "compile": [[], [13]]})
+    got = substring._located(50, 25)(shard)
+    assert got.values.tolist() == [[4, 7, [{"start": 1, "end": 1 + 13 + 50}]]]
+    monkeypatch.setattr(substring, "automaton", lambda *_: substring.ahocorasick.Automaton())
+    assert not len(substring._located(50, 25)(shard))
+
+
+def test_equal_hashes_of_different_words(monkeypatch):
+    monkeypatch.setattr(substring, "phrase_hashes", lambda h, size: np.zeros(len(h) - size + 1, np.uint64))
+    flat = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    assert substring.sources(flat, np.array([0, 3, 6, 1]), 3).tolist() == [0, 1, 0, 3]
+
+
+def test_empty_tables_and_other_columns_of_substring(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, tag int")
+    assert [r.n_words for r in substring.repeated_passages(df).collect()] == [1]
+    assert substring.repeated_passages(df.limit(0)).collect() == []
 
 
 def test_decontamination_by_force(spark):
