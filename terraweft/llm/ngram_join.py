@@ -8,7 +8,7 @@ fragment. Two steps count within fragments and sum what they counted:
    of its whole size has no link. Copies of one set count as one. Each task first combines what it has read, so that a
    shingle of very many documents reaches its fragment once for each chunk, not once for each document.
 2. Overlap. The sets that remain meet where they share one of their rarest shingles (prefix filter). Sets that meet form
-   blocks of bounded size: a small group is one block; in a large one a set belongs to the largest of its meeting places,
+   blocks of bounded size: a small group is one block; in a large one a set belongs to the largest of its meeting places
    and only blocks with a meeting place in common are compared. Segments are shuffled by block pair and fragment, the
    partial overlaps of a fragment are counted alone, and a second shuffle sums them per pair. A large group thus becomes
    many keys of bounded size. Only a spanning forest of a block pair's links and the number of links of each set leave
@@ -337,6 +337,8 @@ def _dealt(clusters: DataFrame, sizes: DataFrame, postings: DataFrame, spots: Da
 
     A cluster within a block's bounds is one block. In a larger one a set's home is the meeting place with the most sets
     of those it has; a home is cut into blocks of bounded size, and blocks are compared if a meeting place has sets of both.
+    A chain of small meeting places thus stays local, and n sets that all meet are copied n / BLOCK_SETS times, which is
+    what counting all their links takes.
     """
     wide = clusters.join(sizes, "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("volume"))
     wide = settle(wide.where(f"sets > {BLOCK_SETS} or volume > {BLOCK_SHINGLES}").select("cluster", F.lit(True).alias("wide")), "wide")
@@ -344,9 +346,14 @@ def _dealt(clusters: DataFrame, sizes: DataFrame, postings: DataFrame, spots: Da
     one = placed.where("wide is null").select("node", F.col("cluster").alias("b1"), F.col("cluster").alias("b2"), F.lit(0).alias("side"))
     if not wide.take(1):
         return one
-    held = postings.join(placed.where("wide").select("node").hint("shuffle_hash"), "node", "left_semi")
+    inside = placed.where("wide").select("node", "cluster")
+    held = postings.join(inside.select("node").hint("shuffle_hash"), "node", "left_semi")
     held = settle(split_join(held, spots, "spot"), "held")
-    homes = held.groupBy("node").agg(F.max(F.struct("size", "spot"))["spot"].alias("home")).join(sizes, "node")
+    homes = held.groupBy("node").agg(F.max(F.struct("size", "spot")).alias("x")).select("node", F.col("x.spot").alias("home"), F.col("x.size").alias("size"))
+    homes = settle(homes.join(sizes, "node").join(inside, "node"), "homes")
+    # What few sets call home in a crowded place is pooled: its sets meet most of the others anyway.
+    few = homes.where(f"size >= {BLOCK_SETS}").groupBy("home").agg(F.count("*").alias("sets")).where(f"sets < {BLOCK_SETS // 2}").select("home", F.lit(True).alias("few"))
+    homes = salted_lookup(homes, few, "home", "node").withColumn("home", F.when(F.col("few"), F.xxhash64("cluster", F.lit("pool"))).otherwise(F.col("home")))
     cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     homes = salted_lookup(homes, cut, "home", "node").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
     homes = settle(homes, "homes")

@@ -40,7 +40,7 @@ WINDOW, ANCHOR = 50, 25
 #: Words of a piece, not counting what it shares with the next one.
 STEP = 1024
 #: Words of the pieces of a shard, about.
-SHARD_WORDS = 600_000
+SHARD_WORDS = 200_000
 #: Digests in a fragment of the exchange, about.
 FRAGMENT = 500_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
