@@ -335,33 +335,39 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
 def _dealt(clusters: DataFrame, sizes: DataFrame, postings: DataFrame, spots: DataFrame) -> DataFrame:
     """node, b1, b2, side: the block pairs in which each set is compared.
 
-    A cluster within a block's bounds is one block. In a larger one a set's home is the meeting place with the most sets
-    of those it has; a home is cut into blocks of bounded size, and blocks are compared if a meeting place has sets of both.
-    A chain of small meeting places thus stays local, and n sets that all meet are copied n / BLOCK_SETS times, which is
-    what counting all their links takes.
+    A cluster within a block's bounds is one block. A larger one is cut in two ways, and the one that copies fewer sets is
+    taken. By places: a set's home is the meeting place with the most sets of those it has; a home is cut into blocks of
+    bounded size, and blocks are compared if a meeting place has sets of both, so that a chain stays local. By hash: all
+    blocks are compared, so that n sets which all meet are copied n / BLOCK_SETS times, as counting all their links takes.
     """
     wide = clusters.join(sizes, "node").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("volume"))
-    wide = settle(wide.where(f"sets > {BLOCK_SETS} or volume > {BLOCK_SHINGLES}").select("cluster", F.lit(True).alias("wide")), "wide")
-    placed = salted_lookup(clusters, wide, "cluster", "node")
-    one = placed.where("wide is null").select("node", F.col("cluster").alias("b1"), F.col("cluster").alias("b2"), F.lit(0).alias("side"))
+    wide = wide.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("volume") / BLOCK_SHINGLES)).cast("int"))
+    wide = settle(wide.where("blocks > 1").select("cluster", "blocks", (F.col("sets") * F.col("blocks")).alias("copied")), "wide")
+    placed = salted_lookup(clusters, wide.select("cluster", "blocks"), "cluster", "node")
+    one = placed.where("blocks is null").select("node", F.col("cluster").alias("b1"), F.col("cluster").alias("b2"), F.lit(0).alias("side"))
     if not wide.take(1):
         return one
-    inside = placed.where("wide").select("node", "cluster")
+    inside = placed.where("blocks is not null").select("node", "cluster")
     held = postings.join(inside.select("node").hint("shuffle_hash"), "node", "left_semi")
     held = settle(split_join(held, spots, "spot"), "held")
-    homes = held.groupBy("node").agg(F.max(F.struct("size", "spot")).alias("x")).select("node", F.col("x.spot").alias("home"), F.col("x.size").alias("size"))
-    homes = settle(homes.join(sizes, "node").join(inside, "node"), "homes")
-    # What few sets call home in a crowded place is pooled: its sets meet most of the others anyway.
-    few = homes.where(f"size >= {BLOCK_SETS}").groupBy("home").agg(F.count("*").alias("sets")).where(f"sets < {BLOCK_SETS // 2}").select("home", F.lit(True).alias("few"))
-    homes = salted_lookup(homes, few, "home", "node").withColumn("home", F.when(F.col("few"), F.xxhash64("cluster", F.lit("pool"))).otherwise(F.col("home")))
-    cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    homes = salted_lookup(homes, cut, "home", "node").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("block"))
+    homes = held.groupBy("node").agg(F.max(F.struct("size", "spot"))["spot"].alias("home")).join(sizes, "node").join(inside, "node")
     homes = settle(homes, "homes")
+    cut = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    homes = settle(salted_lookup(homes, cut, "home", "node").select("node", "cluster", F.xxhash64("home", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "homes")
     at = settle(held.join(homes, "node").select("spot", "block").distinct(), "at")
-    met = at.join(at.withColumnRenamed("block", "b2"), "spot").where("block < b2").select(F.col("block").alias("b1"), "b2").distinct()
-    sides = met.select(F.explode(F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side")))).alias("x"), "b1", "b2")
-    across = split_join(homes, sides.select("x.block", "b1", "b2", "x.side"), "block").select("node", "b1", "b2", "side")
-    return one.unionByName(homes.select("node", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(0).alias("side"))).unionByName(across)
+    met = at.join(at.withColumnRenamed("block", "b2"), "spot").where("block <= b2").select(F.col("block").alias("b1"), "b2").distinct()
+    ends = F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side")))
+    sides = met.select("b1", "b2", F.explode(F.when(F.expr("b1 = b2"), F.slice(ends, 1, 1)).otherwise(ends)).alias("x"))
+    sides = settle(sides.select("x.block", "b1", "b2", "x.side"), "sides")
+    local = homes.groupBy("cluster", "block").agg(F.count("*").alias("sets")).join(sides, "block").groupBy("cluster").agg(F.sum("sets").alias("local"))
+    hashed = settle(wide.join(local, "cluster").where("copied <= local").select("cluster", "blocks"), "hashed")
+
+    by_place = split_join(salted_lookup(homes, hashed, "cluster", "node").where("blocks is null"), sides, "block").select("node", "b1", "b2", "side")
+    every = salted_lookup(inside, hashed, "cluster", "node", how="inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = lambda c: F.xxhash64("cluster", c)
+    by_hash = every.select("node", name(F.least("block", "other")).alias("b1"), name(F.greatest("block", "other")).alias("b2"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return one.unionByName(by_place).unionByName(by_hash)
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
