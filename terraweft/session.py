@@ -46,6 +46,7 @@ def discard(df: DataFrame) -> None:
         if "/terraweft/" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # Spark deletes the files of shuffles that no live plan refers to once they are collected
 
 
 def clear(spark: SparkSession) -> None:
