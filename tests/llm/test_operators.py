@@ -354,6 +354,33 @@ def test_exact_search_by_force_and_relaxed_recall(spark, monkeypatch):
     assert np.mean([len(set(relaxed[q]) & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize(("offset", "spread"), [(0.0, 1.0), (1e4, 1e-3), (1e6, 1e-2), (1e8, 1.0), (-3e8, 1e-3)])
+def test_trees_far_from_the_origin(offset, spread):
+    rng = np.random.default_rng(4)
+    points = offset + spread * rng.normal(size=(1500, 16))
+    ids, asked = np.arange(1500), np.arange(0, 1500, 60)
+    tree = ann.Tree(ids, points, 32)
+    want = nearest_by_force(ids.tolist(), points, asked.tolist(), 10)
+    best, who = tree.search(asked, points[asked], 10)
+    assert {int(q): w.tolist() for q, w in zip(asked, who)} == want
+    assert (tree.search(asked, points[asked], 10, 1.0, best[:, -1])[1] == who).all()
+
+
+def test_search_of_vectors_of_all_magnitudes(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("BLOCK", 5), ("LEAF", 8)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(5)
+    points = np.concatenate([m + s * rng.normal(size=(60, 6)) for m, s in ((0, 1), (0, 1e-6), (1e6, 1e-2), (1e8, 1), (0, 1e8), (1e150, 1e140))])
+    df = spark.createDataFrame([(k, p.tolist(), "kept", 0.5) for k, p in enumerate(points)], "vec_id long, embedding array<double>, bound string, far double")
+    asked = list(range(0, len(points), 7))
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 7 = 0"), 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == nearest_by_force(list(range(len(points))), points, asked, 10)
+    assert ann.nearest(df.limit(0), df, 10).collect() == [] and ann.nearest(df, df.limit(0), 10).collect() == []
+    assert [(r.query_id, r.vec_id) for r in ann.nearest(df.limit(2), df.where("vec_id = 0"), 10).collect()] == [(0, 1)]
+
+
 def sainte_lague(claims, seats):
     got = [0] * len(claims)
     for _ in range(seats):
