@@ -49,12 +49,13 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, spread: Column | s
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: str, total: int | None = None) -> DataFrame:
     """The rows with the smallest seeded hash of key, at most `rows` of them.
 
-    All but about two times as many are ruled out where they are read, so that what is ordered does not grow with df.
+    All but about two times as many are ruled out where they are read, so that what is ordered does not grow with df. total is
+    the number of df's rows, or of the table that it was filtered from, which a count of the file footers tells.
     """
-    share = min(1.0, (2.0 * rows + 100) / max(1, df.count()))
+    share = min(1.0, (2.0 * rows + 100) / max(1, df.count() if total is None else total))
     order = F.xxhash64(F.lit(seed), key)
     part = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
     return df.where(part).orderBy(F.pmod(order, F.lit(1 << 30)), order, key).limit(rows)

@@ -323,6 +323,32 @@ def test_dictionary_frame_and_damage():
             warc.parsed(bad)
 
 
+def test_archives_of_others():
+    """Version 1.0, names in lower case, no dictionary or a compressed one, digests in base 32."""
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    digest = "SHA1:" + __import__("base64").b32encode(hashlib.sha1(block).digest()).decode()
+    one = f"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:x>\r\nwarc-date: 2020\r\nwarc-block-digest: {digest}\r\ncontent-length:  {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    fields, found = warc.parsed(one)
+    assert found == block and fields["warc-type"] == "response"
+    with pytest.raises(ValueError):
+        warc.parsed(one.replace(b"body", b"bod!"))
+    assert list(warc.frames(warc.compressor(b"").compress(one) * 2)) == [one] * 2
+    dictionary = zstandard.train_dictionary(4096, [f"<html><p>{k} sentence number {k % 7} of the page</p></html>".encode() * 4 for k in range(500)]).as_bytes()
+    data = warc.leading_frame(zstandard.compress(dictionary)) + warc.compressor(dictionary).compress(one)
+    assert list(warc.frames(data)) == [one]
+
+
+def test_repeated_pages_and_odd_urls(spark, tmp_path):
+    long = "<p>y</p>" * 300
+    rows = [(1, "http://a/\x07\u0085 %", long, "x"), (1, "http://a/\x07\u0085 %", long, "x"), (1, "b", "short", None), (1, "b", "short", None), (None, "b", None, None)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string"), f"file://{tmp_path}", b"")
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 5 and {r.url for r in got} == {"http://a/%07%C2%85 %", "b"} and {r.record_type for r in got} == {"response"}
+    raw = b"".join(x for f in tmp_path.glob("*.zst") for x in warc.frames(f.read_bytes()))
+    assert len(set(re.findall(rb"WARC-Record-ID: (\S+)", raw))) == 5
+    assert warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, z string").limit(0)).collect() == []
+
+
 def nearest_by_force(ids, points, queries, k):
     out = {}
     for q in queries:
@@ -469,7 +495,19 @@ def test_chat_round_trip_and_mask(spark):
         assert len(r.loss) == sum(role == "assistant" for role, _ in mine)
 
 
+SAID = "The market grew by a third in the last year, said the office. Nobody had expected this. Sales rose again, and prices fell."
 PAGES = {
+    f"<html><body><nav><a href=/>x</a></nav><article><h1>T</h1><div class='share-of-market'><p>{SAID}</p></div><p>{SAID}</p></article></body></html>": f"T {SAID} {SAID}",
+    f"<html><body><article><h1>T</h1><div class='share-of-market'>{SAID}</div></article></body></html>": f"T {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p><div class='discussion'><div class='c'><b>Ann</b><p>I like it. Very good.</p></div><div class='c'><b>Bob</b><p>No way. It is bad.</p></div></div></article></body></html>": f"T {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p></article><section class='user-feedback'><p>{SAID}</p><p>I disagree. This is wrong.</p></section></body></html>": f"T {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p><section class='comments'><p>I disagree. This is wrong.</p></section></article></body></html>": f"T {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p><form><input list=x><datalist id=x><option>a<option>b</datalist></form><p>{SAID}</p></article><footer>f</footer></body></html>": f"T {SAID} {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p><datalist id=x><option>a</datalist><p>{SAID}</p></article><footer>f</footer></body></html>": f"T {SAID} {SAID}",
+    f"<html><body><article><h1>T</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><p>{SAID}</p></article></body></html>": f"T Let x=2 hold. {SAID}",
+    f"<html><body><div id=menu><a href=/>Home</a> <a href=/b>Blog</a></div><div id=content><h1>T</h1><p>{SAID}</p><p>{SAID}</p></div><div id=footer>Copyright 2020</div></body></html>": f"T {SAID} {SAID}",
+    f"<html><body><div class='cookie-consent'>We use cookies. Accept them all. <button>ok</button></div><main><h1>T</h1><p>{SAID}</p><aside>more</aside></main></body></html>": f"T {SAID}",
+    f"<html><body><article><h1>T</h1><p>{SAID}</p><div class='ad'>Buy now. Great prices.</div><p>{SAID} <b>one<p>two</b> three</p></article></body></html>": f"T {SAID} {SAID} one two three",
     "<html><body><nav>m</nav><article><h1>T</h1><p>One &amp; two<br>three</p><aside>no</aside><div class='comments'><p>I like this article a lot, thank you</p></div></article><footer>f</footer></body></html>": "T One & two three",
     "<body><div class='sidebar'>s</div><main><p>a<b>b</b>c</p><p>d</p><form>f</form></main><script>var t='</p>';</script>": "abc d",
     "": "", "<article>": "", "<article><p>cut off &am": "cut off &am", "<article><p>x <p cla": "x",
@@ -493,25 +531,43 @@ def test_marginals_by_force(model):
     total = 0.0
     for code in range(1 << n):
         x = [code >> i & 1 for i in range(n)]
-        p = model.edge[page.tags[0] in html_tree.PARTS][x[0]]
+        p = model.edge[html_tree._edge(page.tags[0])][x[0]]
         for i, seen in enumerate(page.features()):
-            p *= np.exp(sum(model.ratio[f] for f in seen)) if x[i] else 1.0
+            weight = 1.0 if page.tags[i] in html_tree.PARTS else html_tree.TEXT_WEIGHT
+            p *= np.exp(weight * sum(model.ratio[f] for f in seen)) if x[i] else 1.0
             if i:
-                p *= model.edge[page.tags[i] in html_tree.PARTS][2 * x[page.parents[i]] + x[i]]
+                p *= model.edge[html_tree._edge(page.tags[i])][2 * x[page.parents[i]] + x[i]]
         total += p
         for i in range(n):
             weights[i, x[i]] += p
     assert np.allclose(model.marginals(page), weights[:, 1] / total, atol=1e-9)
 
 
-def test_extraction_agrees_with_labelled_pages(spark, model):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(100).toPandas()
-    for h in pages.html:
-        page = html_tree.Page(h)
-        labels = page.labels()
-        if labels[0] >= 0:
-            parts = "".join((" " if s else "") + (t if labels[i] else "") for i, t, s in page.texts)
-            assert model.text(h) == " ".join(html_tree.entities.unescape(parts).split())
+def test_model_on_pages_that_it_has_not_seen(spark):
+    """Learned from four fifths of the given pages, tested on the rest against a plain cut of their article; and on composed
+    pages of another seed, of which nine texts in ten get their label."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html_tree.train(pages.where("page_id % 5 <> 0"))
+    for r in pages.where("page_id % 5 = 0").collect():
+        inner = re.search("<article>(.*?)(</article>|$)", r.html or "", re.S)[1]
+        plain = re.sub("<[a-z/][^>]*(>|$)", " ", re.sub("</?b>", "", inner))
+        assert model.text(r.html) == " ".join(html_tree.entities.unescape(plain).split())
+    rng, right, every = random.Random(99), 0, 0
+    for _ in range(150):
+        page = html_tree.Page(html_tree.composed(rng))
+        labels, content = page.labels(), model.marginals(page)
+        for node in {i for i, text, _ in page.texts if text.strip()}:
+            every += 1
+            right += (content[node] > 0.5) == labels[node]
+    assert right > 0.9 * every
+
+
+def test_pages_of_any_table(spark):
+    rows = [(1, "u", None, 1, "k"), (1, "u", "", 2, "k"), (2, None, "<article><p>one</article>", 3, None), (2, None, "<article><p>one</article>", 3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, tag int, state string")
+    found = html_tree.with_text(pages, html_tree.train(pages)).collect()
+    assert sorted((r.tag, r.text) for r in found) == [(1, ""), (2, ""), (3, "one"), (3, "one")]
+    assert html_tree.with_text(pages.limit(0), html_tree.train(pages.limit(0))).collect() == []
 
 
 def test_deep_and_long_pages(model):
