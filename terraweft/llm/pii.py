@@ -4,8 +4,11 @@ Validated numbers (payment cards by their check digit, telephone numbers by area
 and dates (by the calendar) are permuted within their format under a key: a Feistel network whose halves are residues,
 with rounds that add a keyed SHA-256 of the other half, so that the permutation covers exactly the format's values.
 Equal values get equal pseudonyms in every document; distinct values of one format stay distinct. Numbers that fail
-their validation are permuted among the numbers of their length. Mail addresses, keys, passwords and tokens, which have
-no numeric format, become a keyed tag of their kind.
+their validation are permuted among the numbers of their length. Mail addresses and access keys and tokens that look like
+AKIA keys or long hexadecimal numbers, which have no numeric format, become a keyed tag of their kind.
+
+The key is the caller's; it has no default. session_key() takes it from the session's settings (KEY_SETTING); where that
+is unset it draws a random one for the session, so that pseudonyms agree within a session but with no other.
 
 Defined results: a null text stays null; an empty one stays empty; text outside the findings is unchanged; repeated
 rows are treated alike; other columns pass through.
@@ -13,11 +16,14 @@ rows are treated alike; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "terraweft-default-key"
+#: The session's setting that names the key.
+KEY_SETTING = "spark.terraweft.pii.key"
 # What each kind looks like.
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"\bAKIA[0-9A-Z]{12,16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{18,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{18,}(?![0-9A-Za-z])"
@@ -181,8 +187,18 @@ def pseudonym(x: Column, key: str) -> Column:
     )
 
 
-def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """docs with the findings in text replaced, and their numbers of each kind in _pii (an array of kinds)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     # Every kind has a digit, an @ or AKIA; a text without them is passed as it is.
     some = F.col("text").rlike("[0-9@]|AKIA")
     found = F.when(some, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))

@@ -5,8 +5,8 @@ eighths of the runs that are upper case and of the pairs that repeat a run, are
 distinct buckets of a text form its unit vector. The model
 is a dense weight vector of that fixed size (2 MB), so that it may be broadcast at any size of the corpus.
 
-Defined results: a null or empty text has no features and scores the bias; rows without a label (or with a label other
-than 0 and 1) are not learned from; with no label at all every score is 0.5; repeated rows are scored each.
+Defined results: a null or empty text has no features and scores the bias; rows without a label, with a label other
+than 0 and 1 or with both labels are not learned from; with no label at all every score is 0.5; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, epochs: int = 4) -> np.ndarray:
     """The weight vector, learned by one task from a bounded sample of the rows that are not held out."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("low")).where("low = quality").select("doc_id", "quality")
     chosen = bounded_sample(known, "doc_id", rows, "learn")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

@@ -29,7 +29,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.with_pseudonyms(docs)
+    found = pii.with_pseudonyms(docs, pii.session_key(spark))
     return found.select("doc_id", "text", F.size("_pii").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("_pii")), ",").alias("kinds"))
 
 
