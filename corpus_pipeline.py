@@ -29,8 +29,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are replaced by pseudonyms; n_chars follows the new text."""
-    found = pii.with_pseudonyms(docs).drop("_pii")
+    """Personal data and secrets are replaced by pseudonyms under the session's key; n_chars follows the new text."""
+    found = pii.with_pseudonyms(docs, pii.session_key(spark)).drop("_pii")
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and every executor share: spark.checkpoint.dir.
 
-    Where the session names none (single-machine tests), a temporary folder is set as checkpoint folder.
+    Where the session names none, a temporary folder is set as checkpoint folder if master is local (tests); on a cluster,
+    whose executors would not see it, that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -24,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
     return f"file://{folder}"

@@ -134,6 +134,14 @@ def test_comments_in_strings_stay(spark):
     assert json.loads(got) == {"a": "http://x /* y */", "b": 1}
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("", ""), ("// all", " "), ("a//b\r\nc", "a \r\nc"), ("a/*b*//c", "a /c"), ("/*/ x */y", " y"), ("/***/1", " 1"), ("1 /* open // \n", "1 /* open // \n"),
+    (r'"\\" // x', r'"\\"  '), (r'"\" // in" // x', r'"\" // in"  '), (r'"\n/*"/* " */', r'"\n/*" '), ("/ * x */ 1 / 2", "/ * x */ 1 / 2"), ("// a \\\n1", " \n1"), (r"/* \*/1", " 1"), (None, None),
+])
+def test_scanner_of_comments(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(config.without_comments(F.col("t"))).first()[0] == want
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ('{"lap_speed_m_s": 3}', None), ('{"lap_speed_m_s": 0}', "not positive"), ('{"lap_delay_s": 0}', None), ('{"lap_delay_s": -1}', "not positive"), ('{"lap_speed_m_s": null}', "not positive"),
     ('{"lap_speed": 3}', "unknown field"), ('{"lap_altitude_m": 1, "lap_altitude_ft": 3}', "both units"), ('[1]', "no object"), ('{"laps": 1, "laps": 2}', "repeated field"),
