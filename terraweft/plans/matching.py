@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from terraweft.operators import graph, proximity, spanning
 from terraweft.plans.catalog import query
 from terraweft.session import settle, table
-from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames, thinned_edges
+from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames
 
 WORDS = 16
 
@@ -164,38 +164,27 @@ def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_descriptors(spark, sf_dir).select("image_id", "feat_id")
 
 
-COMPONENTS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-reach(node, seen) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM reach r JOIN b ON b.a = r.seen), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
+# Smallest labels spread along the edges; a node that gets a smaller one passes it on in the next step.
+REACH_SQL = """reach(node, component) USING KEY (node) AS (SELECT a, a FROM b GROUP BY a UNION
+  SELECT b.b, min(r.component) FROM reach r JOIN b ON b.a = r.node JOIN recurring.reach o ON o.node = b.b WHERE r.component < o.component GROUP BY b.b)"""
+COMPONENTS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), {REACH_SQL}, comp AS (SELECT node, component FROM reach)"""
 
 
+@query("G1_whole_components", COMPONENTS_SQL + " SELECT node, component FROM comp")
 @query("G1_connected_components", COMPONENTS_SQL + " SELECT node, component FROM comp")
 def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(thinned_edges(spark, sf_dir))
-
-
-@query("G1_whole_components")
-def g1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the whole graph, for which recursive SQL is too slow; so are the other queries named whole."""
     return graph.connected_components(edges(spark, sf_dir))
 
 
+@query("A8_whole_component", COMPONENTS_SQL + " SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 @query("A8_largest_component", COMPONENTS_SQL + " SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spanning.largest_component(thinned_edges(spark, sf_dir))
-
-
-@query("A8_whole_component")
-def a8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanning.largest_component(edges(spark, sf_dir))
 
 
+@query("G5_whole_groups", COMPONENTS_SQL.replace("edges AS (", "every AS (").replace("b AS (SELECT src", "edges AS (SELECT * FROM every WHERE score >= 45), b AS (SELECT src") + " SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
 @query("G5_supported_groups", COMPONENTS_SQL.replace("edges AS (", "every AS (").replace("b AS (SELECT src", "edges AS (SELECT * FROM every WHERE score >= 45), b AS (SELECT src") + " SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supported_groups(thinned_edges(spark, sf_dir))
-
-
-@query("G5_whole_groups")
-def g5_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supported_groups(edges(spark, sf_dir))
 
 
@@ -205,13 +194,9 @@ def supported_groups(e: DataFrame) -> DataFrame:
     return parts.join(parts.groupBy("component").count().where("count >= 4").select("component"), "component", "left_semi").select("node", "component")
 
 
+@query("A11_whole_root", f"WITH {EDGES_SQL}, s AS (SELECT node, sum(score) AS total FROM (SELECT src AS node, score FROM edges UNION ALL SELECT dst, score FROM edges) GROUP BY node) SELECT node, CAST(total AS BIGINT) AS total FROM s ORDER BY total DESC, node LIMIT 1")
 @query("A11_root_by_score", f"WITH {EDGES_SQL}, s AS (SELECT node, sum(score) AS total FROM (SELECT src AS node, score FROM edges UNION ALL SELECT dst, score FROM edges) GROUP BY node) SELECT node, CAST(total AS BIGINT) AS total FROM s ORDER BY total DESC, node LIMIT 1")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return root_by_score(thinned_edges(spark, sf_dir))
-
-
-@query("A11_whole_root")
-def a11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root_by_score(edges(spark, sf_dir))
 
 
@@ -225,13 +210,9 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanning.spanning_forest(edges(spark, sf_dir))
 
 
+@query("G2_whole_parts", COMPONENTS_SQL + " SELECT component, count(*) - 1 AS links FROM comp GROUP BY component")
 @query("G2_forest_parts", COMPONENTS_SQL + " SELECT component, count(*) - 1 AS links FROM comp GROUP BY component")
 def g2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest_parts(thinned_edges(spark, sf_dir))
-
-
-@query("G2_whole_parts")
-def g2_whole_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_parts(edges(spark, sf_dir))
 
 
@@ -242,14 +223,13 @@ def forest_parts(e: DataFrame) -> DataFrame:
     return forest.join(parts, F.col("src") == F.col("node")).groupBy("component").agg(F.count("*").alias("links"))
 
 
-@query("G4_tracks", """WITH RECURSIVE o AS (SELECT DISTINCT l_orderkey AS i, l_partkey AS p FROM lineitem WHERE l_orderkey % 40 = 0), e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM o a JOIN o b USING (i) WHERE a.p <> b.p),
-reach(node, seen) AS (SELECT DISTINCT p, p FROM o UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.seen) SELECT track, count(*) AS points FROM (SELECT node, min(seen) AS track FROM reach GROUP BY node) GROUP BY track""")
-def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0"))
+TRACKS_SQL = f"""WITH RECURSIVE b AS (SELECT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem UNION SELECT l_orderkey * 2 + 1, l_partkey * 2 FROM lineitem), {REACH_SQL}
+SELECT min(node) // 2 AS track, count(*) AS points FROM reach WHERE node % 2 = 0 GROUP BY component"""
 
 
-@query("G4_whole_tracks")
-def g4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("G4_whole_tracks", TRACKS_SQL)
+@query("G4_tracks", TRACKS_SQL)
+def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(table(spark, sf_dir, "lineitem"))
 
 

@@ -170,11 +170,11 @@ def u3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_suppkey").alias("node")).distinct().join(l.where("l_quantity > 49").select(F.col("l_partkey").alias("node")).distinct(), "node", "left_semi")
 
 
-@query("U5_route_concatenation", f"WITH {FRAMES_SQL}, u AS (SELECT session, 0 AS part, seq, frame_id FROM frames WHERE seq <= 2 UNION ALL SELECT session, 1, seq, frame_id FROM frames WHERE seq > 2 AND seq % 3 = 0 UNION ALL SELECT session, 2, seq, frame_id FROM frames WHERE seq = 1) SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY part, seq) AS BIGINT) AS place, frame_id FROM u")
+@query("U5_route_concatenation", f"WITH {FRAMES_SQL}, u AS (SELECT session, 0 AS part, seq, frame_id FROM frames WHERE seq <= 2 UNION ALL SELECT session, 1, seq, frame_id FROM frames WHERE seq > 2 UNION ALL SELECT session, 2, seq, frame_id FROM frames WHERE seq = 1) SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY part, seq) AS BIGINT) AS place, frame_id FROM u")
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a route one after the other: a union that carries its sort key."""
     f = frames(spark, sf_dir).select("session", "seq", "frame_id")
-    parts = (f.where("seq <= 2"), f.where("seq > 2 and seq % 3 = 0"), f.where("seq = 1"))
+    parts = (f.where("seq <= 2"), f.where("seq > 2"), f.where("seq = 1"))
     whole = None
     for k, p in enumerate(parts):
         p = p.withColumn("part", F.lit(k))

@@ -74,16 +74,8 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, score: the graph of parts bought together with a supplier, of every row of lineitem."""
-    return _edges(table(spark, sf_dir, "lineitem"))
-
-
-def thinned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the graph that EDGES_SQL states, about 3 % of the rows."""
-    return _edges(table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0 and l_linenumber = 1"))
-
-
-def _edges(l: DataFrame) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
     return l.groupBy((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).agg(F.sum("l_quantity").cast("long").alias("score"))
 
 
-EDGES_SQL = """edges AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, CAST(sum(l_quantity) AS BIGINT) AS score FROM lineitem WHERE l_partkey % 5 = 0 AND l_linenumber = 1 GROUP BY 1, 2)"""
+EDGES_SQL = "edges AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, CAST(sum(l_quantity) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2)"
