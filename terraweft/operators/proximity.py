@@ -2,33 +2,118 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-
-def celled(df: DataFrame, east: str, north: str, size: float) -> DataFrame:
-    return df.withColumn("_ce", F.floor(F.col(east) / size)).withColumn("_cn", F.floor(F.col(north) / size))
 
+from terraweft.operators.graph import salted_lookup
+from terraweft.session import settle
 
-def within(df: DataFrame, group: str, node: str, east: str, north: str, radius: float) -> DataFrame:
-    """group, i, j, d for every ordered pair of different nodes of a group closer than radius.
 
-    Distances are compared to the micrometre, so that ties don't turn on the last bit. Rows meet through an equi-join on cells of the radius: one side is sent to its nine neighbouring cells.
-    """
-    at = celled(df.select(group, node, east, north), east, north, radius)
-    steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    near = at.select(group, F.col(node).alias("j"), F.col(east).alias("_e2"), F.col(north).alias("_n2"), "_ce", "_cn")
-    near = near.withColumn("_de", F.explode(steps)).withColumn("_dn", F.explode(steps))
-    near = near.select(group, "j", "_e2", "_n2", (F.col("_ce") + F.col("_de")).alias("_ce"), (F.col("_cn") + F.col("_dn")).alias("_cn"))
-    d = F.round(F.hypot(F.col(east) - F.col("_e2"), F.col(north) - F.col("_n2")), 6)
-    return at.join(near, [group, "_ce", "_cn"]).where(F.col(node) != F.col("j")).withColumn("d", d).where(F.col("d") < radius).select(group, F.col(node).alias("i"), "j", "d")
+#: Rows that a block of nearest_within holds, about.
+CROWD = 2_000
 
 
 def nearest_within(df: DataFrame, group: str, node: str, east: str, north: str, radius: float, k: int) -> DataFrame:
-    """The k nearest of each node, ties to the smaller node: group, i, j, d, rank."""
-    order = Window.partitionBy(group, "i").orderBy("d", "j")
-    return within(df, group, node, east, north, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k nearest of each node closer than radius, ties to the smaller node: group, i, j, d, rank.
+
+    A group of CROWD rows or fewer is one block. A larger one is cut into cells so small that a cell and its neighbours hold
+    about CROWD rows, and a cell's nodes meet the rows of the cells around. A node is done if its k-th distance is less than
+    what the cells around it cover; the others go on with twice the reach, until that is the radius. Work follows the number
+    of rows and not the square of a group's; only captures at one very crowded place share a block. Distances are rounded to
+    the micrometre. Nodes of a group are distinct.
+    """
+    rows = df.select(group, node, F.col(east).cast("double").alias("_e"), F.col(north).cast("double").alias("_n"))
+    area = (F.max("_e") - F.min("_e")) * (F.max("_n") - F.min("_n"))
+    size = F.greatest(F.lit(radius / 1024), F.least(F.lit(radius), F.sqrt(area * CROWD / 9 / F.count("*"))))
+    sized = rows.groupBy(group).agg(size.alias("_size"), F.count("*").alias("_many")).where(F.col("_many") > CROWD).select(group, "_size")
+    cell = lambda c: F.coalesce(F.floor(F.col(c) / F.col("_size")), F.lit(0)).cast("long")
+    rows = settle(salted_lookup(rows, sized, group, F.col(node), how="left").withColumn("_ce", cell("_e")).withColumn("_cn", cell("_n")), "placed")
+    kind = dict(df.dtypes)
+    schema = f"`{group}` {kind[group]}, i {kind[node]}, j {kind[node]}, d double, rank int"
+    keys = [group, "_ce", "_cn"]
+    found, todo, reach = None, rows, 1
+    while True:
+        steps = F.when(F.col("_size").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(-reach), F.lit(reach)))
+        near = rows.withColumn("_de", F.explode(steps)).withColumn("_dn", F.explode(steps))
+        near = near.select(group, node, "_e", "_n", (F.col("_ce") + F.col("_de")).alias("_ce"), (F.col("_cn") + F.col("_dn")).alias("_cn"))
+        near = near.join(todo.select(*keys).distinct(), keys, "left_semi")
+        met = todo.select(*[F.col(c).alias(c) for c in todo.columns]).groupBy(*keys).cogroup(near.groupBy(*keys))
+        out = settle(met.applyInPandas(_nearest_of_block(group, node, radius, k, reach), schema), "nearest")
+        found = out.where("rank > 0") if found is None else found.unionByName(out.where("rank > 0"))
+        open_ = out.where("rank = 0").select(group, F.col("i").alias(node))
+        if not open_.take(1):
+            return found
+        todo, reach = settle(rows.join(open_, [group, node], "left_semi"), "todo"), reach * 2
+
+
+def _nearest_of_block(group: str, node: str, radius: float, k: int, reach: int):
+    def run(home: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(home) and len(near):
+            near = near.sort_values(node, kind="stable")
+            e, n, who = near._e.to_numpy(), near._n.to_numpy(), near[node].to_numpy()
+            size = home._size.iloc[0]
+            covered = math.inf if pd.isna(size) or reach * size >= radius else reach * size - 1e-6
+            step = max(1, 4_000_000 // len(near))
+            for lo in range(0, len(home), step):
+                part = home.iloc[lo : lo + step]
+                own = part[node].to_numpy()
+                d = np.round(np.hypot(part._e.to_numpy()[:, None] - e, part._n.to_numpy()[:, None] - n), 6)
+                d[(own[:, None] == who) | (d >= radius)] = math.inf
+                many = min(k, d.shape[1])
+                order = np.argsort(d, axis=1, kind="stable")[:, :many]  # who is sorted: ties go to the smaller node
+                best = np.take_along_axis(d, order, 1)
+                last = best[:, -1] if many == k else np.full(len(part), math.inf)
+                done = last < covered if covered < math.inf else np.ones(len(part), bool)
+                some = np.isfinite(best) & done[:, None]
+                i, r = np.nonzero(some)
+                parts.append(pd.DataFrame({"i": own[i], "j": who[order[i, r]], "d": best[i, r], "rank": r + 1}))
+                parts.append(pd.DataFrame({"i": own[~done], "rank": 0}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"i": [], "rank": []})
+        kept = out.reindex(columns=["i", "j", "d", "rank"])
+        kept["j"] = kept["j"].astype("Int64")
+        kept.insert(0, group, home[group].iloc[0] if len(home) else None)
+        return kept
+
+    return run
+
+
+def arrivals(df: DataFrame, group: str, node: str, east: str, north: str, radius: float, k: int, ties: bool) -> DataFrame:
+    """group, i, j (i before j): the pairs that arrivals add. At j's arrival with its k nearest earlier nodes, and with the
+    earlier ones of which fewer than k have come as near as it (with ties: nearer than it), all closer than radius.
+
+    A group is the unit of order: its nodes arrive in order in one task, which holds its places and, of each node, its k
+    smallest distances so far.
+    """
+    kind = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(node, kind="stable")
+        who, e, n = rows[node].to_numpy(), rows._e.to_numpy(), rows._n.to_numpy()
+        least = np.full((len(rows), k), math.inf)
+        first, second = [], []
+        for j in range(1, len(rows)):
+            d = np.round(np.hypot(e[:j] - e[j], n[:j] - n[j]), 6)
+            near = np.flatnonzero(d < radius)
+            d = d[near]
+            nearest = np.argsort(d, kind="stable")[:k]
+            last = least[near, -1]
+            pairs = near[np.union1d(nearest, np.flatnonzero(d <= last if ties else d < last))]
+            first.append(pairs)
+            second.append(np.full(len(pairs), j))
+            least[j, : len(nearest)] = d[nearest]
+            closer = d < last
+            at = near[closer]
+            least[at] = np.sort(np.column_stack([least[at], d[closer]]), axis=1)[:, :k]
+        i, j = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (first, second))
+        return pd.DataFrame({group: rows[group].iloc[0], "i": who[i], "j": who[j]})
+
+    rows = df.select(group, node, F.col(east).cast("double").alias("_e"), F.col(north).cast("double").alias("_n"))
+    return rows.groupBy(group).applyInPandas(run, f"`{group}` {kind[group]}, i {kind[node]}, j {kind[node]}")
 
 
 def unordered(pairs: DataFrame, group: str) -> DataFrame:
@@ -43,15 +128,6 @@ def offset_pairs(df: DataFrame, group: str, node: str, steps: tuple[int, ...]) -
     return shifted.join(rows, [group, "j"]).select(group, "i", "j")
 
 
-def newcomer_pairs(nearest: DataFrame, group: str) -> DataFrame:
-    """Pairs that each arriving node adds: to the nearest among the earlier, and from the earlier whose nearest it joins.
-
-    nearest has group, i, j, d of all ordered pairs in reach. The rank among the rows that have arrived is a count of
-    nearer ones with a smaller place than the newcomer, so no state is carried.
-    """
-    return nearest.select(group, F.greatest("i", "j").alias("newcomer"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -182,14 +182,8 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT session, least(i, j) AS i, greatest(i, j) AS j FROM arrived WHERE rank <= 3 AND (i = newcomer OR j = newcomer)""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs that arrivals add, in order: a pair (i, j), i before j, is added at j's arrival if j then is among i's 3
-    nearest or i among j's. Who was there before is a count of nearer rows with a smaller frame_id than j."""
-    near = proximity.within(placed(spark, sf_dir), "session", "frame_id", "east", "north", 120.0)
-    # Arrivals at j: of each end of the pair, its rank among the rows up to j.
-    earlier = near.select("session", "i", F.col("j").alias("o"), F.col("d").alias("od"))
-    pair = near.withColumn("newcomer", F.greatest("i", "j"))
-    counted = pair.join(earlier, ["session", "i"]).where((F.col("o") <= F.col("newcomer")) & ((F.col("od") < F.col("d")) | ((F.col("od") == F.col("d")) & (F.col("o") <= F.col("j")))))
-    ranked = counted.groupBy("session", "i", "j").agg(F.count("*").alias("rank")).where("rank <= 3")
-    return proximity.unordered(ranked, "session")
+    nearest or i among j's."""
+    return proximity.arrivals(placed(spark, sf_dir), "session", "frame_id", "east", "north", 120.0, 3, ties=False)
 
 
 @query("J6_arrival_candidates")
@@ -205,16 +199,7 @@ def j6_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrival_candidates(p: DataFrame, k: int, steps: tuple[int, ...]) -> DataFrame:
     """The pairs that arrivals queue: at j's arrival with its k nearest earlier captures, with the earlier ones that have
     fewer than k strictly nearer, and with those `steps` places before."""
-    near = proximity.within(p, "session", "frame_id", "east", "north", 120.0)
-    other = near.select("session", F.col("i").alias("at"), F.col("j").alias("o"), F.col("d").alias("od"))
-    pair = near.where("i < j").withColumn("at", F.explode(F.array("i", "j")))
-    # An end's rank counts the nearer ones that arrived before the newcomer; for the newcomer, ties go to the earlier.
-    closer = (F.col("o") < F.col("j")) & ((F.col("od") < F.col("d")) | ((F.col("at") == F.col("j")) & (F.col("od") == F.col("d")) & (F.col("o") < F.col("i"))))
-    # An end with fewer than k in reach needs no count.
-    few = near.groupBy("session", F.col("i").alias("at")).agg(F.count("*").alias("reach"))
-    known = pair.join(few, ["session", "at"])
-    counted = known.where(F.col("reach") > k).join(other, ["session", "at"], "left").groupBy("session", "at", "i", "j").agg(F.count_if(closer).alias("nearer")).where(F.col("nearer") < k)
-    ranked = known.where(F.col("reach") <= k).select("session", "i", "j").union(counted.select("session", "i", "j"))
+    ranked = proximity.arrivals(p, "session", "frame_id", "east", "north", 120.0, k, ties=True)
     rows = p.select("session", F.col("frame_id").alias("j"), F.col("seq").cast("long").alias("place"))
     later = F.explode(F.transform(F.array(*map(F.lit, steps)), lambda x: F.col("place") + x))
     apart = rows.select("session", F.col("j").alias("i"), later.alias("place")).join(rows, ["session", "place"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from terraweft.operators import fit, projective
+from terraweft.operators import fit, projective, proximity
 from terraweft.plans import extras, matching
 from terraweft.plans.capture import arrival_candidates
 
@@ -193,3 +193,19 @@ def test_sessions_are_not_collected(spark, name, monkeypatch):
     monkeypatch.setattr(extras, "settle", lambda df, name: seen.append(df) or df)
     seen.append(entry.queries()[name](spark, SF))
     assert not any("collect_list" in df._jdf.queryExecution().toString() for df in seen)
+
+
+@pytest.mark.parametrize(("crowd", "radius"), [(2000, 120.0), (20, 120.0), (20, 7.0), (3, 40.0)])
+def test_nearest_of_crowded_and_sparse_places(spark, monkeypatch, crowd, radius):
+    monkeypatch.setattr(proximity, "CROWD", crowd)
+    rng = random.Random(6)
+    rows = [(1, k, rng.gauss(0, 30), rng.gauss(0, 30)) for k in range(150)] + [(1, 150 + k, 500.0, 500.0) for k in range(30)] + [(1, 190, 900.0, -900.0), (1, 191, 1000.0, -900.0)]
+    rows += [(2, k, float(k % 7), float(k % 5)) for k in range(60)] + [(3, 1, 0.0, 0.0)]
+    want = set()
+    for g, i, x, y in rows:
+        d = sorted((round(math.dist((x, y), (e, n)), 6), j) for h, j, e, n in rows if h == g and j != i)
+        want |= {(g, i, j, r + 1) for r, (near, j) in enumerate(d[:6]) if near < radius}
+    df = spark.createDataFrame(rows, "g long, id long, e double, n double")
+    got = [(r.g, r.i, r.j, r["rank"]) for r in proximity.nearest_within(df, "g", "id", "e", "n", radius, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert proximity.nearest_within(df.limit(0), "g", "id", "e", "n", radius, 6).collect() == []
