@@ -49,7 +49,12 @@ def discard(df: DataFrame) -> None:
         if "/terraweft/" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()  # Spark deletes the files of shuffles that no live plan refers to once they are collected
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of finished shuffles now: it does so once the plans that own them are collected."""
+    spark._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
