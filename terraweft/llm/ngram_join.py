@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from terraweft.llm.common import salted_lookup, shingles
 from terraweft.operators.graph import connected_components
-from terraweft.session import discard, settle, shuffle_width, split_join
+from terraweft.session import discard, release, settle, shuffle_width, split_join
 
 #: Share of the hash order that the probe reads.
 PROBE_SHARE = 0.4
@@ -296,6 +296,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     texts = docs.join(near.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     found = texts.mapInArrow(_sets(size), "node long, cls binary, n long, toks array<long>, cuts array<int>").where("n > 0")
     sets = settle(found.join(near.select("cls", "copies"), "cls").dropDuplicates(["cls"]), "sets")
+    release(spark)
 
     # Prefix filter: the rarest shingles of a set, of those that another set holds too.
     tokens = sets.select("cls", "node", "n", F.explode("toks").alias("tok"))
@@ -308,6 +309,7 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     octave = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     postings = prefix.select("node", "n", F.explode(F.array(octave, octave + 1)).alias("octave"), "tok")
     postings = settle(postings.select("node", F.xxhash64("tok", "octave").alias("spot")), "postings")
+    release(spark)
     spots = postings.groupBy("spot").agg(F.min("node").alias("src"), F.max("node").alias("top"), F.count("*").alias("size")).where("src <> top")
     met = split_join(postings, spots.select("spot", "src"), "spot").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
     clusters = settle(connected_components(met).select("node", F.col("component").alias("cluster")), "clusters")

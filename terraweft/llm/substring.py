@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraweft.llm.common import mixed, pair_hash, salted_lookup, word_hashes
-from terraweft.session import settle, shuffle_width, split_join
+from terraweft.session import discard, release, settle, shuffle_width, split_join
 
 WINDOW, ANCHOR = 50, 25
 #: Words of a piece, not counting what it shares with the next one.
@@ -308,6 +308,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     read = settle(docs.mapInPandas(_fingerprints(window, anchor), schema), "fingerprints")
     copies = read.where(f"n_words >= {window}").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     stats = settle(salted_lookup(read, copies.select("cls", "first"), "cls", "doc_id"), "stats")
+    discard(read)
 
     # Confirm: phrases of two documents, each taken from the smallest.
     phrases = stats.where("doc_id is not null and size(chosen) > 0 and (first is null or doc_id = first)")
@@ -330,6 +331,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     texts = settle(docs.where("doc_id is not null").join(held.hint("shuffle_hash"), ["doc_id", "tag"]), "texts")
 
     # Locate.
+    release(spark)
     pieces = settle(texts.mapInPandas(_pieces(window, anchor, step, shards), _PIECES), "pieces")
     spans = f"doc_id long, tag long, spans {_SPANS}"
     found = pieces.where("not shared").groupBy("shard").applyInPandas(_located(window, anchor), spans)
