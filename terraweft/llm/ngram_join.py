@@ -299,10 +299,10 @@ def similar_sets(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     release(spark)
 
     # Prefix filter: the rarest shingles of a set, of those that another set holds too.
-    tokens = sets.select("cls", "node", "n", F.explode("toks").alias("tok"))
+    tokens = sets.select("node", F.hash("cls").alias("part"), "n", F.explode("toks").alias("tok"))
     often = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     shared = split_join(tokens, often, "tok")
-    by_set = Window.partitionBy("cls")
+    by_set = Window.partitionBy("node", "part")  # part tells apart the sets of rows that share a doc_id
     shared = shared.withColumn("k", F.row_number().over(by_set.orderBy("df", "tok"))).withColumn("held", F.count("*").over(by_set))
     prefix = shared.where(F.col("k") <= slack + 1 - (F.col("n") - F.col("held")))
     # Sets of one octave of size or the next can be linked; an octave is 1 / percent wide.
