@@ -82,6 +82,35 @@ def within_fence(x: Column, y: Column, edges: Sequence[tuple[Point, Point]]) ->
     return border | crossings_odd(x, y, edges)
 
 
+def sides(corners: Column) -> Column:
+    """The edges of a polygon that is a column: struct(a, b) of neighbouring corners (struct(e, n)), the last with the first."""
+    after = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(0))), F.slice(corners, 1, 1))
+    return F.zip_with(corners, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def in_polygon(x: Column, y: Column, corners: Column) -> Column:
+    """crossings_odd for polygons of a table."""
+
+    def crossed(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        at = a["e"] + (y - a["n"]) * (b["e"] - a["e"]) / F.nullif(b["n"] - a["n"], F.lit(0.0))
+        return ((a["n"] > y) != (b["n"] > y)) & F.coalesce(x < at, F.lit(False))
+
+    return F.aggregate(sides(corners), F.lit(False), lambda odd, s: odd != crossed(s))
+
+
+def in_fence(x: Column, y: Column, corners: Column) -> Column:
+    """within_fence for fences of a table: the border belongs to it."""
+
+    def on(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        off = F.abs((b["e"] - a["e"]) * (y - a["n"]) - (b["n"] - a["n"]) * (x - a["e"]))
+        box = x.between(F.least(a["e"], b["e"]) - 1e-8, F.greatest(a["e"], b["e"]) + 1e-8) & y.between(F.least(a["n"], b["n"]) - 1e-8, F.greatest(a["n"], b["n"]) + 1e-8)
+        return (off <= 1e-7) & box
+
+    return F.exists(sides(corners), on) | in_polygon(x, y, corners)
+
+
 def ground_width(altitude: Column, view_degrees: float) -> Column:
     return altitude * (2 * math.tan(math.radians(view_degrees) / 2))
 

@@ -16,6 +16,8 @@ from terraweft.functions import geo
 # Command numbers of the waypoint program.
 WAYPOINT, LAND, TAKEOFF, JUMP, SPEED, FENCE_VERTEX = 16, 21, 22, 177, 178, 5001
 CLIMB = 1.5
+# Fixed value: the share of a picture's width that is left once the airframe is cut off.
+KEPT_WIDTH = 0.8
 
 
 def point(e: Column, n: Column) -> Column:
@@ -199,3 +201,66 @@ def parsed_waypoints(lines: DataFrame) -> DataFrame:
     f = F.split("line", "\t")
     names = ("seq", "current", "frame", "command", "p1", "p2", "p3", "p4", "lat", "lon", "alt", "autocontinue")
     return lines.select("mission", *(f[i].cast("double").alias(n) for i, n in enumerate(names)))
+
+
+def with_footprint(m: DataFrame, view_degrees: float, sidelap: float, frontlap: float, interval: float) -> DataFrame:
+    """Adds usable (metres of ground that a picture surely shows, in either direction), spacing and interval of the photographs."""
+    wide = geo.ground_width(F.col("altitude"), view_degrees)
+    m = m.withColumn("usable", F.least(wide * KEPT_WIDTH, wide * 720 / 1280))
+    return m.withColumn("spacing", F.col("usable") * (1 - sidelap)).withColumn("interval", F.least(F.lit(float(interval)), F.col("usable") * (1 - frontlap)))
+
+
+def entered_from_lap(m: DataFrame) -> DataFrame:
+    """Missions with a circuit begin their lines at the corner nearest to where it ends; the others keep their lines."""
+    turned = nearest_entry(m.withColumn("_kept", F.col("lines")), F.col("lap")[0])
+    return turned.withColumn("lines", F.when((F.col("laps") > 0) & (F.size("lap") > 0), F.col("lines")).otherwise(F.col("_kept"))).drop("_kept")
+
+
+def planning_report(m: DataFrame, acceleration: float | None, form: str = "mission-planner") -> DataFrame:
+    """All numbers of the planning report, one row a mission, under the names of the report document.
+
+    m has lines and what with_footprint adds. Without an acceleration legs are flown at full speed and the allowance is 0.
+    A fence is not part of it: programs and fences are documents of their own.
+    """
+    extra = F.lit(0.0) if acceleration is None else leg_seconds(F.col("metres"), F.col("speed"), F.lit(float(acceleration))) - F.col("metres") / F.col("speed")
+    of = lambda phase: F.sum(F.when(F.col("phase") == phase, F.col("metres")).otherwise(0.0))
+    legs = route(m).groupBy("mission").agg(
+        F.sum("metres").alias("horizontal_distance_m"), of("lap").alias("lap_horizontal_distance_m"), of("transfer").alias("transfer_horizontal_distance_m"),
+        F.sum(F.col("metres") / F.col("speed")).alias("estimated_horizontal_seconds"), F.sum(extra).alias("acceleration_allowance_seconds"),
+    )
+    held = program(m).where(F.col("command") == WAYPOINT).groupBy("mission").agg(F.sum("p1").alias("_held"))
+    c = F.col
+    circuit = (c("laps") > 0) & (F.size("lap") > 0)
+    whole = lambda flag: flag.cast("int")
+    climb = F.when(circuit, c("lap_altitude") + F.abs(c("lap_altitude") - c("altitude")) + c("altitude")).otherwise(2 * c("altitude"))
+    delays = c("_held") + F.when(c("laps") > 1, (c("laps") - 1) * F.size("lap") * c("lap_delay")).otherwise(0.0)
+    gap = F.abs(c("lines")[1][0]["e"] - c("lines")[0][0]["e"])
+    photos = F.aggregate("lines", F.lit(0).cast("long"), lambda s, l: s + F.floor(F.hypot(l[0]["e"] - l[1]["e"], l[0]["n"] - l[1]["n"]) / c("interval")) + 1)
+    points = F.when(circuit, F.size("lap") + 1).otherwise(0)
+    feet = lambda x: F.round(x / geo.METRES_PER_FOOT, 2)
+    legs = legs.join(held, "mission").join(m, "mission").withColumns({"_climb": climb, "_delays": delays, "_gap": gap})
+    flight = c("estimated_horizontal_seconds") + c("_delays") + c("_climb") / CLIMB + c("acceleration_allowance_seconds")
+    return legs.select(
+        "mission", F.lit(form).alias("output_format"), F.lit("arducopter" if form == "mission-planner" else "px4").alias("autopilot"),
+        c("delay").alias("settle_seconds"), c("lap_delay").alias("lap_delay_s"), c("delay").alias("riskmapping_delay_s"), c("_delays").alias("total_delay_seconds"),
+        F.size("lines").alias("lines"), c("_gap").alias("line_spacing_m"), c("usable").alias("conservative_footprint_m"),
+        (1 - c("_gap") / c("usable")).alias("sidelap_min"), (1 - c("interval") / c("usable")).alias("frontlap_min"), c("interval").alias("capture_interval_m"),
+        c("speed").alias("speed_m_s"), c("lap_speed").alias("lap_speed_m_s"), c("speed").alias("riskmapping_speed_m_s"), c("transfer_speed").alias("transfer_speed_m_s"),
+        c("altitude").alias("altitude_m"), c("altitude").alias("riskmapping_altitude_m"), c("lap_altitude").alias("lap_altitude_m"),
+        "transfer_horizontal_distance_m", "lap_horizontal_distance_m", "horizontal_distance_m", "estimated_horizontal_seconds", flight.alias("estimated_flight_seconds"),
+        F.lit(acceleration).cast("double").alias("assumed_horizontal_accel_m_s2"), "acceleration_allowance_seconds", c("laps").cast("int").alias("laps"), points.alias("lap_waypoints"),
+        (3 + points + whole(c("laps") > 1) + whole(circuit & (c("lap_altitude") != c("altitude"))) + whole(circuit & (c("lap_speed") != c("transfer_speed")))).alias("survey_start_item_id"),
+        c("_climb").alias("vertical_distance_m"), photos.alias("estimated_survey_photos"), feet(c("home_alt")).alias("home_alt_amsl_ft"),
+        feet(c("lap_altitude")).alias("lap_altitude_agl_ft"), feet(c("home_alt") + c("lap_altitude")).alias("lap_altitude_msl_ft"),
+        feet(c("altitude")).alias("riskmapping_altitude_agl_ft"), feet(c("home_alt") + c("altitude")).alias("riskmapping_altitude_msl_ft"),
+    )
+
+
+def area_document(m: DataFrame) -> DataFrame:
+    """mission, area: the rectangle's corners as a JSON list of [lat, lon], from the south-west corner counterclockwise."""
+
+    def corner(e: int, n: int) -> Column:
+        dlat = F.col("height") / 2 * n / geo.METRES_PER_DEGREE
+        return F.array(F.col("lat") + dlat, F.col("lon") + F.col("width") / 2 * e / (geo.METRES_PER_DEGREE * F.cos(F.radians("lat"))))
+
+    return m.select("mission", F.to_json(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).alias("area"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terraweft.functions.geo import from_sexagesimal
+from terraweft.session import split_join
 
 # The tags of the position block, and the sizes of the field kinds.
 GPS_BLOCK, LAT_REF, LAT, LON_REF, LON, ALT_REF, ALT, HEADING_REF, HEADING = 0x8825, 1, 2, 3, 4, 5, 6, 16, 17
@@ -93,8 +94,20 @@ def positions(files: DataFrame, key: str) -> DataFrame:
     return read.select(key, degrees("a", "ar").alias("lat"), degrees("o", "o_r").alias("lon"), F.when(F.col("hr") == 1, -F.col("h")).otherwise(F.col("h")).alias("alt"), "heading")
 
 
+def in_capture_order(photos: DataFrame) -> DataFrame:
+    """The photographs that a session is rebuilt from, numbered by their path: adds seq.
+
+    photos has session, kind ("mosaic_images" or "images"), path and alt. A session with clean pictures leaves the degraded
+    ones out; those on the ground (alt below 1 m) are left out afterwards. A session without a picture gives no row.
+    """
+    clean = photos.groupBy("session").agg(F.bool_or(F.col("kind") == "mosaic_images").alias("_clean"))
+    kept = split_join(photos, clean, "session").where((F.col("kind") == "mosaic_images") == F.col("_clean")).drop("_clean").where("alt >= 1.0")
+    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("path")))
+
+
 def session_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The photographs of a session in order: path, seq and position; those on the ground are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).select("path", "content")
-    found = positions(files, "path").where("alt >= 1.0")
-    return found.withColumn("seq", F.row_number().over(Window.orderBy("path")))
+    """The photographs of the sessions under a folder in order: path, session (its folder), position and seq."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    inside = r"^(.*?)/?(mosaic_images|images)?/[^/]*$"
+    found = positions(files, "path").withColumn("session", F.regexp_extract("path", inside, 1)).withColumn("kind", F.regexp_extract("path", inside, 2))
+    return in_capture_order(found).drop("kind")

@@ -6,13 +6,13 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def report(df: DataFrame, path: str) -> None:
-    """One JSON document a row; Spark's commit makes it whole or absent."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """One JSON document a row, in as many files as there are tasks; Spark's commit makes it whole or absent."""
+    df.write.mode("overwrite").json(path)
 
 
 def waypoint_files(lines: DataFrame, path: str) -> None:
@@ -33,6 +33,19 @@ def read_job_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(a) == 4).select(a[0].alias("path"), *(a[i].cast("double").alias(c) for i, c in ((1, "lat"), (2, "lon"), (3, "alt"))))
 
 
+def complete_lines(log: Column, offset: Column) -> Column:
+    """Struct of lines and offset: what a log (bytes) holds after an offset, up to its last line end, and the offset behind it.
+
+    A line without its end is still being written: it is left for the next reading.
+    """
+    rest = F.substring(log, (offset + 1).cast("int"), F.octet_length(log))
+    # In this coding a letter is a byte, so that an unfinished letter at the end does no harm.
+    taken = F.length(F.regexp_extract(F.decode(rest, "ISO-8859-1"), r"(?s)^(.*\n)", 1))
+    text = F.make_valid_utf8(F.substring(rest, F.lit(1), taken - 1).cast("string"))
+    lines = F.when(taken == 0, F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+    return F.struct(lines.alias("lines"), (offset + taken).alias("offset"))
+
+
 def png(rows: np.ndarray) -> bytes:
     """An 8-bit picture of shape (rows, columns, 1, 3 or 4)."""
     height, width, channels = rows.shape

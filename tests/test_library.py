@@ -246,3 +246,42 @@ def test_settled_tables_are_shared_and_cleared(spark):
     clear(spark)
     with pytest.raises(Exception):  # noqa: B017  its files are gone
         spark.read.parquet(held.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_polygons_of_a_table_agree_with_those_in_the_plan(spark):
+    corners = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 4.0), (0.0, 10.0)]
+    edges = list(zip(corners, [*corners[1:], corners[0]], strict=True))
+    points = [(x / 2, y / 2) for x in range(-2, 24) for y in range(-2, 24)] + [(5.0, 4.0), (2.5, 7.0)]
+    held = F.array(*(F.struct(F.lit(a).alias("e"), F.lit(b).alias("n")) for a, b in corners))
+    df = spark.createDataFrame(points, "x double, y double").withColumn("c", held)
+    x, y, c = F.col("x"), F.col("y"), F.col("c")
+    r = df.select((geo.in_polygon(x, y, c) == geo.crossings_odd(x, y, edges)).alias("a"), (geo.in_fence(x, y, c) == geo.within_fence(x, y, edges)).alias("b")).distinct().collect()
+    assert [(q.a, q.b) for q in r] == [(True, True)]
+    none = df.limit(1).select(geo.in_polygon(x, y, F.slice(c, 1, 0)).alias("p"), geo.in_fence(x, y, F.slice(c, 1, 0)).alias("f")).first()
+    assert (none.p, none.f) == (False, False)
+
+
+def test_log_is_read_by_whole_lines(spark):
+    log = "a\n\nbé\nhalf é".encode()
+    for size, offset, lines, at in ((0, 0, [], 0), (1, 0, [], 0), (2, 0, ["a"], 2), (len(log) - 1, 0, ["a", "", "bé"], 7), (len(log), 2, ["", "bé"], 7), (len(log), 7, [], 7)):
+        df = spark.createDataFrame([(bytearray(log[:size]), offset)], "log binary, offset int")
+        got = df.select(sinks.complete_lines(F.col("log"), F.col("offset")).alias("r")).first().r
+        assert (got.lines, got.offset) == (lines, at)
+
+
+def test_clean_pictures_come_before_degraded_ones(spark):
+    rows = [("a", "images", "a/images/1", 9.0), ("a", "mosaic_images", "a/mosaic_images/2", 9.0), ("a", "mosaic_images", "a/mosaic_images/1", 0.5), ("b", "images", "b/images/2", 9.0), ("b", "images", "b/images/1", 9.0), ("c", "mosaic_images", "c/mosaic_images/1", 0.0), ("c", "images", "c/images/1", 9.0)]
+    got = exif.in_capture_order(spark.createDataFrame(rows, "session string, kind string, path string, alt double"))
+    assert sorted((r.session, r.path, r.seq) for r in got.collect()) == [("a", "a/mosaic_images/2", 1), ("b", "b/images/1", 1), ("b", "b/images/2", 2)]
+
+
+def test_rules_across_settings(spark):
+    square = "[[1,1],[1,2],[2,2],[2,1]]"
+    cases = {
+        f'{{"area_points":{square}}}': None, "[1]": "no object", "{}": "four corners", f'{{"area_points":{square},"laps":-1}}': "laps", f'{{"area_points":{square},"laps":true}}': "laps",
+        f'{{"area_points":{square},"laps":1}}': "lap_points", f'{{"area_points":{square},"laps":1,"lap_points":[[1,1],[2,2]]}}': None, f'{{"area_points":{square},"laps":1,"lap_points":[[1,1],[2,2],[1,1]]}}': None,
+        f'{{"search_boundary":true,"search_boundaries":{{"1":{square},"2":{square}}}}}': "search_boundary", f'{{"search_boundary":2,"search_boundaries":{{"2":{square},"1":{square}}}}}': None, f'{{"search_boundaries":{{"1":{square},"2":{square}}}}}': "search_boundary",
+        '{"search_boundary":2}': "search_boundaries",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.p for r in df.select("t", config.layout_problem(F.col("t")).alias("p")).collect()} == cases
