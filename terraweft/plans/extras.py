@@ -11,6 +11,7 @@ from terraweft.operators import raster
 from terraweft.plans.capture import CLOSE_SQL, close_pairs
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL, num, placed
+from terraweft.plans.matching import hull_areas
 from terraweft.plans.rasters import CELL, CELLS_SQL, COLUMNS, NORTH, ROWS, WEST, cells
 from terraweft.session import settle, table
 from terraweft.sources.frames import FRAMES_SQL, TELEMETRY_SQL, frames, telemetry
@@ -119,6 +120,20 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("points >= 12").select("session", "frame_id", "points", ((F.col("row_hi") - F.col("row_lo") + 1) * (F.col("col_hi") - F.col("col_lo") + 1)).alias("box"))
 
 
+@query("R8_whole_views")
+def r8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures whose support is broad: the hull of the cell centres that another capture of the session sees too, twelve at
+    least, is larger than 0.1 square metres and three tenths of the ground in the frame."""
+    c = settle(cells(spark, sf_dir).select("session", "frame_id", "alt", "row", "col"), "seen")
+    views = c.groupBy("session", "row", "col").agg(F.count("*").alias("views")).where("views >= 2")
+    points = c.join(views, ["session", "row", "col"], "left_semi")
+    enough = points.groupBy("session", "frame_id").agg(F.count("*").alias("points"), F.max("alt").alias("alt")).where("points >= 12")
+    centres = points.select("session", "frame_id", ((F.col("col") + 0.5) * CELL).alias("x"), ((F.col("row") + 0.5) * CELL).alias("y"))
+    hulls = hull_areas(centres, ["session", "frame_id"], "x", "y").join(enough, ["session", "frame_id"])
+    frame = F.pow(F.col("alt") * 1.2, F.lit(2))
+    return hulls.where((F.col("area") > 0.1) & (F.col("area") >= 0.3 * frame)).select("session", "frame_id", F.round("area", 6).alias("area"))
+
+
 @query("R14_border_blend", f"WITH {CELLS_SQL}, b AS (SELECT session, row, col, arg_max(frame_id, (weight, -frame_id)) AS f FROM cells GROUP BY session, row, col), n AS (SELECT b.*, o.f AS g FROM b LEFT JOIN b o ON o.session = b.session AND abs(o.row - b.row) + abs(o.col - b.col) = 1) SELECT session, row, col, round(count(g) FILTER (g <> f) / 4e0 * 0.5e0, 6) AS alpha FROM n GROUP BY session, row, col")
 def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much each cell blends into its neighbours: half the share of its four sides that another capture owns."""

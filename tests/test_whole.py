@@ -209,3 +209,17 @@ def test_nearest_of_crowded_and_sparse_places(spark, monkeypatch, crowd, radius)
     got = [(r.g, r.i, r.j, r["rank"]) for r in proximity.nearest_within(df, "g", "id", "e", "n", radius, 6).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert proximity.nearest_within(df.limit(0), "g", "id", "e", "n", radius, 6).collect() == []
+
+
+def test_views_with_broad_support(spark):
+    from terraweft.plans.rasters import CELL, cells
+
+    seen = cells(spark, SF).select("session", "frame_id", "alt", "row", "col").toPandas()
+    others = seen.groupby(["session", "row", "col"]).frame_id.transform("count")
+    want = {}
+    for (session, frame), g in seen[others >= 2].groupby(["session", "frame_id"]):
+        area = matching.hull_area(g.col.to_numpy() * CELL, g.row.to_numpy() * CELL)
+        if len(g) >= 12 and area > 0.1 and area >= 0.3 * (g.alt.iloc[0] * 1.2) ** 2:
+            want[session, frame] = round(area, 6)
+    got = {(s, f): a for s, f, a in run(spark, "R8_whole_views")}
+    assert got == pytest.approx(want) and 0 < len(want) < seen.frame_id.nunique()
