@@ -129,6 +129,18 @@ def anchored(points: DataFrame, group: str, order: str, tolerance: float, least:
     return similarity(inside, [group], F.lit(1.0)).join(best.select(group, "inliers"), group)
 
 
+def georeferenced(points: DataFrame, group: str, order: str, tolerance: float, least: int) -> DataFrame:
+    """points with x2, y2 (their place by the group's anchor), error, inlier and the group's median_error.
+
+    Groups that cannot be anchored by at least `least` points are left out.
+    """
+    anchor = settle(anchored(points, group, order, tolerance, least).drop("inliers"), "anchor")
+    seen = residual(points, anchor, [group])
+    seen = seen.withColumns({"x2": F.col("p") * F.col("u") - F.col("q") * F.col("v") + F.col("tx"), "y2": F.col("q") * F.col("u") + F.col("p") * F.col("v") + F.col("ty"), "inlier": F.col("error") <= tolerance})
+    seen = settle(seen.drop("p", "q", "tx", "ty"), "placed")
+    return seen.join(seen.groupBy(group).agg(F.percentile("error", 0.5).alias("median_error")), group)
+
+
 def homography_jacobian(h: list[Column], u: Column, v: Column) -> tuple[Column, Column]:
     """Derivatives of the projected point by the first eight entries of a homography: two arrays of eight."""
     w = F.nullif(h[6] * u + h[7] * v + 1, F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,12 +21,12 @@ def to_bgr(mode: Column, channels: Column) -> Column:
     return F.when(mode == "L", at(1, 1, 1)).when(mode.isin("RGB", "RGBA"), at(3, 2, 1)).when(mode.isin("BGR", "BGRA"), at(1, 2, 3))
 
 
-def radius2(row: Column, col: Column, height: int, width: int) -> Column:
+def radius2(row: Column, col: Column, height: int, width: float) -> Column:
     """Squared distance from the centre; the middles of the sides are at 1."""
     return F.pow((col - width / 2) / (width / 2), F.lit(2.0)) + F.pow((row - height / 2) / (height / 2), F.lit(2.0))
 
 
-def vignette(row: Column, col: Column, height: int, width: int, strength: float) -> Column:
+def vignette(row: Column, col: Column, height: int, width: float, strength: float) -> Column:
     return F.lit(1.0) - strength * F.least(radius2(row, col, height, width), F.lit(1.96))
 
 
@@ -45,6 +45,45 @@ def undistorted(pixels: DataFrame, image: str, height: int, width: int, k1: floa
     return wanted.join(source, [image, "_r", "_c"]).select(image, "row", "col", "value")
 
 
+def lens_taps(spark: SparkSession, height: int, width: int, crop: float, k1: float, k2: float) -> DataFrame:
+    """row_to, col_to, row, col, share: the up to four pixels of a cropped frame that each corrected pixel is mixed of.
+
+    The lens model is inverted by five fixed-point steps; places outside the frame take its border. One row a pixel and tap,
+    so it is as large as one frame.
+    """
+    full = width / crop
+    margin, f = (full - width) / 2, 0.85 * max(full, height)
+    row_to, col_to = F.floor(F.col("id") / width).cast("int"), (F.col("id") % width).cast("int")
+    t = spark.range(height * width).select(row_to.alias("row_to"), col_to.alias("col_to"), ((col_to + margin - full / 2) / f).alias("x0"), ((row_to - height / 2) / f).alias("y0"))
+    t = t.withColumns({"x": F.col("x0"), "y": F.col("y0")})
+    for _ in range(5):
+        r2 = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+        t = t.withColumn("s", 1 + k1 * r2 + k2 * r2 * r2).withColumns({"x": F.col("x0") / F.col("s"), "y": F.col("y0") / F.col("s")})
+    within = lambda x, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), x))
+    t = t.withColumns({"c": within(F.col("x") * f + (full / 2 - margin), width), "r": within(F.col("y") * f + height / 2, height)})
+    t = t.withColumns({"c0": F.floor("c").cast("int"), "r0": F.floor("r").cast("int")}).withColumns({"fc": F.col("c") - F.col("c0"), "fr": F.col("r") - F.col("r0")})
+    tap = lambda dr, dc: F.struct((F.col("r0") + dr).alias("row"), (F.col("c0") + dc).alias("col"), ((F.col("fr") if dr else 1 - F.col("fr")) * (F.col("fc") if dc else 1 - F.col("fc"))).alias("share"))
+    return t.select("row_to", "col_to", F.inline(F.array(*(tap(r, c) for r in (0, 1) for c in (0, 1))))).where("share > 0")
+
+
+def read_frames(pixels: DataFrame, image: str, height: int, width: int, profile: str = "none", crop: float = 0.8, k1: float = -0.12, k2: float = 0.02, strength: float = 0.3) -> DataFrame:
+    """image, row, col, value of frames of which `crop` of the width is left.
+
+    Profile "none" passes them as they are, "synthetic" undoes the vignetting of the whole frame (to whole values), then its
+    lens, bilinearly. Another profile or a crop outside (0, 1] is an error.
+    """
+    if profile not in ("none", "synthetic") or not 0 < crop <= 1:
+        raise ValueError("unknown camera profile or crop")
+    if profile == "none":
+        return pixels.select(image, "row", "col", "value")
+    full = width / crop
+    gain = F.greatest(vignette(F.col("row"), F.col("col") + (full - width) / 2, height, full, strength), F.lit(0.1))
+    even = pixels.withColumn("value", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value") / gain))))
+    taps = lens_taps(pixels.sparkSession, height, width, crop, k1, k2)
+    mixed = even.join(taps, ["row", "col"]).groupBy(image, "row_to", "col_to").agg(F.sum(F.col("share") * F.col("value")).alias("value"))
+    return mixed.select(image, F.col("row_to").alias("row"), F.col("col_to").alias("col"), "value")
+
+
 def uniform(*parts: Column | str) -> Column:
     """A seeded number in (0, 1), the same for the same parts wherever it is computed."""
     text = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))

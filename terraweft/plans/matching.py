@@ -77,11 +77,14 @@ g AS (SELECT a.image_id, a.feat_id, b.feat_id AS other, round(sqrt(list_sum(list
 r AS (SELECT *, row_number() OVER (PARTITION BY feat_id ORDER BY gap, other) AS rank FROM g)
 SELECT a.image_id, a.feat_id, a.other FROM r a JOIN r b ON a.feat_id = b.feat_id AND a.rank = 1 AND b.rank = 2 WHERE a.gap < 0.95e0 * b.gap""")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio_matches(descriptors(spark, sf_dir), 40)
+
+
+def ratio_matches(d: DataFrame, images: int) -> DataFrame:
     """Matches between neighbouring images whose nearest is clearly nearer than the second nearest.
 
     Both sides are blocks of one image, joined by the pair of images; the two nearest are a bounded aggregate."""
-    d = descriptors(spark, sf_dir)
-    a = d.withColumn("to_image", (F.col("image_id") + 1) % 40)
+    a = d.withColumn("to_image", (F.col("image_id") + 1) % images)
     b = d.select(F.col("image_id").alias("to_image"), F.col("feat_id").alias("other"), F.col("desc").alias("other_desc"))
     gap = F.round(F.sqrt(proximity.squared_gap(F.col("desc"), F.col("other_desc"))), 9)
     ranked = a.join(b, "to_image").select("image_id", "feat_id", "other", gap.alias("gap"))
@@ -94,10 +97,26 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY, PER_IMAGE, FULL_IMAGE = 128, 50, 125
 
 
+def image_count(d: DataFrame) -> int:
+    """40 images, or more if those would be full: the images grow with the table."""
+    return max(40, d.count() // FULL_IMAGE)
+
+
 def image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The descriptors dealt over 40 images, or more if those would be full: the images grow with the table."""
+    """The descriptors dealt over the images."""
+    d = descriptors(spark, sf_dir)
+    return d.withColumn("image_id", F.pmod("feat_id", F.lit(image_count(d))))
+
+
+@query("J4_whole_matches", f"""WITH h AS (SELECT vec_id AS feat_id, CAST(embedding AS DOUBLE[]) AS e, greatest(40, count(*) OVER () // {FULL_IMAGE}) AS images FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), d AS (SELECT *, feat_id % images AS image_id FROM h),
+g AS (SELECT a.image_id, a.feat_id, b.feat_id AS other, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS gap FROM d a JOIN d b ON b.image_id = (a.image_id + 1) % a.images),
+r AS (SELECT *, row_number() OVER (PARTITION BY feat_id ORDER BY gap, other) AS rank FROM g)
+SELECT a.image_id, a.feat_id, a.other FROM r a JOIN r b ON a.feat_id = b.feat_id AND a.rank = 1 AND b.rank = 2 WHERE a.gap < 0.95e0 * b.gap""")
+def j4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with images of bounded size, so that the candidates grow with the table and not with its square."""
     d = descriptors(spark, sf_dir)
-    return d.withColumn("image_id", F.pmod("feat_id", F.lit(max(40, d.count() // FULL_IMAGE))))
+    images = image_count(d)
+    return ratio_matches(d.withColumn("image_id", F.pmod("feat_id", F.lit(images))), images)
 
 
 def vocabulary(d: DataFrame) -> DataFrame:

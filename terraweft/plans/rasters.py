@@ -52,6 +52,25 @@ def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.undistorted(p, "image", SIDE, SIDE, -0.12, 0.02).withColumn("value", F.round("value", 6))
 
 
+_STEPS = ", ".join(f"t{k + 1} AS (SELECT row_to, col_to, x0, y0, x0 / s AS x, y0 / s AS y FROM (SELECT *, 1 + -0.12e0 * r2 + 0.02e0 * r2 * r2 AS s FROM (SELECT *, x * x + y * y AS r2 FROM t{k})))" for k in range(5))
+_TAP = "SELECT row_to, col_to, r0 + {r} AS row, c0 + {c} AS col, {fr} * {fc} AS share FROM u"
+_TAPS = " UNION ALL ".join(_TAP.format(r=r, c=c, fr="fr" if r else "(1 - fr)", fc="fc" if c else "(1 - fc)") for r in (0, 1) for c in (0, 1))
+
+
+@query("S11_frame_read", f"""WITH {PIXELS_SQL}, cut AS (SELECT image, row, col - 1 AS col, value FROM pixels WHERE col BETWEEN 1 AND 6),
+e AS (SELECT image, row, col, floor(greatest(0, least(255, value / greatest(1 - 0.3e0 * least(pow((col + 1 - 4e0) / 4, 2) + pow((row - 4e0) / 4, 2), 1.96e0), 0.1e0)))) AS value FROM cut),
+t0 AS (SELECT r AS row_to, c AS col_to, (c - 3e0) / 6.8e0 AS x0, (r - 4e0) / 6.8e0 AS y0, x0 AS x, y0 AS y FROM range(8) a(r), range(6) b(c)), {_STEPS},
+u AS (SELECT row_to, col_to, floor(c) AS c0, floor(r) AS r0, c - floor(c) AS fc, r - floor(r) AS fr FROM (SELECT *, greatest(0e0, least(5e0, x * 6.8e0 + 3)) AS c, greatest(0e0, least(7e0, y * 6.8e0 + 4)) AS r FROM t5)),
+taps AS (SELECT * FROM ({_TAPS}) WHERE share > 0)
+SELECT 'none' AS profile, image, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, value FROM cut
+UNION ALL SELECT 'synthetic', image, CAST(row_to AS INTEGER), CAST(col_to AS INTEGER), round(sum(share * value), 4) FROM e JOIN taps ON e.row = taps.row AND e.col = taps.col GROUP BY image, row_to, col_to""")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of six of eight columns as they are, and corrected by the profile of their camera."""
+    cut = raster.cropped(pixels(spark, sf_dir), SIDE, 0.125)
+    read = lambda p: raster.read_frames(cut, "image", SIDE, 6, p, 0.75).withColumn("value", F.round("value", 4)).withColumn("profile", F.lit(p))
+    return read("none").unionByName(read("synthetic"))
+
+
 _U = "(CAST(('0x' || substr(sha256(concat_ws('|', '7', '{k}', image, row, col)), 1, 8)) AS BIGINT) + 0.5e0) / 4294967296e0"
 
 
@@ -63,6 +82,24 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.noisy(p, "image", 7, 4.0).withColumn("value", F.round("value", 5))
 
 
+@query("K3_dual_write", f"""WITH {PIXELS_SQL}, v AS (SELECT *, value * (1 - 0.3e0 * least({_R2}, 1.96e0)) + sqrt(-2 * ln({_U.format(k='u')})) * cos(2 * 3.141592653589793e0 * {_U.format(k='v')}) * 4e0 AS seen FROM pixels)
+SELECT image, count(*) AS pixels, sum(CAST(value AS BIGINT)) AS clean, sum(CAST(floor(greatest(0, least(255, seen))) AS BIGINT)) AS degraded FROM v GROUP BY image""")
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each capture written twice, as its camera would degrade it and clean, and both read back."""
+    import uuid
+
+    from terraweft.session import shared_folder
+    from terraweft.sources import sinks
+
+    clean = settle(pixels(spark, sf_dir), "frames")
+    dark = clean.withColumn("value", F.col("value") * raster.vignette(F.col("row"), F.col("col"), SIDE, SIDE, 0.3))
+    folder = f"{shared_folder(spark)}/terraweft/capture-{uuid.uuid4().hex}"
+    sinks.dual_write(raster.noisy(dark, "image", 7, 4.0), clean, folder)
+    whole = lambda kind, name: spark.read.parquet(f"{folder}/{kind}").groupBy("image").agg(F.count("*").alias(f"n_{name}"), F.sum(F.floor("value")).alias(name))
+    both = whole("images", "degraded").join(whole("mosaic_images", "clean"), "image").where("n_degraded = n_clean")
+    return both.select("image", F.col("n_clean").alias("pixels"), "clean", "degraded")
+
+
 @query("R3_placement", f"""WITH {LOCAL_SQL}, s AS (SELECT frame_id, 2 * alt * tan(radians(114.6e0) / 2) / (1024 / 0.8e0) * 2 AS s, (east - {num(WEST)}) * 2 AS c, ({num(NORTH)} - north) * 2 AS r, radians(coalesce(heading, 0)) AS t FROM placed)
 SELECT frame_id, round(s * cos(t), 6) AS a, round(-s * sin(t), 6) AS b, round(c - s * cos(t) * 512 + s * sin(t) * 360, 6) AS tx, round(s * sin(t), 6) AS d, round(s * cos(t), 6) AS e, round(r - s * sin(t) * 512 - s * cos(t) * 360, 6) AS ty FROM s""")
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,16 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("session", "inliers", *(F.round(k, 4).alias(k) for k in ("p", "q", "tx", "ty")))
 
 
+@query("G14_anchored_poses", f"""WITH {VIEWS_SQL}, i AS (SELECT * FROM views WHERE frame_id % 9 <> 0 QUALIFY count(*) OVER (PARTITION BY session) >= 6), m AS (SELECT session, avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my FROM i GROUP BY session),
+s AS (SELECT session, mu, mv, mx, my, sum((u - mu) * (x - mx) + (v - mv) * (y - my)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS p, sum((u - mu) * (y - my) - (v - mv) * (x - mx)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS q FROM i JOIN m USING (session) GROUP BY ALL),
+g AS (SELECT session, frame_id, p * (u - mu) - q * (v - mv) + mx AS x2, q * (u - mu) + p * (v - mv) + my AS y2, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS error FROM views JOIN s USING (session))
+SELECT session, frame_id, round(x2, 4) AS east, round(y2, 4) AS north, error <= 5 AS inlier, round(quantile_cont(error, 0.5) OVER (PARTITION BY session), 4) AS median_error FROM g""")
+def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each view's place on the ground by its session's anchor; sessions without six agreeing views are left out."""
+    g = fit.georeferenced(views(spark, sf_dir), "session", "seq", tolerance=5.0, least=6)
+    return g.select("session", "frame_id", F.round("x2", 4).alias("east"), F.round("y2", 4).alias("north"), "inlier", F.round("median_error", 4).alias("median_error"))
+
+
 @query("G11_homographies")
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraweft.operators import projective
@@ -113,6 +123,12 @@ def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_sample(placed(spark, sf_dir), "session", "frame_id", 12)
 
 
+@query("L4_whole_frames")
+def l4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 220 captures of a session; a shorter one is kept whole."""
+    return spread_sample(placed(spark, sf_dir), "session", "frame_id", 220)
+
+
 @query("L3_corner_order", "WITH c(k, x, y) AS (VALUES (0, 0e0, 0e0), (1, 9e0, 7e0), (2, 10e0, 0e0), (3, 1e0, 8e0)), p AS (SELECT s_suppkey AS s, k, x + (s_suppkey % 3) AS x, y - (s_suppkey % 2) AS y FROM supplier, c), m AS (SELECT s, avg(x) AS mx, avg(y) AS my FROM p GROUP BY s) SELECT s, string_agg(CAST(k AS VARCHAR), ',' ORDER BY atan2(y - my, x - mx)) AS corners FROM p JOIN m USING (s) GROUP BY s")
 def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners by their angle about the centre."""
@@ -258,6 +274,22 @@ def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(held, "session").select("session", "signature", (F.col("signature") == F.col("held")).alias("valid"))
 
 
+RUN = 1000
+
+
+@query("S16_run_signatures", f"""WITH n AS (SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // {RUN} AS run FROM events), r AS (SELECT user_id, run, sha256(string_agg(concat(event_id, ':', event_type), ',' ORDER BY event_id)) AS h FROM n GROUP BY 1, 2),
+s AS (SELECT user_id, sha256(string_agg(h, ',' ORDER BY run)) AS signature FROM r GROUP BY 1) SELECT user_id AS session, signature, user_id % 2 = 0 AS valid FROM s""")
+def s16_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same guard for sessions of any length: runs of RUN rows are hashed, then their hashes in order."""
+    joined = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda r: r[by[-1]]), ",")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type").alias("row"), F.floor((place - 1) / RUN).alias("run"))
+    runs = rows.groupBy("user_id", "run").agg(F.sha2(joined("event_id", "row"), 256).alias("hash"))
+    now = runs.groupBy(F.col("user_id").alias("session")).agg(F.sha2(joined("run", "hash"), 256).alias("signature"))
+    held = F.when(F.col("session") % 2 == 0, F.col("signature")).otherwise("stale")
+    return now.select("session", "signature", (F.col("signature") == held).alias("valid"))
+
+
 @query("P12_parameters_to_row", "SELECT l_orderkey, l_linenumber, concat_ws(',', coalesce(CASE WHEN l_quantity > 10 THEN l_quantity END, 0), 0, 0, coalesce(CASE WHEN l_tax > 0.02 THEN l_tax END, 0)) AS row FROM lineitem")
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty parameters become zero, and the middle ones are not used."""

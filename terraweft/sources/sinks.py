@@ -33,6 +33,15 @@ def read_job_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(a) == 4).select(a[0].alias("path"), *(a[i].cast("double").alias(c) for i, c in ((1, "lat"), (2, "lon"), (3, "alt"))))
 
 
+def dual_write(degraded: DataFrame, clean: DataFrame, folder: str) -> None:
+    """A batch of frames under images (as the camera shows them) and mosaic_images (clean, which a rebuild prefers).
+
+    Both frames must come from one settled batch; the clean ones are written last, so that they are never without the others.
+    """
+    degraded.write.mode("append").parquet(f"{folder}/images")
+    clean.write.mode("append").parquet(f"{folder}/mosaic_images")
+
+
 def complete_lines(log: Column, offset: Column) -> Column:
     """Struct of lines and offset: what a log (bytes) holds after an offset, up to its last line end, and the offset behind it.
 

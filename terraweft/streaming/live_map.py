@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweft.operators.raster import best_view
-from terraweft.session import settle
 
 
 def merged(map_cells: DataFrame | None, seen: DataFrame, hysteresis: float = 1e-6) -> DataFrame:
@@ -22,17 +21,41 @@ def merged(map_cells: DataFrame | None, seen: DataFrame, hysteresis: float = 1e-
 
 
 class LiveMap:
-    """A foreachBatch sink: keeps the map as files in the shared folder, replaced as a whole after each batch."""
+    """A foreachBatch sink: the map as files of the shared folder, one folder a batch; the last two are kept.
 
-    def __init__(self) -> None:
-        self.cells: DataFrame | None = None
-        self.done = -1
+    The folders are all of its state: a stream that begins again, on another driver too, goes on from the last whole batch,
+    and a batch that is delivered again is left alone.
+    """
+
+    def __init__(self, folder: str, hysteresis: float = 1e-6) -> None:
+        self.folder, self.hysteresis = folder.rstrip("/"), hysteresis
+
+    def _files(self, spark: SparkSession, name: str = ""):  # noqa: ANN202
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}{name}")
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def batches(self, spark: SparkSession) -> list[int]:
+        """The numbers of the batches that are wholly written, in order."""
+        files, path = self._files(spark)
+        if not files.exists(path):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(path)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch-") and files.exists(self._files(spark, f"/{n}/_SUCCESS")[1]))
+
+    def cells(self, spark: SparkSession) -> DataFrame | None:
+        """The map after the last whole batch, null before the first."""
+        done = self.batches(spark)
+        return spark.read.parquet(f"{self.folder}/batch-{done[-1]}") if done else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number <= self.done:
-            return  # a batch that is delivered again
-        self.cells = settle(merged(self.cells, batch), "map")
-        self.done = number
+        spark = batch.sparkSession
+        done = self.batches(spark)
+        if done and number <= done[-1]:
+            return
+        merged(self.cells(spark), batch, self.hysteresis).write.mode("overwrite").parquet(f"{self.folder}/batch-{number}")
+        for old in done[:-1]:
+            files, path = self._files(spark, f"/batch-{old}")
+            files.delete(path, True)
 
 
 def backlog(jobs: DataFrame, done: DataFrame, at_most: int) -> DataFrame:

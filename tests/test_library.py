@@ -188,13 +188,30 @@ def test_stream_gives_the_rows_of_the_table(spark, tmp_path):
     assert sorted(map(repr, spark.table("captured").collect())) == want
 
 
-def test_live_map_keeps_the_better_view_and_ignores_a_repeated_batch(spark):
+def test_live_map_keeps_the_better_view_and_goes_on_after_a_restart(spark, tmp_path):
     seen = lambda *rows: spark.createDataFrame(rows, "row int, col int, frame_id long, weight double")
-    m = live_map.LiveMap()
-    m(seen((0, 0, 1, 0.5), (0, 1, 1, 0.9)), 0)
-    m(seen((0, 0, 2, 0.5 + 1e-8), (0, 1, 2, 0.95), (1, 1, 2, 0.1)), 1)
-    m(seen((0, 0, 3, 1.0)), 1)
-    assert {(r.row, r.col): r.frame_id for r in m.cells.collect()} == {(0, 0): 1, (0, 1): 2, (1, 1): 2}
+    begun = lambda: live_map.LiveMap(str(tmp_path / "map"))
+    assert begun().cells(spark) is None
+    begun()(seen((0, 0, 1, 0.5), (0, 1, 1, 0.9)), 0)
+    begun()(seen((0, 0, 2, 0.5 + 1e-8), (0, 1, 2, 0.95), (1, 1, 2, 0.1)), 1)
+    begun()(seen((0, 0, 3, 1.0)), 1)
+    assert {(r.row, r.col): r.frame_id for r in begun().cells(spark).collect()} == {(0, 0): 1, (0, 1): 2, (1, 1): 2}
+    (tmp_path / "map" / "batch-2").mkdir()  # a batch whose writer was lost
+    begun()(seen((1, 0, 4, 0.3)), 2)
+    begun()(seen((1, 0, 5, 0.4)), 3)
+    assert begun().batches(spark) == [2, 3]
+    assert {(r.row, r.col): r.frame_id for r in begun().cells(spark).collect()} == {(0, 0): 1, (0, 1): 2, (1, 1): 2, (1, 0): 5}
+
+
+def test_live_map_under_a_stream(spark, tmp_path):
+    kinds = "row int, col int, frame_id long, weight double"
+    for k in range(3):
+        spark.createDataFrame([(0, k % 2, k, 0.1 * k), (1, 1, k, 0.9 - 0.1 * k)], kinds).coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(k)))
+    m = live_map.LiveMap(str(tmp_path / "map"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
+    q = stream.writeStream.foreachBatch(m).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert {(r.row, r.col): r.frame_id for r in m.cells(spark).collect()} == {(0, 0): 2, (0, 1): 1, (1, 1): 0}
 
 
 def test_backlog_serves_the_newest_first(spark):

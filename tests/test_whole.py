@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from terraweft.operators import fit, projective, proximity
-from terraweft.plans import extras, matching
+from terraweft.operators import fit, projective, proximity, raster
+from terraweft.plans import extras, matching, records
 from terraweft.plans.capture import arrival_candidates
 
 SF = "/root/testdata/sf0.001"
@@ -223,3 +223,53 @@ def test_views_with_broad_support(spark):
             want[session, frame] = round(area, 6)
     got = {(s, f): a for s, f, a in run(spark, "R8_whole_views")}
     assert got == pytest.approx(want) and 0 < len(want) < seen.frame_id.nunique()
+
+
+def test_spread_sample_by_force(spark):
+    draw = random.Random(5)
+    at = [(g, k, draw.randint(0, 40), draw.randint(0, 40)) for g, n in ((1, 300), (2, 220), (3, 1)) for k in range(n)]
+    df = spark.createDataFrame([(g, k, float(e), float(n)) for g, k, e, n in at], "g long, k long, east double, north double")
+    got = {tuple(r) for r in records.spread_sample(df, "g", "k", 220).collect()}
+    assert {r for r in got if r[0] != 1} == {(g, k) for g, k, *_ in at if g != 1}
+    p = [(e, n) for g, _, e, n in at if g == 1]
+    chosen = [0]
+    while len(chosen) < 220:
+        gap = [-1 if i in chosen else min((e - p[c][0]) ** 2 + (n - p[c][1]) ** 2 for c in chosen) for i, (e, n) in enumerate(p)]
+        chosen.append(gap.index(max(gap)))
+    assert {k for g, k in got if g == 1} == set(chosen)
+
+
+def test_frames_read_by_force(spark):
+    high, wide, crop = 5, 6, 0.8
+    draw = np.random.default_rng(3).integers(0, 256, (high, wide)).astype(float)
+    df = spark.createDataFrame([(1, r, c, float(draw[r, c])) for r in range(high) for c in range(wide)], "image long, row int, col int, value double")
+    got = {(r.row, r.col): r.value for r in raster.read_frames(df, "image", high, wide, "synthetic", crop).collect()}
+    full = wide / crop
+    margin, f = (full - wide) / 2, 0.85 * max(full, high)
+    gain = lambda r, c: max(1 - 0.3 * min(((c + margin - full / 2) / (full / 2)) ** 2 + ((r - high / 2) / (high / 2)) ** 2, 1.96), 0.1)
+    even = np.array([[math.floor(min(255, draw[r, c] / gain(r, c))) for c in range(wide)] for r in range(high)])
+    assert len(got) == high * wide
+    for (r, c), value in got.items():
+        x0, y0 = (c + margin - full / 2) / f, (r - high / 2) / f
+        x, y = x0, y0
+        for _ in range(5):
+            s = 1 - 0.12 * (x * x + y * y) + 0.02 * (x * x + y * y) ** 2
+            x, y = x0 / s, y0 / s
+        u, v = min(max(x * f + full / 2 - margin, 0), wide - 1), min(max(y * f + high / 2, 0), high - 1)
+        i, j = int(v), int(u)
+        i2, j2 = min(i + 1, high - 1), min(j + 1, wide - 1)
+        a, b = even[i, j] + (even[i, j2] - even[i, j]) * (u - j), even[i2, j] + (even[i2, j2] - even[i2, j]) * (u - j)
+        assert value == pytest.approx(a + (b - a) * (v - i))
+    assert raster.read_frames(df, "image", high, wide).count() == high * wide
+    for profile, share in (("other", 0.8), ("none", 0.0), ("none", 1.1)):
+        with pytest.raises(ValueError):
+            raster.read_frames(df, "image", high, wide, profile, share)
+
+
+def test_poses_without_anchor_are_left_out(spark):
+    draw = random.Random(2)
+    rows = [(g, k, draw.uniform(0, 9), draw.uniform(0, 9)) for g, n in ((1, 40), (2, 5)) for k in range(n)]
+    rows = [(g, k, u, v, 3 * u - 2 * v + 5 + 80 * (k % 8 == 0), 2 * u + 3 * v - 1 - 40 * (k % 8 == 0)) for g, k, u, v in rows]
+    got = fit.georeferenced(spark.createDataFrame(rows, MATCHES), "g", "k", 5.0, 6).collect()
+    assert {(r.g, r.k): r.inlier for r in got} == {(1, k): k % 8 != 0 for k in range(40)}
+    assert all(abs(r.x2 - (3 * r.u - 2 * r.v + 5)) < 1e-9 and abs(r.y2 - (2 * r.u + 3 * r.v - 1)) < 1e-9 and r.median_error < 1e-9 for r in got)
