@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from terraweft.operators import graph, proximity, spanning
 from terraweft.plans.catalog import query
+from terraweft.plans.geometry import LOCAL_SQL
 from terraweft.session import settle, table
 from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames
 
@@ -349,11 +350,15 @@ def hull_areas(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     return extreme_points(df, group, x, y).groupBy(*group).agg(area(x, y).alias("area"))
 
 
-@query("G3_hull_area")
+@query("G3_hull_area", f"""WITH {LOCAL_SQL}, c AS (SELECT DISTINCT session, east AS x, north AS y FROM placed),
+o AS (SELECT a.session, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) AS side, (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) AS beyond FROM c a JOIN c b ON a.session = b.session AND (a.x, a.y) <> (b.x, b.y) JOIN c p ON p.session = a.session),
+e AS (SELECT session, ax, ay, bx, "by" FROM o GROUP BY ALL HAVING bool_and(side > 1e-6 OR (abs(side) <= 1e-6 AND beyond <= 1e-6))), s AS (SELECT DISTINCT session FROM c)
+SELECT s.session, round(coalesce(sum(ax * "by" - bx * ay), 0) / 2, 4) AS area FROM s LEFT JOIN e USING (session) GROUP BY s.session""")
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the hull of each session's captures; its SQL keeps the pairs that have all others on their left."""
     from terraweft.plans.geometry import placed
 
-    return hull_areas(placed(spark, sf_dir), ["session"], "east", "north")
+    return hull_areas(placed(spark, sf_dir), ["session"], "east", "north").withColumn("area", F.round("area", 4))
 
 
 @query("R8_wide_views", f"WITH {FRAMES_SQL}, b AS (SELECT session, (max(lat) - min(lat)) * (max(lon) - min(lon)) * 1e6 AS box FROM frames GROUP BY session) SELECT session FROM b WHERE box >= 0.3 * 4 * 0.5625e0 * 1.5")

@@ -83,7 +83,7 @@ def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("K3_dual_write", f"""WITH {PIXELS_SQL}, v AS (SELECT *, value * (1 - 0.3e0 * least({_R2}, 1.96e0)) + sqrt(-2 * ln({_U.format(k='u')})) * cos(2 * 3.141592653589793e0 * {_U.format(k='v')}) * 4e0 AS seen FROM pixels)
-SELECT image, count(*) AS pixels, sum(CAST(value AS BIGINT)) AS clean, sum(CAST(floor(greatest(0, least(255, seen))) AS BIGINT)) AS degraded FROM v GROUP BY image""")
+SELECT image, count(*) AS pixels, CAST(sum(value) AS BIGINT) AS clean, CAST(sum(floor(greatest(0, least(255, seen)))) AS BIGINT) AS degraded FROM v GROUP BY image""")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each capture written twice, as its camera would degrade it and clean, and both read back."""
     import uuid

@@ -35,21 +35,32 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.affine(views(spark, sf_dir), ["session"]).select("session", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("G10_robust_similarity")
+def _pass(k: int) -> str:
+    """One weighted fit and the weights that follow from it."""
+    mean = ", ".join(f"sum(w * {c}) / nullif(sum(w), 0) AS m{c}" for c in "uvxy")
+    return f"""m{k} AS (SELECT session, {mean} FROM w{k} GROUP BY session),
+f{k} AS (SELECT session, mu, mv, mx, my, sum(w * ((u - mu) * (x - mx) + (v - mv) * (y - my))) AS a, sum(w * ((u - mu) * (y - my) - (v - mv) * (x - mx))) AS b, sum(w * ((u - mu) * (u - mu) + (v - mv) * (v - mv))) AS n FROM w{k} JOIN m{k} USING (session) GROUP BY ALL),
+s{k} AS MATERIALIZED (SELECT session, a / n AS p, b / n AS q, mx - a / n * mu + b / n * mv AS tx, my - b / n * mu - a / n * mv AS ty FROM f{k} WHERE n > 0),
+w{k + 1} AS MATERIALIZED (SELECT session, u, v, x, y, least(1, 1 / greatest(sqrt(pow(p * u - q * v + tx - x, 2) + pow(q * u + p * v + ty - y, 2)), 1e-9)) AS w FROM w{k} JOIN s{k} USING (session))"""
+
+
+@query("G10_robust_similarity", f"WITH {VIEWS_SQL}, w0 AS MATERIALIZED (SELECT session, u, v, x, y, 1e0 AS w FROM views), {', '.join(map(_pass, range(5)))} SELECT session, round(p, 4) AS p, round(q, 4) AS q, round(tx, 4) AS tx, round(ty, 4) AS ty FROM s4")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fit.robust_similarity(views(spark, sf_dir), ["session"], scale=1.0)
     return f.select("session", *(F.round(k, 4).alias(k) for k in ("p", "q", "tx", "ty")))
 
 
-@query("G12_anchor")
+ANCHOR_SQL = f"""{VIEWS_SQL}, i AS (SELECT * FROM views WHERE frame_id % 9 <> 0 QUALIFY count(*) OVER (PARTITION BY session) >= 6), m AS (SELECT session, avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my FROM i GROUP BY session),
+s AS (SELECT session, mu, mv, mx, my, count(*) AS inliers, sum((u - mu) * (x - mx) + (v - mv) * (y - my)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS p, sum((u - mu) * (y - my) - (v - mv) * (x - mx)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS q FROM i JOIN m USING (session) GROUP BY ALL)"""
+
+
+@query("G12_anchor", f"WITH {ANCHOR_SQL} SELECT session, inliers, round(p, 4) AS p, round(q, 4) AS q, round(mx - p * mu + q * mv, 4) AS tx, round(my - q * mu - p * mv, 4) AS ty FROM s")
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fit.anchored(views(spark, sf_dir), "session", "seq", tolerance=5.0, least=6)
     return a.select("session", "inliers", *(F.round(k, 4).alias(k) for k in ("p", "q", "tx", "ty")))
 
 
-@query("G14_anchored_poses", f"""WITH {VIEWS_SQL}, i AS (SELECT * FROM views WHERE frame_id % 9 <> 0 QUALIFY count(*) OVER (PARTITION BY session) >= 6), m AS (SELECT session, avg(u) AS mu, avg(v) AS mv, avg(x) AS mx, avg(y) AS my FROM i GROUP BY session),
-s AS (SELECT session, mu, mv, mx, my, sum((u - mu) * (x - mx) + (v - mv) * (y - my)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS p, sum((u - mu) * (y - my) - (v - mv) * (x - mx)) / sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS q FROM i JOIN m USING (session) GROUP BY ALL),
-g AS (SELECT session, frame_id, p * (u - mu) - q * (v - mv) + mx AS x2, q * (u - mu) + p * (v - mv) + my AS y2, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS error FROM views JOIN s USING (session))
+@query("G14_anchored_poses", f"""WITH {ANCHOR_SQL}, g AS (SELECT session, frame_id, p * (u - mu) - q * (v - mv) + mx AS x2, q * (u - mu) + p * (v - mv) + my AS y2, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS error FROM views JOIN s USING (session))
 SELECT session, frame_id, round(x2, 4) AS east, round(y2, 4) AS north, error <= 5 AS inlier, round(quantile_cont(error, 0.5) OVER (PARTITION BY session), 4) AS median_error FROM g""")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each view's place on the ground by its session's anchor; sessions without six agreeing views are left out."""
