@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraweft.llm import ann, chat, decontam, html_tree, mixing, ngram_join, pii, quality, substring, warc
+from terraweft.llm import ann, chat, collocations, decontam, html_tree, mixing, negatives, ngram_join, pii, quality, substring, urls, warc
 from terraweft.session import table
 
 
@@ -75,6 +75,26 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    rows = negatives.whole_numbers(vectors, 256)
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"), positives=5, negatives=10, least=30, most=90)
+
+
+#: Host, path and verdict of the rules that op12 applies.
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents"), size=5, least=100, share=100, top=2000)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -86,8 +106,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filters": op12_url_filters,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.e) = len(b.e)
+), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS nth FROM s WHERE same) WHERE nth <= 5
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.nth ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), p AS (
+  SELECT row_number() OVER () AS k, page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), rules(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), f AS (SELECT k, max({'n': length(rh) + length(rp), 'h': length(rh), 'rule': rh || rp, 'verdict': verdict}) AS best FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (k)
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)
+), s AS (SELECT lang, p, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM p
+), e AS (
+  SELECT lang, w AS g1, w || ' ' || lead(w, 1) OVER o AS g2, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS g3,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g4,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g5
+  FROM s WINDOW o AS (PARTITION BY p ORDER BY i)
+), f AS (
+  SELECT lang, g1 AS phrase, 1 AS size, count(*) AS f FROM e GROUP BY 1, 2
+  UNION ALL SELECT lang, g2, 2, count(*) FROM e WHERE g2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, g3, 3, count(*) FROM e WHERE g3 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, g4, 4, count(*) FROM e WHERE g4 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100
+  UNION ALL SELECT lang, g5, 5, count(*) FROM e WHERE g5 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 100
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1
+), h AS MATERIALIZED (SELECT lang, phrase, size, f, struct_pack(a := lang, b := phrase) AS at FROM f WHERE f >= 100
+), c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM h WHERE size >= 2
+), cuts AS (SELECT lang, phrase, w, f AS a, size, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail FROM c, range(1, 5) AS r(k) WHERE k < size
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cuts.size, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN h x ON x.at = struct_pack(a := cuts.lang, b := head) JOIN h y ON y.at = struct_pack(a := cuts.lang, b := tail) JOIN n ON n.lang = cuts.lang
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1
+), inside AS (
+  SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, f FROM c, range(2, 5) AS r(m), range(1, 5) AS q(i) WHERE m < size AND i + m - 1 <= size) GROUP BY 1, 2
+), kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
@@ -202,6 +279,9 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op7_source_mixing": OP7_SQL,
     "op10_html_extraction": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
+    "op13_phrase_collocations": OP13_SQL,
     "op6_vantage_point_search": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op5_warc_zstd": OP5_SQL,
