@@ -144,8 +144,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs, written with a key for each row, so that equal rows stay apart and every scan sees the same keys."""
-    return settle(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    """doc_id, text, the whole row and a key of it, written: equal rows stay apart and every scan sees the same keys."""
+    row = F.struct(*docs.columns).alias("_row")
+    return settle(docs.select(row, "doc_id", "text").withColumn("_key", F.monotonically_increasing_id()), "keyed")
 
 
 def _united(keyed: DataFrame, groups: Iterator[list[tuple[str, int, list[int]]]]) -> DataFrame:
@@ -217,7 +218,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     if several and share > 0:
         keyed = _keyed(docs)
         over = _united(keyed, groups).where(F.size("places") > share * F.col("n_words")).select("_key")
-        return keyed.join(over, "_key", "left_anti").select(*docs.columns)
+        return keyed.join(over, "_key", "left_anti").select("_row.*")
     kept = docs
     for patterns in groups:
         sent = docs.sparkSession.sparkContext.broadcast(patterns)

@@ -36,7 +36,7 @@ from terraweft.llm.common import bounded_sample
 
 LEARN_PAGES, LEARN_CHARS = 2_000, 200_000
 #: Pages composed as labelled examples, and how much more an element of theirs weighs than the sample's as a whole.
-COMPOSED = 600
+COMPOSED = 900
 BUCKETS = 4096
 #: Added to each count, and the largest weight (log likelihood ratio) of one feature.
 SMOOTH, CLIP = 0.5, 4.0
@@ -57,6 +57,8 @@ SCOPES = frozenset("ul ol dl table article section div body html nav aside heade
 PARTS = frozenset("address article aside body center details dialog dir div fieldset figure footer form head header hr html main menu nav ol section table ul".split())
 #: Elements whose text a browser does not show as text of the page, or that are a part of a form.
 SILENT = frozenset("head template noscript svg select datalist option optgroup button object audio video canvas".split())
+#: Parts whose tag says nothing but that they are as their parent is.
+LISTS = frozenset("ul ol li dl dt dd".split())
 # What marks an article, and elements that HTML defines as something beside it.
 CONTENT = frozenset("article main".split())
 BESIDE = frozenset("nav aside footer form dialog menu fieldset".split())
@@ -179,14 +181,15 @@ class Page:
             around[parents[i]] |= tags[i] in PARTS and deep[i] == deep[parents[i]] > 0
         out = []
         for i in range(n):
-            names = [f"tag {tags[i]}{' around' * around[i]}"]
+            of = "list " * (tags[i] in LISTS)
+            names = [f"tag {tags[i]}{' around' * around[i]}"] if not of else []
             if not around[i]:
-                names.append(f"links {4 * linked[i] // max(1, deep[i])} {deep[i] > 0}")
+                names.append(f"{of}links {4 * linked[i] // max(1, deep[i])} {deep[i] > 0}")
             if tags[i] in PARTS and not around[i]:
-                names.append(f"deep {min(4, deep[i].bit_length() // 3)} {min(3, said[i])}")
-                names.append(f"alike {min(3, alike[parents[i], tags[i], self.marks[i]])} {bool(self.marks[i])}")
+                names.append(f"{of}deep {min(4, deep[i].bit_length() // 3)} {min(3, said[i])}")
+                names.append(f"{of}alike {min(3, alike[parents[i], tags[i], self.marks[i]])} {bool(self.marks[i])}")
             elif tags[i] not in PARTS:
-                names.append(f"own {min(4, own[i].bit_length() // 2)} {min(2, said[i])}")
+                names.append(f"{of}own {min(4, own[i].bit_length() // 2)} {min(2, said[i])}")
             if marked[i] != marked[parents[i]]:  # below, edges pass it on
                 names.append(f"marked {marked[i]}")
             if self.roles[i]:
@@ -231,11 +234,12 @@ NAMES = {
     "header": "header site-header masthead top-bar branding logo banner".split(),
     "footer": "footer site-footer page-footer colophon copyright legal imprint".split(),
     "aside": "sidebar side-column widget widgets rail related related-posts recommended more-stories trending popular".split(),
-    "advert": "ad ads advert advertisement ad-slot sponsor sponsored promo promotion affiliate dfp taboola".split(),
+    "advert": "ad ad ad-box ads advert advertisement ad-slot sponsor sponsored promo promotion affiliate dfp taboola".split(),
     "notice": "notice cookie cookie-banner consent gdpr alert popup modal overlay newsletter subscribe paywall signup".split(),
     "share": "share share-buttons sharing social social-links follow-us tools print".split(),
-    "comments": "comments comment-list discussion responses replies reactions feedback user-feedback thread talkback reader-comments conversation opinions disqus guestbook".split(),
-    "content": "content article-text entry-content post-body story text body-copy section chapter paragraph lead intro column block wrap row main-text".split(),
+    "comments": "comments comment-list discussion responses replies reactions feedback user-feedback thread talkback reader-comments reader-voices voices conversation opinions disqus guestbook discussion-body".split(),
+    "comment": "comment-body comment-text comment-inner reply-body reply-text message-text post-message opinion voice remark".split(),
+    "content": "content content content main article-text entry-content post-body story text body-copy section chapter paragraph lead intro column block wrap row main-text".split(),
     "content misleading": "share-of-market social-policy ad-hoc notice-of-death comment-on-law menu-of-the-day sidebar-story print-edition".split(),
     "plain": "box c1 row-2 x inner container wrap group col s7 js-block".split(),
 }
@@ -252,8 +256,8 @@ def composed(rng: random.Random) -> str:
         return " ".join(words(4, 20).capitalize() + rng.choice(".....!?") for _ in range(rng.randrange(low, high)))
 
     def attributes(kind: str, label: int) -> str:
-        named = rng.random() < (0.85 if kind != "content" else 0.4)
-        name = f" {rng.choice(('class', 'class', 'id'))}='{rng.choice(NAMES[kind + " misleading" * (kind == "content" and rng.random() < 0.1)] if named else NAMES['plain'])}'" if named or rng.random() < 0.5 else ""
+        named = rng.random() < (0.85 if kind != "content" else 0.6)
+        name = f" {rng.choice(('class', 'class', 'id'))}='{rng.choice(NAMES[kind + " misleading" * (kind == "content" and rng.random() < 0.06)] if named else NAMES['plain'])}'" if named or rng.random() < 0.5 else ""
         return f"{name} data-label='{label}'"
 
     def links(n: int) -> str:
@@ -264,8 +268,13 @@ def composed(rng: random.Random) -> str:
         if kind == "comments":
             item = rng.choice(("div", "li", "article", "div", "section"))
             mark = rng.choice((" class='comment'", " class='item'", " class='post'", " class='reply'", ""))
-            one = lambda: f"<{item}{mark}>{rng.choice(('<b>', '<span>', '<cite>'))}{words(1, 3)}</b></span></cite><p>{prose(1, 3)}</p>{rng.choice(('<a href=/r>reply</a>', '<button>ok</button>', ''))}</{item}>"
-            inner = f"<h3>{words(1, 3)}</h3>" + "".join(one() for _ in range(rng.randrange(1, 5))) + rng.choice(("", f"<form><textarea>x</textarea><label>{words(1, 2)}</label><button>go</button></form>"))
+            said = rng.choice(("", "", f" class='{rng.choice(NAMES['comment'])}'"))
+            longer = rng.choice((3, 3, 6, 9))
+            inside = (lambda x: f"<div{said}>{x}</div>") if said and rng.random() < 0.6 else (lambda x: f"<p{said}>{x}</p>")
+            one = lambda: f"<{item}{mark}>{rng.choice(('<b>', '<span>', '<cite>', ''))}{words(1, 3)}</b></span></cite>{inside(prose(1, longer))}{rng.choice(('<a href=/r>reply</a>', '<button>ok</button>', ''))}</{item}>"
+            if rng.random() < 0.25:  # texts alone
+                one = lambda: inside(prose(1, longer))
+            inner = f"<h3>{words(1, 3)}</h3>" * rng.randrange(2) + "".join(one() for _ in range(rng.randrange(1, 5))) + rng.choice(("", f"<form><textarea>x</textarea><label>{words(1, 2)}</label><button>go</button></form>"))
             return f"<{(t := rng.choice(('div', 'section', 'aside', 'div')))}{attributes(kind, 0)}>{inner}</{t}>"
         if kind == "form":
             inner = f"<label>{words(1, 3)}</label><input><select><option>{words(1, 2)}<option>{words(1, 2)}</select><datalist><option>{words(1, 2)}</datalist><textarea>{words(1, 3)}</textarea><p>{words(2, 6)}</p><button>{words(1, 2)}</button>"
@@ -277,12 +286,20 @@ def composed(rng: random.Random) -> str:
         inner = {"nav": lambda: links(rng.randrange(3, 9)), "share": lambda: links(rng.randrange(2, 5)), "header": lambda: f"<a href='/'>{words(1, 3)}</a> {words(1, 4)}", "footer": lambda: links(rng.randrange(2, 6)) + f"<p>{words(3, 9)}</p>", "aside": lambda: f"<h3>{words(1, 4)}</h3>" + links(rng.randrange(2, 6)) + rng.choice(("", f"<p>{prose(1, 2)}</p>"))}.get(kind, lambda: rng.choice(("", "<p>", "<div>")) + prose(1, 3) + f" <a href='/y'>{words(1, 3)}</a>" * rng.randrange(2) + rng.choice(("", "</p>", f"<button>{words(1, 2)}</button>")))()
         return f"<{(t := rng.choice(tag))}{attributes(kind, 0)}{role}>{inner}</{t}>"
 
-    kinds = ["nav", "header", "footer", "aside", "advert", "notice", "share", "comments", "form", "bare"]
+    kinds = ["nav", "header", "footer", "aside", "advert", "notice", "share", "comments", "form", "bare", "comments"]
+
+    def listed() -> str:
+        """A list of an article: of words, sentences, links in text, or lists."""
+        kind = rng.choice(("words", "prose", "links", "links", "nested"))
+        one = {"words": lambda: words(1, 9), "prose": lambda: prose(1, 3), "links": lambda: f"{words(*around)} <a href='/w'>{words(1, 4)}</a> {words(*around)}", "nested": lambda: f"{words(1, 5)}<ul><li>{words(1, 6)}<li>{words(1, 6)}</ul>"}[kind]
+        around = rng.choice(((0, 5), (0, 5), (0, 1)))
+        tag = rng.choice(("ul", "ul", "ol"))
+        return f"<{tag}{rng.choice(('', '', attributes('plain', 1)))}>" + "".join(f"<li>{one()}{rng.choice(('', '</li>'))}" for _ in range(rng.randrange(2, 7))) + f"</{tag}>"
 
     def block() -> str:
         return rng.choice((
             lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}", lambda: f"<p>{prose(1, 3)} <a href='/z'>{words(1, 4)}</a> <b>{words(1, 4)}</b> {prose(1, 3)}</p>",
-            lambda: f"<h2>{words(1, 6)}</h2>", lambda: f"<ul><li>{prose(1, 2)}</li><li>{words(2, 9)}<li>{words(1, 5)}</ul>", lambda: f"<blockquote>{prose(1, 3)}</blockquote>",
+            lambda: f"<h2>{words(1, 6)}</h2>", lambda: listed(), lambda: listed(), lambda: f"<blockquote>{prose(1, 3)}</blockquote>",
             lambda: f"<table><tr><th>{words(1, 3)}<td>{words(1, 3)}</table>", lambda: f"<pre>{words(3, 20)}</pre>", lambda: f"<figure><img><figcaption>{words(2, 9)}</figcaption></figure>",
             lambda: f"<p>{words(2, 5)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {words(1, 4)}.</p>", lambda: prose(), lambda: f"<dl><dt>{words(1, 3)}<dd>{prose(1, 2)}</dl>", lambda: f"<header><h1>{words(2, 8)}</h1><p>{words(1, 4)}</p></header>",
         ))()
@@ -299,7 +316,7 @@ def composed(rng: random.Random) -> str:
                 out.append(block())
         return "".join(out)
 
-    text = body(0) if rng.random() < 0.9 else block()
+    text = body(0) if rng.random() < 0.75 else f"<h1>{words(1, 9)}</h1>" * rng.randrange(2) + "".join(block() for _ in range(rng.randrange(1, 4)))
     for _ in range(rng.choice((0, 0, 1, 2, 5))):
         text = f"<div{rng.choice(('', '', attributes('plain', 1)))}>{text}</div>"
     tag = rng.choice(("article", "article", "main", "div", "section", "article", "div role='main'"))
@@ -311,8 +328,9 @@ def composed(rng: random.Random) -> str:
 
 
 def _edge(tag: str) -> int:
-    """Kinds of edges: to a part of its parent's text, to a part of the page, to one that is silent or beside the rest by its tag."""
-    return 3 if tag in CONTENT else 2 if tag in SILENT or tag in BESIDE or tag in RAW else int(tag in PARTS)
+    """Kinds of edges: to a part of its parent's text, to a part of the page, to one that is silent or beside the rest by its
+    tag, to one that marks content, to a list or its entries."""
+    return 4 if tag in LISTS else 3 if tag in CONTENT else 2 if tag in SILENT or tag in BESIDE or tag in RAW else int(tag in PARTS)
 
 
 def counts_of(source: str) -> Counter:
@@ -322,10 +340,12 @@ def counts_of(source: str) -> Counter:
     out: Counter = Counter()
     if state[0] < 0:
         return out
+    made = 1 in page.given
     for i, seen in enumerate(page.features()):
         out["node", 0, state[i]] += 1
+        # What a given page shows is counted apart: weighed() takes it where such pages show it in both states.
         for f in seen:
-            out["feature", f, state[i]] += 1
+            out["feature" if made else "seen", f, state[i]] += 1
         if i:
             out["edge", 2 * _edge(page.tags[i]) + state[page.parents[i]], state[i]] += 1
     return out
@@ -342,9 +362,9 @@ class Model:
             if counts["feature", f, 0] or counts["feature", f, 1]:
                 self.ratio[f] = min(CLIP, max(-CLIP, math.log(c[1] / c[0])))
         self.ratio = self.ratio.tolist()
-        edges = [[counts["edge", p, s] + SMOOTH for s in (0, 1)] for p in range(8)]
+        edges = [[counts["edge", p, s] + SMOOTH for s in (0, 1)] for p in range(10)]
         chance = [[e / sum(row) for e in row] for row in edges]
-        self.edge = [(*chance[k], *chance[k + 1]) for k in range(0, 8, 2)]
+        self.edge = [(*chance[k], *chance[k + 1]) for k in range(0, 10, 2)]
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of each element by sum-product: an upward and a downward pass over the tree."""
@@ -402,15 +422,24 @@ def train(pages: DataFrame, rows: int = LEARN_PAGES) -> Model:
 
 
 def weighed(sample: Counter, seed: int = 1) -> Counter:
-    """The sample's counts scaled to weigh as much as the composed pages, together with theirs."""
+    """The sample's counts scaled to weigh as much as the composed pages, together with theirs.
+
+    That the sample never shows a tag, say, in its articles (or never beside them) says nothing about other pages: what it
+    shows in one state alone is judged by the composed pages.
+    """
     made: Counter = Counter()
     rng = random.Random(seed)
     for _ in range(COMPOSED):
         made += counts_of(composed(rng))
     size = lambda c: c["node", 0, 0] + c["node", 0, 1]
-    if size(sample):
-        for k, v in sample.items():
-            made[k] += v * size(made) / size(sample)
+    if not size(sample):
+        return made
+    scale = size(made) / size(sample)
+    for (kind, key, state), v in sample.items():
+        if kind != "seen":
+            made[kind, key, state] += v * scale
+        elif sample[kind, key, 1 - state]:
+            made["feature", key, state] += v * scale
     return made
 
 

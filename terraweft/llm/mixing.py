@@ -11,7 +11,8 @@
    shard's blocks are used. No document is taken more than REPEATS times.
 
 Defined results: a null or empty text has no words and is never taken; documents of size 0 are returned with taken 0;
-a table without words has targets of 0; rows that share a doc_id are ordered by their text's hash; extra columns pass.
+a table without words has targets of 0; rows that share a doc_id are ordered by their text's
+hash (by size: those of one size too are in no set order); extra columns pass.
 """
 
 from __future__ import annotations
@@ -77,12 +78,15 @@ def apportioned(parties: DataFrame, group: list[str], claim: str, seats: str, ke
     return out.select(*(F.col(f"p.{c}") for c in parties.columns), (F.col("p._sure") + F.coalesce("w._won", F.lit(0))).alias("quota"))
 
 
-def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """docs with the columns size, source_size, target and taken (replaced if docs has them)."""
+def mixed(docs: DataFrame, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED, by: str = "text") -> DataFrame:
+    """docs with the columns size, source_size, target and taken (replaced if docs has them).
+
+    by: what the seeded order hashes beside doc_id, `text` or `size`; texts that are changed word for word keep their size.
+    """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     # The row travels as one struct, so that no column of docs meets one of the names below.
     sized = docs.select(F.struct(*own).alias("_row"), F.col("doc_id"), F.col("text"), F.col("source")).withColumn("size", words(F.col("text")))
-    tie = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    tie = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.coalesce(by, F.lit("")) if by == "text" else F.col(by).cast("string")))
     # Per source and fine shard first: one small row for each of at most 4096 parts of a source, however large.
     sized = sized.withColumn("_tie", tie).withColumn("_fine", F.conv(F.substring("_tie", 30, 3), 16, 10).cast("int")).drop("text")
     parts = settle(sized.groupBy("source", "_fine").agg(F.sum("size").alias("size")), "parts")

@@ -7,11 +7,12 @@ Equal values get equal pseudonyms in every document; distinct values of one form
 their validation are permuted among the numbers of their length. Mail addresses and access keys and tokens that look like
 AKIA keys or long hexadecimal numbers, which have no numeric format, become a keyed tag of their kind.
 
-The key is the caller's; it has no default. session_key() takes it from the session's settings (KEY_SETTING); where that
-is unset it draws a random one for the session, so that pseudonyms agree within a session but with no other.
+The key is the caller's; it has no default. session_key() takes it from the session's settings (KEY_SETTING, which Spark
+redacts by its name); where that is unset it draws a random one for the session, so that pseudonyms agree within a session
+but with no other. The key joins the rows as a column of a table of one row: no plan, event log or page shows it.
 
 Defined results: a null text stays null; an empty one stays empty; text outside the findings is unchanged; repeated
-rows are treated alike; other columns pass through.
+rows are treated alike; other columns pass through, except that a column named as the kinds' is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: The session's setting that names the key.
-KEY_SETTING = "spark.terraweft.pii.key"
+KEY_SETTING = "spark.terraweft.pii.secret"
 # What each kind looks like.
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"\bAKIA[0-9A-Z]{12,16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{18,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?=[0-9A-F]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{18,}(?![0-9A-Za-z])"
@@ -35,13 +36,14 @@ CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z.])[
 ANY = "|".join((MAIL, SECRET, DATE, ADDRESS, PHONE, IDENTITY, CARD))
 
 
-def _keyed(key: str, *parts: Column | str) -> Column:
+def _keyed(key: Column | str, *parts: Column | str) -> Column:
     """A keyed 60-bit number."""
-    text = F.concat_ws("|", F.lit(key), *(p if isinstance(p, Column) else F.lit(p) for p in parts), F.lit(key))
+    said = key if isinstance(key, Column) else F.lit(key)
+    text = F.concat_ws("|", said, *(p if isinstance(p, Column) else F.lit(p) for p in parts), said)
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column | str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, tweak: Column | str) -> Column:
     """struct(l, r): a keyed permutation of the pairs of a residue below a and one below b."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
@@ -62,7 +64,7 @@ def _bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def permuted_digits(digits: Column, key: str, tweak: Column | str) -> Column:
+def permuted_digits(digits: Column, key: Column, tweak: Column | str) -> Column:
     """Another string of as many digits (up to 19), under the key."""
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -99,7 +101,7 @@ def laid_out(original: Column, digits: Column) -> Column:
     return out["text"]
 
 
-def card(x: Column, key: str) -> Column:
+def card(x: Column, key: Column) -> Column:
     """Numbers with a valid check digit get another valid one; others another number of their length."""
 
     def replaced(d: Column) -> Column:
@@ -111,7 +113,7 @@ def card(x: Column, key: str) -> Column:
     return _bind(F.regexp_replace(x, "[^0-9]", ""), replaced)
 
 
-def phone(x: Column, key: str) -> Column:
+def phone(x: Column, key: Column) -> Column:
     """Area, exchange and line are permuted; the country code stays. Valid ones (area and exchange from 200) stay valid."""
 
     def replaced(d: Column) -> Column:
@@ -128,7 +130,7 @@ def phone(x: Column, key: str) -> Column:
     return _bind(F.regexp_replace(x, "[^0-9]", ""), replaced)
 
 
-def address(x: Column, key: str) -> Column:
+def address(x: Column, key: Column) -> Column:
     """An IPv4 address for another; four numbers that are none are permuted digit by digit."""
 
     def replaced(o: Column) -> Column:
@@ -147,7 +149,7 @@ def address(x: Column, key: str) -> Column:
 CYCLE, CYCLE_A, CYCLE_B = 146_097, 189, 773
 
 
-def date(x: Column, key: str) -> Column:
+def date(x: Column, key: Column) -> Column:
     """A calendar day for another of its 400-year cycle; what is no calendar day is permuted digit by digit."""
 
     def replaced(day: Column) -> Column:
@@ -164,8 +166,8 @@ def date(x: Column, key: str) -> Column:
     return _bind(F.try_to_date(x, "yyyy-MM-dd"), replaced)
 
 
-def tag(kind: str, x: Column, key: str) -> Column:
-    return F.concat(F.lit(f"<{kind}-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lower(x), F.lit(key)), 256), 1, 12), F.lit(">"))
+def tag(kind: str, x: Column, key: Column) -> Column:
+    return F.concat(F.lit(f"<{kind}-"), F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), F.lower(x), key), 256), 1, 12), F.lit(">"))
 
 
 def _is(pattern: str, x: Column) -> Column:
@@ -180,7 +182,7 @@ def kind_of(x: Column) -> Column:
     return out.otherwise("number")
 
 
-def pseudonym(x: Column, key: str) -> Column:
+def pseudonym(x: Column, key: Column) -> Column:
     return _bind(
         kind_of(x),
         lambda k: F.when(k == "mail", tag("mail", x, key)).when(k == "secret", tag("secret", x, key)).when(k == "date", date(x, key)).when(k == "address", address(x, key)).when(k == "phone", phone(x, key)).when(k == "identity", laid_out(x, permuted_digits(F.regexp_replace(x, "[^0-9]", ""), key, "identity"))).otherwise(card(x, key)),
@@ -195,16 +197,18 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
-def with_pseudonyms(docs: DataFrame, key: str) -> DataFrame:
-    """docs with the findings in text replaced, and their numbers of each kind in _pii (an array of kinds)."""
+def with_pseudonyms(docs: DataFrame, key: str, kinds: str | None = "_pii") -> DataFrame:
+    """docs with the findings in text replaced, and what kinds they are of in a column (an array; none where kinds is None)."""
     if not key:
         raise ValueError("pseudonyms need a key")
     # Every kind has a digit, an @ or AKIA; a text without them is passed as it is.
     some = F.col("text").rlike("[0-9@]|AKIA")
     found = F.when(some, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     pieces = F.when(F.size("_found") > 0, F.split("text", ANY, -1))
-    new = F.transform("_found", lambda x: pseudonym(x, key))
     joined = F.when(F.size("_found") > 0, F.concat(F.array_join(F.zip_with(F.slice("_pieces", 1, F.size("_found")), "_new", lambda p, n: F.concat(p, n)), ""), F.element_at("_pieces", -1))).otherwise(F.col("text"))
-    held = docs.select(F.struct(*docs.columns).alias("_row"), "text").withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_pieces", pieces).withColumn("_new", new)
-    held = held.withColumn("_text", joined)
-    return held.select(*((F.col("_text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns), F.transform("_found", kind_of).alias("_pii"))
+    held = docs.select(F.struct(*docs.columns).alias("_row"), "text").withColumn("_found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("_pieces", pieces)
+    own = F.broadcast(docs.sparkSession.createDataFrame([(0, key)], "_one int, _key string"))  # one row
+    held = held.withColumn("_one", F.lit(0)).join(own, "_one")
+    held = held.withColumn("_new", F.transform("_found", lambda x: pseudonym(x, F.col("_key")))).withColumn("_text", joined)
+    out = [(F.col("_text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns if c != kinds]
+    return held.select(*out, *([F.transform("_found", kind_of).alias(kinds)] if kinds else []))
