@@ -30,13 +30,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by pseudonyms under the session's key; n_chars follows the new text."""
-    found = pii.with_pseudonyms(docs, pii.session_key(spark)).drop("_pii")
+    found = pii.with_pseudonyms(docs, pii.session_key(spark), kinds=None)
     return found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents with the words taken of each; those of which nothing is taken go."""
-    return mixing.mixed(docs).where("taken > 0")
+    """The mix: documents with the words taken of each; those of which nothing is taken go.
+
+    The seeded order looks at doc_id and size, which pseudonyms leave alone: sessions with other keys take the same words.
+    """
+    return mixing.mixed(docs, by="size").where("taken > 0")
 
 
 STAGES: list[tuple[str, Stage]] = [
