@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terraweft.plans.catalog import query
 from terraweft.plans.capture import ARMED_SQL, close_pairs
 from terraweft.plans.rasters import cells
+from terraweft.plans.streams import DECISIONS_SQL
 from terraweft.operators import graph, proximity, raster
 from terraweft.session import settle
 from terraweft.sources import sinks
@@ -15,9 +16,9 @@ from terraweft.sources.frames import AREA, telemetry
 from terraweft.streaming.capture import Rules, captured
 
 
-@query("T2_capture_decisions")
+@query("T2_capture_decisions", DECISIONS_SQL + " SELECT * FROM decisions")
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of every session by the stateful rules; the streaming form is tested to give the same rows."""
+    """Events of every session by the stateful rules, as a batch."""
     return captured(telemetry(spark, sf_dir), Rules(AREA))
 
 
