@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from terraweft.operators import compositing, raster
+from terraweft.operators import compositing, raster, seams
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import num
 from terraweft.plans.rasters import CELLS_SQL, COLUMNS, PIXELS_SQL, ROWS, SIDE, cells, pixels
@@ -128,3 +129,27 @@ def r12_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All views of a session blended in three bands of frequency and a rest."""
     seen = cells(spark, sf_dir).select("session", "frame_id", "row", "col", "value", "weight")
     return compositing.multiband(seen, "session", "frame_id", BANDS).withColumn("value", F.round("value", 5))
+
+
+BLOCK = 4
+
+
+@query("R11_block_gains")
+def r11_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of all blocks of four by four cells of all views, balanced over their overlaps."""
+    seen = settle(cells(spark, sf_dir).select("session", "frame_id", "row", "col", "value"), "seen")
+    return seams.block_gains(seen, "session", "frame_id", BLOCK).withColumn("gain", F.round("gain", 5))
+
+
+@query("R12_seams", f"""WITH RECURSIVE {CELLS_SQL}, f AS (SELECT DISTINCT session, frame_id FROM cells), pair AS (SELECT * FROM (SELECT session, frame_id AS a, lead(frame_id) OVER (PARTITION BY session ORDER BY frame_id) AS b FROM f) WHERE b IS NOT NULL),
+o AS (SELECT p.session, p.a, p.b, x.row, x.col, CAST(round(abs(x.value - y.value)) AS BIGINT) AS cost FROM pair p JOIN cells x ON x.session = p.session AND x.frame_id = p.a JOIN cells y ON y.session = p.session AND y.frame_id = p.b AND y.row = x.row AND y.col = x.col),
+box AS (SELECT session, a, b, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM o GROUP BY 1, 2, 3), g AS (SELECT x.session, x.a, x.b, r0, r1, x.row, x.col, coalesce(cost, 1000000) AS cost FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM box)) x LEFT JOIN o USING (session, a, b, row, col)),
+d(session, a, b, r1, row, col, d, back) AS (SELECT session, a, b, r1, row, col, cost, col FROM g WHERE row = r0 UNION ALL SELECT g.session, g.a, g.b, g.r1, g.row, g.col, min(d.d) + any_value(g.cost), min({{'d': d.d, 'c': d.col}}).c FROM d JOIN g ON g.session = d.session AND g.a = d.a AND g.b = d.b AND g.row = d.row + 1 AND abs(g.col - d.col) <= 1 GROUP BY 1, 2, 3, 4, 5, 6),
+fin AS (SELECT session, a, b, row, min({{'d': d, 'c': col}}) AS best FROM d WHERE row = r1 GROUP BY 1, 2, 3, 4), way(session, a, b, row, col, cost) AS (SELECT session, a, b, row, best.c, best.d FROM fin UNION ALL SELECT w.session, w.a, w.b, w.row - 1, d.back, w.cost FROM way w JOIN d ON d.session = w.session AND d.a = w.a AND d.b = w.b AND d.row = w.row AND d.col = w.col JOIN box ON box.session = w.session AND box.a = w.a AND box.b = w.b WHERE w.row > box.r0)
+SELECT session, a, b, row, col, cost FROM way""")
+def r12_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between each capture and its session's next one: the cut through their overlap along which they differ least."""
+    seen = settle(cells(spark, sf_dir).select("session", "frame_id", "row", "col", "value"), "seen")
+    following = F.lead("frame_id").over(Window.partitionBy("session").orderBy("frame_id"))
+    pairs = seen.select("session", "frame_id").distinct().select("session", F.col("frame_id").alias("a"), following.alias("b")).where("b is not null")
+    return seams.cuts(seen, pairs, "session", "frame_id")

@@ -142,3 +142,54 @@ def test_bands_by_force(spark):
         out = {p: band[p] + rough[p] for p in band}
     assert {(r, c) for g, r, c in got if g == 1} == set(out) and all(abs(got[1, *p] - x) < 1e-9 for p, x in out.items())
     assert not [k for k in got if k[0] == 3]
+
+
+def test_gains_equal_a_dense_solve(spark):
+    from terraweft.operators import seams
+
+    rng = random.Random(9)
+    rows = [(g, v, r, c, rng.uniform(20, 230)) for g in (1, 2) for v, (r0, c0) in enumerate(((0, 0), (2, 3), (4, 1), (40, 40))) for r in range(r0, r0 + 6) for c in range(c0, c0 + 7)]
+    frame = spark.createDataFrame(rows, "g long, v long, row int, col int, value double")
+    entries, right = seams.exposure_system(frame, "g", "v", 3)
+    b = {r.i: r.b for r in right.collect()}
+    order = {i: k for k, i in enumerate(sorted(b))}
+    matrix = np.zeros((len(order), len(order)))
+    for r in entries.collect():
+        matrix[order[r.i], order[r.j]] = r.a
+    assert np.allclose(matrix, matrix.T) and np.linalg.eigvalsh(matrix).min() > 0
+    want = np.linalg.solve(matrix, [b[i] for i in sorted(b)])
+    got = {r.i: r.x for r in seams.conjugate_gradients(entries, right).collect()}
+    assert np.allclose([got[i] for i in sorted(b)], want, atol=1e-6) and want.std() > 0.05
+    named = seams.block_gains(frame, "g", "v", 3).collect()
+    assert sorted(round(r.gain, 6) for r in named) == sorted(np.round(want, 6)) and all(abs(r.gain - 1) < 1e-6 for r in named if r.v == 3)
+    cells = {(v, r // 3, c // 3, r, c): x for g, v, r, c, x in rows if g == 1}
+    a, k = [[(p[3], p[4]) for p in cells if p[:3] == block] for block in ((0, 1, 1), (1, 1, 1))]
+    shared = [p for p in a if p in k]
+    m, n = (np.mean([cells[*block, *p] for p in shared]) for block in ((0, 1, 1), (1, 1, 1)))
+    i, j = (spark.createDataFrame([(1, *block)], "g long, v long, r long, c long").selectExpr("xxhash64(struct(g, v, r, c)) AS i").first().i for block in ((0, 1, 1), (1, 1, 1)))
+    assert abs(matrix[order[i], order[j]] + 2 * seams.ALPHA * m * n * len(shared)) < 1e-6
+
+
+def test_seams_equal_an_exhaustive_cut(spark):
+    from itertools import product
+
+    from terraweft.operators import seams
+
+    rng = random.Random(3)
+    shapes = {1: {(r, c) for r in range(5) for c in range(4)}, 2: {(r, c) for r in range(1, 6) for c in range(1, 6) if (r, c) != (2, 2)}, 3: {(4, 3), (5, 3), (5, 4)}, 4: {(20, 20)}}
+    values = {(v, *p): float(rng.randrange(6)) for v, s in shapes.items() for p in s}
+    frame = spark.createDataFrame([(7, *k, x) for k, x in values.items()], "g long, v long, row int, col int, value double")
+    pairs = spark.createDataFrame([(7, 1, 2), (7, 2, 3), (7, 1, 3), (7, 1, 4)], "g long, a long, b long")
+    got = seams.cuts(frame, pairs, "g", "v").collect()
+    for a, b in ((1, 2), (2, 3), (1, 3), (1, 4)):
+        shared = sorted(shapes[a] & shapes[b])
+        mine = [(r.row, r.col) for r in sorted(got, key=lambda r: r.row) if (r.a, r.b) == (a, b)]
+        if not shared:
+            assert not mine
+            continue
+        rows, cols = range(shared[0][0], shared[-1][0] + 1), range(min(c for _, c in shared), max(c for _, c in shared) + 1)
+        cost = lambda r, c: abs(values[a, r, c] - values[b, r, c]) if (r, c) in shared else seams.OUTSIDE
+        ways = [w for w in product(cols, repeat=len(rows)) if all(abs(x - y) <= 1 for x, y in zip(w, w[1:]))]
+        best = min((sum(cost(r, c) for r, c in zip(rows, w)), w[::-1]) for w in ways)
+        assert [c for _, c in mine] == list(best[1][::-1]) and [r for r, _ in mine] == list(rows)
+        assert {r.cost for r in got if (r.a, r.b) == (a, b)} == {best[0]}
