@@ -186,12 +186,20 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity.arrivals(placed(spark, sf_dir), "session", "frame_id", "east", "north", 120.0, 3, ties=False)
 
 
-@query("J6_arrival_candidates")
+def _arrival_sql(k: int, steps: tuple[int, ...]) -> str:
+    """Pairs within reach at the later one's arrival: one of its k nearest, or it one of the k nearest of the earlier."""
+    return f"""WITH {LOCAL_SQL}, close AS (SELECT a.session, a.frame_id AS i, b.frame_id AS j, round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6) AS d FROM placed a JOIN placed b ON a.session = b.session AND a.frame_id <> b.frame_id AND round(sqrt(pow(a.east - b.east, 2) + pow(a.north - b.north, 2)), 6) < 120),
+nearest AS (SELECT session, i, j, row_number() OVER (PARTITION BY session, j ORDER BY d, i) AS rank FROM close WHERE i < j),
+wanted AS (SELECT x.session, x.i, x.j FROM close x LEFT JOIN close y ON y.session = x.session AND y.i = x.i AND y.j < x.j AND y.d < x.d WHERE x.i < x.j GROUP BY 1, 2, 3 HAVING count(y.j) < {k})
+SELECT session, i, j FROM nearest WHERE rank <= {k} UNION SELECT session, i, j FROM wanted UNION SELECT a.session, a.frame_id, b.frame_id FROM placed a JOIN placed b ON a.session = b.session AND b.seq - a.seq IN {steps}"""
+
+
+@query("J6_arrival_candidates", _arrival_sql(25, (1, 2, 3, 5, 8, 15)))
 def j6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrival_candidates(placed(spark, sf_dir), 25, (1, 2, 3, 5, 8, 15))
 
 
-@query("J6_arrival_candidates_fast")
+@query("J6_arrival_candidates_fast", _arrival_sql(12, (1, 2, 3, 5)))
 def j6_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrival_candidates(placed(spark, sf_dir), 12, (1, 2, 3, 5))
 

@@ -120,7 +120,10 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("points >= 12").select("session", "frame_id", "points", ((F.col("row_hi") - F.col("row_lo") + 1) * (F.col("col_hi") - F.col("col_lo") + 1)).alias("box"))
 
 
-@query("R8_whole_views")
+@query("R8_whole_views", f"""WITH {CELLS_SQL}, v AS (SELECT session, row, col FROM cells GROUP BY 1, 2, 3 HAVING count(*) >= 2), pt AS (SELECT session, frame_id, alt, (col + 0.5e0) * 10 AS x, (row + 0.5e0) * 10 AS y FROM cells JOIN v USING (session, row, col)), big AS (SELECT session, frame_id, max(alt) AS alt FROM pt GROUP BY 1, 2 HAVING count(*) >= 12),
+o AS (SELECT a.session, a.frame_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) AS side, (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) AS beyond FROM big g JOIN pt a USING (session, frame_id) JOIN pt b ON b.session = a.session AND b.frame_id = a.frame_id AND (b.x <> a.x OR b.y <> a.y) JOIN pt p ON p.session = a.session AND p.frame_id = a.frame_id),
+e AS (SELECT session, frame_id, ax, ay, bx, "by" FROM o GROUP BY ALL HAVING bool_and(side > 1e-6 OR (abs(side) <= 1e-6 AND beyond <= 1e-6))), h AS (SELECT session, frame_id, sum(ax * "by" - bx * ay) / 2 AS area FROM e GROUP BY 1, 2)
+SELECT session, frame_id, round(area, 6) AS area FROM h JOIN big USING (session, frame_id) WHERE area > 0.1 AND area >= 0.3 * pow(alt * 1.2e0, 2)""")
 def r8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures whose support is broad: the hull of the cell centres that another capture of the session sees too, twelve at
     least, is larger than 0.1 square metres and three tenths of the ground in the frame."""

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraweft.plans.catalog import query
-from terraweft.plans.capture import ARMED_SQL, close_pairs
-from terraweft.plans.rasters import cells
+from terraweft.plans.capture import ARMED_SQL, CLOSE_SQL, close_pairs
+from terraweft.plans.geometry import LOCAL_SQL
+from terraweft.plans.matching import REACH_SQL
+from terraweft.plans.rasters import CELLS_SQL, cells
 from terraweft.plans.streams import DECISIONS_SQL
 from terraweft.operators import graph, proximity, raster
 from terraweft.session import settle
@@ -34,7 +36,10 @@ def k6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.map_tiles(blended).select("tile_row", "tile_col", F.length("picture").alias("bytes"))
 
 
-@query("R17_match_session")
+@query("R17_match_session", f"""WITH RECURSIVE {CELLS_SQL}, {CLOSE_SQL.removeprefix(LOCAL_SQL + ", ")}, pair AS (SELECT DISTINCT session, least(i, j) AS i, greatest(i, j) AS j FROM near WHERE rank <= 25),
+link AS (SELECT p.session, p.i, p.j FROM pair p JOIN cells a ON a.session = p.session AND a.frame_id = p.i JOIN cells c ON c.session = p.session AND c.frame_id = p.j AND c.row = a.row AND c.col = a.col GROUP BY 1, 2, 3 HAVING count(*) >= 12),
+b AS (SELECT i AS a, j AS b FROM link UNION SELECT j, i FROM link), {REACH_SQL}, big AS (SELECT component, count(*) AS frames FROM reach GROUP BY 1 HAVING count(*) >= 6)
+SELECT session, component, frames, count(*) AS links FROM link JOIN reach ON node = i JOIN big USING (component) GROUP BY 1, 2, 3""")
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates, verified links and the connected part of each session: pairs in reach whose views overlap enough."""
     near = settle(proximity.unordered(close_pairs(spark, sf_dir), "session"), "candidates")

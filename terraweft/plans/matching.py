@@ -190,19 +190,16 @@ REACH_SQL = """reach(node, component) USING KEY (node) AS (SELECT a, a FROM b GR
 COMPONENTS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), {REACH_SQL}, comp AS (SELECT node, component FROM reach)"""
 
 
-@query("G1_whole_components", COMPONENTS_SQL + " SELECT node, component FROM comp")
 @query("G1_connected_components", COMPONENTS_SQL + " SELECT node, component FROM comp")
 def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(edges(spark, sf_dir))
 
 
-@query("A8_whole_component", COMPONENTS_SQL + " SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 @query("A8_largest_component", COMPONENTS_SQL + " SELECT node FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanning.largest_component(edges(spark, sf_dir))
 
 
-@query("G5_whole_groups", COMPONENTS_SQL.replace("edges AS (", "every AS (").replace("b AS (SELECT src", "edges AS (SELECT * FROM every WHERE score >= 45), b AS (SELECT src") + " SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
 @query("G5_supported_groups", COMPONENTS_SQL.replace("edges AS (", "every AS (").replace("b AS (SELECT src", "edges AS (SELECT * FROM every WHERE score >= 45), b AS (SELECT src") + " SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY component HAVING count(*) >= 4)")
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supported_groups(edges(spark, sf_dir))
@@ -214,7 +211,6 @@ def supported_groups(e: DataFrame) -> DataFrame:
     return parts.join(parts.groupBy("component").count().where("count >= 4").select("component"), "component", "left_semi").select("node", "component")
 
 
-@query("A11_whole_root", f"WITH {EDGES_SQL}, s AS (SELECT node, sum(score) AS total FROM (SELECT src AS node, score FROM edges UNION ALL SELECT dst, score FROM edges) GROUP BY node) SELECT node, CAST(total AS BIGINT) AS total FROM s ORDER BY total DESC, node LIMIT 1")
 @query("A11_root_by_score", f"WITH {EDGES_SQL}, s AS (SELECT node, sum(score) AS total FROM (SELECT src AS node, score FROM edges UNION ALL SELECT dst, score FROM edges) GROUP BY node) SELECT node, CAST(total AS BIGINT) AS total FROM s ORDER BY total DESC, node LIMIT 1")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root_by_score(edges(spark, sf_dir))
@@ -230,7 +226,6 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spanning.spanning_forest(edges(spark, sf_dir))
 
 
-@query("G2_whole_parts", COMPONENTS_SQL + " SELECT component, count(*) - 1 AS links FROM comp GROUP BY component")
 @query("G2_forest_parts", COMPONENTS_SQL + " SELECT component, count(*) - 1 AS links FROM comp GROUP BY component")
 def g2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_parts(edges(spark, sf_dir))
@@ -247,7 +242,6 @@ TRACKS_SQL = f"""WITH RECURSIVE b AS (SELECT l_partkey * 2 AS a, l_orderkey * 2
 SELECT min(node) // 2 AS track, count(*) AS points FROM reach WHERE node % 2 = 0 GROUP BY component"""
 
 
-@query("G4_whole_tracks", TRACKS_SQL)
 @query("G4_tracks", TRACKS_SQL)
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(table(spark, sf_dir, "lineitem"))

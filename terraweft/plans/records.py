@@ -125,16 +125,21 @@ def spread_sample(df: DataFrame, group: str, order: str, limit: int) -> DataFram
     return df.select(group, order, "east", "north").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}")
 
 
-@query("L4_spatial_frames", f"""WITH RECURSIVE {LOCAL_SQL}, pick(session, k, ids, last_e, last_n, gaps) AS (
+def _spread_sql(limit: int) -> str:
+    """The recursive form of a farthest-point sample of at most `limit` captures of each session."""
+    return f"""WITH RECURSIVE {LOCAL_SQL}, pick(session, k, ids, last_e, last_n, gaps) AS (
   SELECT session, 1, [min_by(frame_id, frame_id)], min_by(east, frame_id), min_by(north, frame_id), list({{'f': frame_id, 'e': east, 'n': north, 'g': 1e300::DOUBLE}} ORDER BY frame_id) FROM placed GROUP BY session
   UNION ALL SELECT session, k + 1, list_append(ids, b.f), b.e, b.n, g2 FROM (SELECT *, list_reduce(g2, lambda x, y: CASE WHEN y.g > x.g THEN y ELSE x END) AS b FROM (
-    SELECT session, k, ids, list_transform(gaps, lambda z: {{'f': z.f, 'e': z.e, 'n': z.n, 'g': CASE WHEN list_contains(ids, z.f) THEN -1e0 ELSE least(z.g, (z.e - last_e) * (z.e - last_e) + (z.n - last_n) * (z.n - last_n)) END}}) AS g2 FROM pick WHERE k < 12)))
-SELECT session, unnest(ids) AS frame_id FROM pick WHERE k = 12""")
+    SELECT session, k, ids, list_transform(gaps, lambda z: {{'f': z.f, 'e': z.e, 'n': z.n, 'g': CASE WHEN list_contains(ids, z.f) THEN -1e0 ELSE least(z.g, (z.e - last_e) * (z.e - last_e) + (z.n - last_n) * (z.n - last_n)) END}}) AS g2 FROM pick WHERE k < least({limit}, len(gaps)))))
+SELECT session, unnest(ids) AS frame_id FROM pick WHERE k = least({limit}, len(gaps))"""
+
+
+@query("L4_spatial_frames", _spread_sql(12))
 def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_sample(placed(spark, sf_dir), "session", "frame_id", 12)
 
 
-@query("L4_whole_frames")
+@query("L4_whole_frames", _spread_sql(220))
 def l4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 220 captures of a session; a shorter one is kept whole."""
     return spread_sample(placed(spark, sf_dir), "session", "frame_id", 220)

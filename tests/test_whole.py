@@ -42,26 +42,26 @@ def test_graph_queries_see_every_row(spark):
     l = pd.read_parquet(f"{SF}/lineitem.parquet")
     score = {(2 * s, 2 * p + 1): int(q) for (s, p), q in l.groupby(["l_suppkey", "l_partkey"]).l_quantity.sum().items()}
     parts, forest = joined(sorted(score, key=lambda e: (-score[e], e)))
-    assert dict(run(spark, "G1_whole_components")) == parts
+    assert dict(run(spark, "G1_connected_components")) == parts
     size = Counter(parts.values())
     best = min(size, key=lambda c: (-size[c], c))
-    assert {n for (n,) in run(spark, "A8_whole_component")} == {n for n, c in parts.items() if c == best}
+    assert {n for (n,) in run(spark, "A8_largest_component")} == {n for n, c in parts.items() if c == best}
     assert {(a, b) for a, b, _ in run(spark, "G2_spanning_forest")} == set(forest)
-    assert dict(run(spark, "G2_whole_parts")) == {c: n - 1 for c, n in size.items()}
+    assert dict(run(spark, "G2_forest_parts")) == {c: n - 1 for c, n in size.items()}
     strong, _ = joined(e for e, s in score.items() if s >= 45)
     size = Counter(strong.values())
-    assert set(run(spark, "G5_whole_groups")) == {(n, c) for n, c in strong.items() if size[c] >= 4}
+    assert set(run(spark, "G5_supported_groups")) == {(n, c) for n, c in strong.items() if size[c] >= 4}
     total = defaultdict(int)
     for (a, b), s in score.items():
         total[a] += s
         total[b] += s
-    assert run(spark, "A11_whole_root") == [min(total.items(), key=lambda t: (-t[1], t[0]))]
+    assert run(spark, "A11_root_by_score") == [min(total.items(), key=lambda t: (-t[1], t[0]))]
     found, _ = joined({(2 * p, 2 * o + 1) for o, p in zip(l.l_orderkey, l.l_partkey)})
     points = defaultdict(list)
     for n, c in found.items():
         if n % 2 == 0:
             points[c].append(n // 2)
-    assert sorted(run(spark, "G4_whole_tracks")) == sorted((min(p), len(p)) for p in points.values())
+    assert sorted(run(spark, "G4_tracks")) == sorted((min(p), len(p)) for p in points.values())
 
 
 @pytest.mark.parametrize(("k", "steps"), [(25, (1, 2, 3, 5, 8, 15)), (12, (1, 2, 3, 5)), (2, (1, 4))])
