@@ -15,6 +15,7 @@ from terraweft.plans.geometry import LOCAL_SQL, placed
 from terraweft.plans.missions import PROGRAM_SQL, ROUTE_SQL, SETTINGS_SQL, settings
 from terraweft.session import settle, shared_folder, split_join, table
 from terraweft.sources import config, exif, sinks
+from terraweft.sources.cache import KeyedCache
 from terraweft.sources.frames import FRAMES_SQL, frames
 
 # What the reports are planned with: view of the camera, overlaps, distance of the photographs, acceleration.
@@ -248,3 +249,25 @@ def x9(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held.withColumn("packed", F.unhex(F.array_join(F.transform("a", lambda x: F.lpad(F.lower(F.hex(x + 2147483648)), 8, "0")), "")))
     back = F.transform(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.conv(F.hex(F.substring("packed", i * 4 + 1, F.lit(4))), 16, 10).cast("long") - 2147483648)
     return held.select("vec_id", F.size("a").cast("long").alias("size"), F.sha2("packed", 256).alias("digest"), (back == F.col("a")).alias("same"))
+
+
+@query("S18_keyed_cache", f"WITH {JOBS_SQL} SELECT session, i, j, payload, CASE WHEN done THEN 1 ELSE 2 END AS run FROM jobs")
+def s18_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches kept in a cache on files over two runs: the second computes what the first has not, and nothing else."""
+    wanted = settle(jobs(spark, sf_dir), "jobs")
+    folder = f"{shared_folder(spark)}/terraweft/matches-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        held = KeyedCache(spark, folder, "session long, i long, j long", "payload double, run int")
+        asked = wanted.where("done") if run == 1 else wanted
+        missing = settle(held.absent(asked), "missing")
+        held.put(matched(missing, frames(spark, sf_dir)).withColumn("run", F.lit(run)))
+    held.compact()
+    return KeyedCache(spark, folder, "session long, i long, j long", "payload double, run int").lookup(wanted).drop("found")
+
+
+def matched(pairs: DataFrame, views: DataFrame) -> DataFrame:
+    """session, i, j, payload: how much two captures differ in roll, null (a negative result) where one leans too far."""
+    rolls = views.select("session", F.col("seq").cast("long").alias("_seq"), "roll")
+    for side in ("i", "j"):
+        pairs = pairs.join(rolls.select("session", F.col("_seq").alias(side), F.col("roll").alias(f"_{side}")), ["session", side])
+    return pairs.select("session", "i", "j", F.when((F.abs("_i") <= 8) & (F.abs("_j") <= 8), F.col("_i") - F.col("_j")).alias("payload"))
