@@ -234,7 +234,7 @@ NAMES = {
     "header": "header site-header masthead top-bar branding logo banner".split(),
     "footer": "footer site-footer page-footer colophon copyright legal imprint".split(),
     "aside": "sidebar side-column widget widgets rail related related-posts recommended more-stories trending popular".split(),
-    "advert": "ad ad ad-box ads advert advertisement ad-slot sponsor sponsored promo promotion affiliate dfp taboola".split(),
+    "advert": "ad ad ad ad ad-box ads advert advertisement ad-slot sponsor sponsored promo promotion affiliate dfp taboola".split(),
     "notice": "notice cookie cookie-banner consent gdpr alert popup modal overlay newsletter subscribe paywall signup".split(),
     "share": "share share-buttons sharing social social-links follow-us tools print".split(),
     "comments": "comments comment-list discussion responses replies reactions feedback user-feedback thread talkback reader-comments reader-voices voices conversation opinions disqus guestbook discussion-body".split(),
@@ -435,10 +435,15 @@ def weighed(sample: Counter, seed: int = 1) -> Counter:
     if not size(sample):
         return made
     scale = size(made) / size(sample)
+    shown = {key for (kind, key, state) in sample if kind == "seen" and sample[kind, key, 1 - state]}
+    wider = [1 + sample["node", 0, s] * scale / max(1, made["node", 0, s]) for s in (0, 1)]
+    for kind, key, state in list(made):
+        if kind == "feature" and key not in shown:  # as frequent as before among more elements
+            made[kind, key, state] *= wider[state]
     for (kind, key, state), v in sample.items():
         if kind != "seen":
             made[kind, key, state] += v * scale
-        elif sample[kind, key, 1 - state]:
+        elif key in shown:
             made["feature", key, state] += v * scale
     return made
 
