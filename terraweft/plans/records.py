@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraweft.operators import fit
+from terraweft.operators import fit, poses
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL, placed
-from terraweft.session import table
+from terraweft.session import settle, table
 from terraweft.sources import config
 from terraweft.sources.frames import FRAMES_SQL, frames
 
@@ -68,6 +68,42 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("session", "frame_id", F.round("x2", 4).alias("east"), F.round("y2", 4).alias("north"), "inlier", F.round("median_error", 4).alias("median_error"))
 
 
+def plane_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, frame_id, east, north, h: the homography of each capture from its session's first, with an arbitrary factor."""
+    p = placed(spark, sf_dir).select("session", "seq", "frame_id", "east", "north", "alt", F.coalesce("heading", F.lit(0.0)).alias("heading"), "roll", "pitch")
+    first = p.where("seq = 1").select("session", *(F.col(c).alias(f"r_{c}") for c in ("east", "north", "alt", "heading", "roll", "pitch")))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = poses.planted(b).reshape(-1, 9) * (1 + b.frame_id.to_numpy() % 3)[:, None] * np.where(b.frame_id % 2 == 0, 1.0, -1.0)[:, None]
+            yield b[["session", "frame_id", "east", "north"]].assign(h=list(h))
+
+    seen = p.join(first, "session").mapInPandas(made, "session long, frame_id long, east double, north double, h array<double>")
+    return settle(poses.with_ways(seen), "views")
+
+
+_TILT_SQL = "n AS (SELECT session, count(*) AS views, min_by(radians(roll), frame_id) AS r, min_by(radians(pitch), frame_id) AS p FROM placed GROUP BY session)"
+
+
+@query("G13_plane_normals", f"WITH {LOCAL_SQL}, {_TILT_SQL} SELECT session, round(sin(p), 5) AS nx, round(-sin(r) * cos(p), 5) AS ny, round(cos(r) * cos(p), 5) AS nz FROM n WHERE views >= 6")
+def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground's normal as each session's first camera saw it, by consensus over the homographies of all its captures."""
+    held = plane_views(spark, sf_dir)
+    enough = held.groupBy("session").agg(F.count("*").alias("n")).where("n >= 6").select("session")
+    n = poses.plane_normals(held.join(enough, "session", "left_semi"), "session", "frame_id").where("consistent")
+    return n.select("session", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
+
+
+@query("G14_decomposed_poses", f"WITH {LOCAL_SQL}, n AS (SELECT session FROM placed GROUP BY session HAVING count(*) >= 6) SELECT session, frame_id, round(east, 3) AS east, round(north, 3) AS north FROM placed SEMI JOIN n USING (session)")
+def g14_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera places from homographies alone, taken apart and anchored to the ground by the positions."""
+    held = plane_views(spark, sf_dir)
+    found = poses.camera_places(held, poses.plane_normals(held, "session", "frame_id"), "session", "frame_id")
+    points = found.join(held.select("session", "frame_id", F.col("east").alias("x"), (-F.col("north")).alias("y")), ["session", "frame_id"])
+    g = fit.georeferenced(settle(points, "points"), "session", "frame_id", tolerance=5.0, least=6)
+    return g.select("session", "frame_id", F.round("x2", 3).alias("east"), F.round(-F.col("y2"), 3).alias("north"))
+
+
 @query("G11_homographies")
 def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraweft.operators import projective
