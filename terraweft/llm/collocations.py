@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -80,16 +81,15 @@ def parse(pieces: Counter, overlap: int, trigger: int) -> Counter:
     opens[: len(hashed)] = hashed % np.uint64(trigger) == 0
     opens &= (words.place > 0) & (words.place + overlap <= words.sizes[words.chunk])
     cut = np.flatnonzero(opens)
-    by = np.searchsorted(words.chunk[cut], np.arange(len(names) + 1))
-    for k, name in enumerate(names):
-        times, places = pieces[name], words.place[cut[by[k] : by[k + 1]]].tolist()
-        if not places:
-            out[name, int(words.sizes[k])] += times
+    places, by = words.place[cut].tolist(), np.searchsorted(words.chunk[cut], np.arange(len(names) + 1)).tolist()
+    for name, times, size, lo, hi in zip(names, pieces.values(), words.sizes.tolist(), by, by[1:]):
+        if lo == hi:
+            out[name, size] += times
             continue
-        listed = name.split(" ")
-        for a, b in zip([0, *places], [*places, None], strict=True):
-            end = len(listed) if b is None else b + overlap
-            out[" ".join(listed[a:end]), (end if b is None else b) - a] += times
+        listed, at = name.split(" "), places[lo:hi]
+        for first, after in zip([0, *at], [*at, None]):
+            end = size if after is None else after + overlap
+            out[" ".join(listed[first:end]), (end if after is None else after) - first] += times
     return out
 
 
@@ -150,9 +150,11 @@ def _counts(words: _Words, langs: pa.Array, lang_hash: np.ndarray, owned: np.nda
         good &= known[:many] & known[1 : many + 1]
     at = np.flatnonzero(good)
     key = grams(words.hashed, size)[at] ^ mixed(lang_hash[words.chunk[at]])
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    count = np.bincount(inverse, weights=times[words.chunk[at]], minlength=len(first)).astype(np.int64)
-    at = at[first]
+    same, distinct = pd.factorize(key)
+    count = np.bincount(same, weights=times[words.chunk[at]], minlength=len(distinct)).astype(np.int64)
+    one = np.empty(len(distinct), np.int64)
+    one[same] = at  # any of the places of each phrase
+    at = one
     parts = [words.names.take(pa.array(words.codes[at + k])) for k in range(size)]
     phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
     return pa.record_batch([langs.take(pa.array(words.chunk[at])), phrase.cast(pa.string()), pa.array(count)], ["lang", "phrase", "f"])
