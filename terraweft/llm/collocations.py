@@ -34,7 +34,9 @@ from terraweft.llm.common import _ODD, mixed, salted_lookup, word_hashes
 from terraweft.session import settle
 
 #: A window opens a chunk once in TRIGGER times; words taken together in a task; bits of the filter of frequent phrases.
-TRIGGER, GATHER, BITS = 16, 1_000_000, 1 << 25
+TRIGGER, GATHER, BITS = 16, 500_000, 1 << 25
+#: Texts parsed together.
+PARSED = 2048
 #: Groups that a language's phrases are ranked in before the last ranking.
 SALTS = 64
 _LINES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -98,7 +100,7 @@ def dictionary(docs: DataFrame, size: int = 5, trigger: int = TRIGGER) -> DataFr
     overlap = size - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, PARSED) for whole in batches for lo in range(0, len(whole), PARSED)):
             langs = np.array(b.column(0).to_pylist(), object)
             texts = b.column(1)
             for lang in dict.fromkeys(langs):
