@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraweft.operators import compositing, raster, seams
+from terraweft.operators import compositing, orthomosaic, raster, seams
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import num
 from terraweft.plans.rasters import CELLS_SQL, COLUMNS, PIXELS_SQL, ROWS, SIDE, cells, pixels
@@ -153,3 +153,31 @@ def r12_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("frame_id").over(Window.partitionBy("session").orderBy("frame_id"))
     pairs = seen.select("session", "frame_id").distinct().select("session", F.col("frame_id").alias("a"), following.alias("b")).where("b is not null")
     return seams.cuts(seen, pairs, "session", "frame_id")
+
+
+def labelled_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of each label, as views of one map."""
+    label = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("view"), F.col("label").cast("long").alias("group"))
+    return settle(tilted(spark, sf_dir).join(label, "view").select("group", "view", "image", "h"), "views")
+
+
+SOURCES_SQL = f"""{WARP_SQL}, every_ AS (SELECT label AS "group", view, "row", col, value, round(weight, 9) AS weight FROM warped JOIN embeddings ON vec_id = view WHERE label IS NOT NULL AND round(weight, 9) > 0.025),
+first_ AS (SELECT "group", "row", col, arg_max(view, (weight, -view)) AS view FROM every_ GROUP BY 1, 2, 3), enough AS (SELECT view FROM first_ GROUP BY view HAVING count(*) >= 4), seen AS (SELECT e.* FROM every_ e SEMI JOIN enough USING (view))"""
+
+
+@query("R16_map_report", f"""WITH {SOURCES_SQL}, c AS (SELECT "group", count(DISTINCT view) AS n, count(DISTINCT "row" * 1000 + col) AS cells FROM seen GROUP BY 1)
+SELECT label AS "group", count(*) AS connected_frames, coalesce(any_value(n), 0) AS texture_frames, round(coalesce(any_value(cells), 0) / {MAP * MAP}e0, 9) AS coverage_fraction, {MAP} AS width, {MAP} AS height FROM embeddings LEFT JOIN c ON c."group" = label WHERE label IS NOT NULL GROUP BY label""")
+def r16_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is reported of each label's map: its views, its sources and how much they cover."""
+    views = labelled_views(spark, sf_dir)
+    return orthomosaic.report(views, orthomosaic.sources(pixels(spark, sf_dir), views, SIDE, SIDE, MAP, MAP, tile=4), MAP, MAP)
+
+
+@query("R16_blended_map", f"""WITH {SOURCES_SQL}, best AS (SELECT "group", "row", col, arg_max(view, (weight, -view)) AS view FROM seen GROUP BY 1, 2, 3),
+mask AS (SELECT DISTINCT view, "row" + dr AS "row", col + dc AS col FROM best, (VALUES (-1), (0), (1)) AS a(dr), (VALUES (-1), (0), (1)) AS b(dc)),
+cells AS (SELECT s."group" AS session, s.view AS frame_id, s."row" AS row, s.col, s.value, 1e0 AS weight FROM seen s SEMI JOIN mask m ON m.view = s.view AND m."row" = s."row" AND m.col = s.col), {_bands_sql(BANDS)}
+SELECT session AS "group", CAST(row AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, round(value, 5) AS value FROM z0""")
+def r16_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's map from its images: warped, chosen, cut at the borders of the best views and blended in bands."""
+    done, _ = orthomosaic.rendered(pixels(spark, sf_dir), labelled_views(spark, sf_dir), SIDE, SIDE, MAP, MAP, tile=4, bands=BANDS, balance=False)
+    return done.withColumn("value", F.round("value", 5))

@@ -193,3 +193,29 @@ def test_seams_equal_an_exhaustive_cut(spark):
         best = min((sum(cost(r, c) for r, c in zip(rows, w)), w[::-1]) for w in ways)
         assert [c for _, c in mine] == list(best[1][::-1]) and [r for r, _ in mine] == list(rows)
         assert {r.cost for r in got if (r.a, r.b) == (a, b)} == {best[0]}
+
+
+def test_a_map_from_images(spark):
+    """A view alone comes back as it was warped; of two that differ in brightness the balanced map's step is smaller."""
+    from terraweft.operators import orthomosaic
+
+    rng = np.random.default_rng(3)
+    ground = rng.uniform(60, 120, (20, 30))
+    rows = []
+    for image, (left, factor) in {1: (0, 1.0), 2: (10, 1.5), 3: (0, 1.0)}.items():
+        rows += [(image, r, c, float(factor * ground[r, left + c])) for r in range(20) for c in range(16)]
+    pixels = spark.createDataFrame(rows, "image long, row int, col int, value double")
+    shift = lambda x: [1.0, 0.0, float(x), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    views = spark.createDataFrame([(1, 1, 1, shift(0)), (1, 2, 2, shift(10)), (2, 3, 3, shift(0)), (3, 4, 1, shift(900))], "group long, view long, image long, h array<double>")
+    maps = {}
+    for balance in (False, True):
+        done, said = orthomosaic.rendered(pixels, views, 20, 16, 20, 30, tile=8, block=10, bands=2, balance=balance)
+        maps[balance] = {(r.group, r.row, r.col): r.value for r in done.collect()}
+        told = {r.group: (r.connected_frames, r.texture_frames, r.coverage_fraction) for r in said.collect()}
+    assert told == {1: (2, 2, round(18 * 24 / 600, 9)), 2: (1, 1, round(18 * 14 / 600, 9)), 3: (1, 0, 0.0)}
+    alone = {(r, c): v for (g, r, c), v in maps[False].items() if g == 2}
+    assert alone.keys() == {(r, c) for r in range(1, 19) for c in range(1, 15)} and all(abs(v - ground[p]) < 1e-9 for p, v in alone.items())
+    assert maps[True].keys() == maps[False].keys()
+    seen = orthomosaic.sources(pixels, views, 20, 16, 20, 30, tile=8)
+    gap = lambda df: df.where("group = 1 and col between 11 and 14").groupBy("row", "col").pivot("view", [1, 2]).sum("value").selectExpr("avg(`2` - `1`) AS d").first().d
+    assert 0 < gap(orthomosaic.balanced(seen, 10)) < 0.6 * gap(seen)
