@@ -193,3 +193,32 @@ def general_number(x: Column, digits: int = 12) -> Column:
     # Arrays of one element bind a value to a name, so that it is computed once.
     found = F.transform(F.array(F.format_string(f"%.{digits - 1}e", x)), parts)
     return F.transform(found, written)[0]
+
+
+def fence_faults(corners: Column) -> Column:
+    """What is wrong with a fence (array of struct(e, n), metres): an array of `count`, `duplicate`, `extent`, `collinear`, `crossing`.
+
+    A last corner that repeats the first closes the fence and is left out. Three to seventy corners, none twice, none more than
+    20 km apart, no three in a row on a line, and edges that are no neighbours neither cross nor touch.
+    """
+    closed = (F.size(corners) > 1) & (F.element_at(corners, 1) == F.element_at(corners, -1))
+    p = F.when(closed, F.slice(corners, 1, F.size(corners) - 1)).otherwise(corners)
+
+    def of(p: Column) -> Column:
+        n = F.size(p)
+        at = lambda k: F.get(p, F.pmod(k, n))
+        cross = lambda a, b, c: (b["e"] - a["e"]) * (c["n"] - a["n"]) - (b["n"] - a["n"]) * (c["e"] - a["e"])
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        far = F.exists(p, lambda a: F.exists(p, lambda b: F.hypot(a["e"] - b["e"], a["n"] - b["n"]) > 20_000))
+        line = F.exists(every, lambda k: F.abs(cross(at(k), at(k + 1), at(k + 2))) < 1e-7)
+        within = lambda a, b, c: (F.abs(cross(a, b, c)) <= 1e-7) & c["e"].between(F.least(a["e"], b["e"]) - 1e-8, F.greatest(a["e"], b["e"]) + 1e-8) & c["n"].between(F.least(a["n"], b["n"]) - 1e-8, F.greatest(a["n"], b["n"]) + 1e-8)
+
+        def meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+            proper = (F.signum(cross(a, b, c)) * F.signum(cross(a, b, d)) < 0) & (F.signum(cross(c, d, a)) * F.signum(cross(c, d, b)) < 0)
+            return proper | within(a, b, c) | within(a, b, d) | within(c, d, a) | within(c, d, b)
+
+        crossing = F.exists(every, lambda i: F.exists(every, lambda j: (j > i + 1) & ~((i == 0) & (j == n - 1)) & meet(at(i), at(i + 1), at(j), at(j + 1))))
+        rules = (("count", ~n.between(3, 70)), ("duplicate", F.size(F.array_distinct(p)) < n), ("extent", far), ("collinear", line), ("crossing", crossing))
+        return F.filter(F.array(*(F.when(bad, name) for name, bad in rules)), lambda x: x.isNotNull())
+
+    return F.transform(F.array(p), of)[0]

@@ -271,3 +271,36 @@ def matched(pairs: DataFrame, views: DataFrame) -> DataFrame:
     for side in ("i", "j"):
         pairs = pairs.join(rolls.select("session", F.col("_seq").alias(side), F.col("roll").alias(f"_{side}")), ["session", side])
     return pairs.select("session", "i", "j", F.when((F.abs("_i") <= 8) & (F.abs("_j") <= 8), F.col("_i") - F.col("_j")).alias("payload"))
+
+
+def fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fence for each customer: corners on a circle, some of them closed, too few or many, repeated, on a line, swapped or far."""
+    k = F.col("c_custkey")
+    n = (2 + k % 71).cast("int")
+    angle = lambda i: 2 * math.pi * i / n
+    place = lambda i: F.when((k % 5 == 0) & (i == n - 1), F.lit(0)).when((k % 7 == 0) & (i == 1), F.lit(2)).when((k % 7 == 0) & (i == 2), F.lit(1)).otherwise(i)
+    far = F.when(k % 13 == 0, 15_000.0).otherwise(100.0 + k % 10)
+    round_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: mission.point(F.round(far * F.cos(angle(place(i))), 3), F.round(far * F.sin(angle(place(i))), 3)))
+    square = F.array(*(mission.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (50.0, 0.0), (100.0, 0.0), (100.0, 80.0), (0.0, 80.0))))
+    return table(spark, sf_dir, "customer").select(k.alias("fence"), F.when(k % 11 == 0, square).otherwise(round_).alias("corners"))
+
+
+_FAULTS_SQL = """c AS (SELECT c_custkey AS k, 2 + c_custkey % 71 AS n, CASE WHEN c_custkey % 13 = 0 THEN 15000e0 ELSE 100e0 + c_custkey % 10 END AS far FROM customer),
+o AS (SELECT k, i, round(far * cos(2 * pi() * place / n), 3) AS e, round(far * sin(2 * pi() * place / n), 3) AS m FROM (SELECT *, CASE WHEN k % 5 = 0 AND i = n - 1 THEN 0 WHEN k % 7 = 0 AND i = 1 THEN 2 WHEN k % 7 = 0 AND i = 2 THEN 1 ELSE i END AS place FROM (SELECT *, unnest(range(0, n)) AS i FROM c WHERE k % 11 <> 0))
+  UNION ALL SELECT k, i, x, y FROM c, (VALUES (0, 0e0, 0e0), (1, 50e0, 0e0), (2, 100e0, 0e0), (3, 100e0, 80e0), (4, 0e0, 80e0)) AS q(i, x, y) WHERE k % 11 = 0),
+t AS (SELECT *, count(*) OVER (PARTITION BY k) AS many, first_value(e) OVER w AS fe, first_value(m) OVER w AS fm FROM o WINDOW w AS (PARTITION BY k ORDER BY i)),
+p AS (SELECT k, i, e, m, count(*) OVER (PARTITION BY k) AS n FROM t WHERE NOT (many > 1 AND i = many - 1 AND e = fe AND m = fm)),
+g AS (SELECT a.k, a.i, a.n, a.e AS ae, a.m AS am, b.e AS be, b.m AS bm, c.e AS ce, c.m AS cm FROM p a JOIN p b ON b.k = a.k AND b.i = (a.i + 1) % a.n JOIN p c ON c.k = a.k AND c.i = (a.i + 2) % a.n),
+x AS (SELECT g.k, g.ae, g.am, g.be, g.bm, h.ae AS ce, h.am AS cm, h.be AS de, h.bm AS dm FROM g JOIN g h ON h.k = g.k AND h.i > g.i + 1 AND NOT (g.i = 0 AND h.i = g.n - 1)),
+y AS (SELECT *, (be - ae) * (cm - am) - (bm - am) * (ce - ae) AS s1, (be - ae) * (dm - am) - (bm - am) * (de - ae) AS s2, (de - ce) * (am - cm) - (dm - cm) * (ae - ce) AS s3, (de - ce) * (bm - cm) - (dm - cm) * (be - ce) AS s4 FROM x),
+z AS (SELECT DISTINCT k FROM y WHERE (sign(s1) * sign(s2) < 0 AND sign(s3) * sign(s4) < 0)
+  OR (abs(s1) <= 1e-7 AND ce BETWEEN least(ae, be) - 1e-8 AND greatest(ae, be) + 1e-8 AND cm BETWEEN least(am, bm) - 1e-8 AND greatest(am, bm) + 1e-8) OR (abs(s2) <= 1e-7 AND de BETWEEN least(ae, be) - 1e-8 AND greatest(ae, be) + 1e-8 AND dm BETWEEN least(am, bm) - 1e-8 AND greatest(am, bm) + 1e-8)
+  OR (abs(s3) <= 1e-7 AND ae BETWEEN least(ce, de) - 1e-8 AND greatest(ce, de) + 1e-8 AND am BETWEEN least(cm, dm) - 1e-8 AND greatest(cm, dm) + 1e-8) OR (abs(s4) <= 1e-7 AND be BETWEEN least(ce, de) - 1e-8 AND greatest(ce, de) + 1e-8 AND bm BETWEEN least(cm, dm) - 1e-8 AND greatest(cm, dm) + 1e-8)),
+f AS (SELECT k, 1 AS nth, 'count' AS fault FROM p GROUP BY k HAVING count(*) NOT BETWEEN 3 AND 70 UNION SELECT k, 2, 'duplicate' FROM p GROUP BY k, e, m HAVING count(*) > 1
+  UNION SELECT a.k, 3, 'extent' FROM p a JOIN p b USING (k) WHERE sqrt(pow(a.e - b.e, 2) + pow(a.m - b.m, 2)) > 20000 UNION SELECT k, 4, 'collinear' FROM g WHERE abs((be - ae) * (cm - am) - (bm - am) * (ce - ae)) < 1e-7 UNION SELECT k, 5, 'crossing' FROM z)"""
+
+
+@query("F15_fence_faults", f"WITH {_FAULTS_SQL} SELECT c.k AS fence, coalesce(string_agg(fault, ',' ORDER BY nth), '') AS faults FROM c LEFT JOIN f USING (k) GROUP BY c.k")
+def f15_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of a fence's shape, over a table of fences."""
+    return fences(spark, sf_dir).select("fence", F.array_join(geo.fence_faults(F.col("corners")), ",").alias("faults"))

@@ -273,3 +273,20 @@ def test_poses_without_anchor_are_left_out(spark):
     got = fit.georeferenced(spark.createDataFrame(rows, MATCHES), "g", "k", 5.0, 6).collect()
     assert {(r.g, r.k): r.inlier for r in got} == {(1, k): k % 8 != 0 for k in range(40)}
     assert all(abs(r.x2 - (3 * r.u - 2 * r.v + 5)) < 1e-9 and abs(r.y2 - (2 * r.u + 3 * r.v - 1)) < 1e-9 and r.median_error < 1e-9 for r in got)
+
+
+def test_faults_of_fences(spark):
+    from pyspark.sql import functions as F
+
+    from terraweft.functions import geo
+
+    square = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    cases = {
+        "": square, "closed": [*square, (0, 0)], "count": [(0, 0), (1, 0), (0, 0)], "concave": [(0, 0), (10, 0), (4, 4), (0, 10)], "duplicate,crossing": [(0, 0), (10, 0), (5, 5), (10, 10), (0, 10), (5, 5)],
+        "collinear": [(0, 0), (5, 0), (10, 0), (10, 10), (0, 10)], "crossing": [(0, 0), (10, 10), (10, 0), (0, 10)], "extent": [(0, 0), (30_000, 0), (0, 100)], "touching": [(0, 0), (10, 0), (10, 10), (5, 0), (0, 10)],
+        "many": [(round(1000 * math.cos(k * 2 * math.pi / 71), 3), round(1000 * math.sin(k * 2 * math.pi / 71), 3)) for k in range(71)],
+    }
+    want = {"closed": "", "concave": "", "touching": "crossing", "many": "count", "count": "count,collinear"}
+    frame = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in p]) for k, p in cases.items()] + [("none", [])], "k string, c array<struct<e:double,n:double>>")
+    got = {r.k: r.f for r in frame.select("k", F.array_join(geo.fence_faults(F.col("c")), ",").alias("f")).collect()}
+    assert got == {k: want.get(k, k) for k in cases} | {"none": "count"}
