@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,3 +77,19 @@ def split_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str =
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def sent_whole(*modules: str) -> Iterator[None]:
+    """What is handed to Spark within takes the code of these modules along.
+
+    The processes that plan a stream, unlike tasks, don't see the files that were added to the session.
+    """
+    own = [sys.modules[m] for m in modules]
+    for m in own:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        yield
+    finally:
+        for m in own:
+            cloudpickle.unregister_pickle_by_value(m)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from terraweft.session import sent_whole
+
 SCHEMA = "log string, offset long, line string"
 #: Bytes of a range, and of a block when a file's last line end is looked for.
 RANGE_BYTES, BLOCK = 8 << 20, 1 << 16
@@ -144,5 +146,6 @@ class LogSource(DataSource):
 
 def stream(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES):
     """log (path below the folder), offset (of the line, in bytes) and line, as a streaming frame."""
-    spark.dataSource.register(LogSource)
+    with sent_whole(__name__):
+        spark.dataSource.register(LogSource)
     return spark.readStream.format("terraweft_log").option("path", folder).option("rangeBytes", range_bytes).load()

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from terraweft.session import sent_whole
 from terraweft.sources import log_stream
+from terraweft.streaming import capture
 from terraweft.streaming.capture import FRESH, OUTPUT, STATE, TELEMETRY_SCHEMA, Rules, judged
 
 LIVE_OUTPUT = OUTPUT + ", due_ms long"
@@ -98,7 +100,8 @@ def messages_of(lines: DataFrame) -> DataFrame:
 
 def live(messages: DataFrame, rules: Rules, limits: tuple = LIMITS, forget: int = FORGET) -> DataFrame:
     """Events of each session (capture.OUTPUT) and its link's (`return`, `disarm`, with the time they were due)."""
-    return messages.groupBy("session").transformWithStateInPandas(LiveSession(rules, limits, forget), LIVE_OUTPUT, "append", "eventTime")
+    with sent_whole(__name__, capture.__name__):
+        return messages.groupBy("session").transformWithStateInPandas(LiveSession(rules, limits, forget), LIVE_OUTPUT, "append", "eventTime")
 
 
 def write_log(rows: DataFrame, folder: str, order: str) -> None:
