@@ -13,14 +13,17 @@ CONFIDENCE = 0.999
 
 
 def places(sizes: DataFrame, group: str, start: int, stop: int, slots: int) -> DataFrame:
-    """group, s, slot, _k: seeded samples start <= s < stop of `slots` different places below each group's _n."""
+    """group, s, slot, _k: seeded samples start <= s < stop of `slots` different places below each group's _n.
+
+    To be shuffled where it is joined: Spark sizes it before the samples are made, and so would broadcast all of them.
+    """
     draw = F.array().cast("array<long>")
     for slot in range(slots):
         x = F.pmod(F.xxhash64(group, "s", F.lit(slot)), F.col("_n") - slot)
         free = F.aggregate(F.array_sort("_draw"), x, lambda at, taken: F.when(at >= taken, at + 1).otherwise(at)) if slot else x
         sizes = sizes if slot else sizes.where(F.col("_n") >= slots).withColumn("s", F.explode(F.sequence(F.lit(start), F.lit(stop - 1)))).withColumn("_draw", draw)
         sizes = sizes.withColumn("_draw", F.concat("_draw", F.array(free)))
-    return sizes.select(group, "s", F.posexplode("_draw").alias("slot", "_k"))
+    return sizes.select(group, "s", F.posexplode("_draw").alias("slot", "_k")).hint("merge")
 
 
 def rounds(first: int, most: int) -> list[tuple[int, int]]:
@@ -115,8 +118,8 @@ def anchored(points: DataFrame, group: str, order: str, tolerance: float, least:
         du, dv, dx, dy = (F.col(f"{k}2") - F.col(f"{k}1") for k in "uvxy")
         n = F.nullif(du * du + dv * dv, F.lit(0.0))
         p, q = (du * dx + dv * dy) / n, (du * dy - dv * dx) / n
-        hyp = first.join(second, [group, "s"]).where(n.isNotNull()).select(group, "s", p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
-        judged = residual(ends, hyp, [group]).where(F.col("error") <= tolerance)
+        hyp = first.join(second.hint("merge"), [group, "s"]).where(n.isNotNull()).select(group, "s", p.alias("p"), q.alias("q"), (F.col("x1") - p * F.col("u1") + q * F.col("v1")).alias("tx"), (F.col("y1") - q * F.col("u1") - p * F.col("v1")).alias("ty"))
+        judged = residual(ends, hyp.hint("merge"), [group]).where(F.col("error") <= tolerance)
         score = judged.groupBy(group, "s", "p", "q", "tx", "ty").agg(F.count("*").alias("inliers"), F.sum("error").alias("total"))
         score = score.select(group, "inliers", (-F.col("total")).alias("t"), (-F.col("s")).alias("s"), "p", "q", "tx", "ty")
         score = score if best is None else score.unionByName(best)
