@@ -69,7 +69,8 @@ def warped(pixels: DataFrame, views: DataFrame, height: int, width: int, rows: i
     tiles = pixels.groupBy("image", F.floor(F.col("row") / tile).cast("int").alias("sr"), F.floor(F.col("col") / tile).cast("int").alias("sc")).agg(ordered.alias("values"))
     wide, tall = F.least(F.lit(tile), width - F.col("sc") * tile), F.least(F.lit(tile), height - F.col("sr") * tile)
     tiles = tiles.withColumn("wide", wide).where(F.size("values") == F.col("wide") * tall)
-    met = t.join(tiles, ["image", "sr", "sc"])
+    # Spark sizes t by the views, before they are dealt over tiles, and so would broadcast every view's tiles.
+    met = t.hint("merge").join(tiles, ["image", "sr", "sc"])
     met = met.withColumn("col", F.explode(F.sequence("x0", "x1"))).withColumn("row", F.explode(F.sequence("y0", "y1")))
     x, y, _ = _placed(inverse, F.col("col").cast("double"), F.col("row").cast("double"))
     met = met.withColumns({"x": x, "y": y}).where(f"x > -1 and x < {width} and y > -1 and y < {height}")
@@ -217,7 +218,7 @@ def multiband(views: DataFrame, group: str, view: str, bands: int = 5) -> DataFr
     for k in range(bands):
         coarse = settle(reduced(level, own, ["value", "weight"]), f"level{k + 1}")
         rough = expanded(coarse, level, own, ["value"]).withColumnRenamed("value", "rough")
-        band = level.join(rough, [*own, "row", "col"]).withColumn("band", F.col("value") - F.col("rough"))
+        band = level.join(rough.hint("merge"), [*own, "row", "col"]).withColumn("band", F.col("value") - F.col("rough"))
         blended.append(settle(band.groupBy(*at).agg(mix("band")), f"band{k}"))
         level = coarse
     out = level.groupBy(*at).agg(mix("value"))

@@ -36,7 +36,7 @@ def blended(seen: DataFrame, rows: int, cols: int, bands: int) -> DataFrame:
     """group, row, col, value: each view where it is the best one and a cell around it, blended in bands of frequency."""
     own = raster.best_view(seen, ["group", "row", "col"], "view").select("group", "view", "row", "col")
     mask = compositing.dilated(settle(own, "owners"), "view", rows, cols)
-    held = seen.join(mask, ["view", "row", "col"], "left_semi").withColumn("weight", F.lit(1.0))
+    held = seen.join(mask.hint("merge"), ["view", "row", "col"], "left_semi").withColumn("weight", F.lit(1.0))
     return compositing.multiband(held, "group", "view", bands)
 
 
