@@ -131,9 +131,14 @@ def best_view(cells: DataFrame, keys: list[str], source: str) -> DataFrame:
 
 
 def disagreeing(cells: DataFrame, keys: list[str], variance: float, views: int) -> DataFrame:
-    """Cells that enough views see with too large a variance."""
-    v = F.var_pop("value")
-    return cells.groupBy(*keys).agg(v.alias("variance"), F.count("*").alias("views")).where((F.col("variance") > variance) & (F.col("views") >= views))
+    """Cells that enough views see with too large a variance.
+
+    The variance is compared as n times the sum of squares less the squared sum, which is exact for whole values: a cell whose
+    variance is the limit itself is not too large, in whatever order its views are summed.
+    """
+    s = cells.groupBy(*keys).agg(F.count("value").alias("_n"), F.sum(F.col("value") * F.col("value")).alias("_q"), F.sum("value").alias("_s"), F.count("*").alias("views"))
+    spread, whole = F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"), F.col("_n") * F.col("_n")
+    return s.where((spread > variance * whole) & (F.col("views") >= views)).select(*keys, (spread / whole).alias("variance"), "views")
 
 
 def cell_regions(cells: DataFrame, group: str, width: int) -> DataFrame:

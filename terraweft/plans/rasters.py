@@ -144,7 +144,7 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("session").agg(F.round(F.count("*") / float(ROWS * COLUMNS), 9).alias("coverage"))
 
 
-@query("A6_disagreement", f"WITH {CELLS_SQL} SELECT session, row, col, count(*) AS views FROM cells GROUP BY session, row, col HAVING var_pop(value) > 484 AND count(*) >= 3")
+@query("A6_disagreement", f"WITH {CELLS_SQL} SELECT session, row, col, count(*) AS views FROM cells GROUP BY session, row, col HAVING count(*) * sum(value * value) - sum(value) * sum(value) > 484e0 * count(*) * count(*) AND count(*) >= 3")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.disagreeing(cells(spark, sf_dir), ["session", "row", "col"], 22.0**2, 3).select("session", "row", "col", "views")
 
@@ -159,7 +159,7 @@ def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.gains(cells(spark, sf_dir), "session", "frame_id", ["row", "col"]).withColumn("gain", F.round("gain", 6))
 
 
-REGION_SQL = f"WITH RECURSIVE {CELLS_SQL}, d AS (SELECT session, row, col FROM cells GROUP BY session, row, col HAVING var_pop(value) > 7000 AND count(*) >= 3), reach(session, row, col, r2, c2) AS (SELECT session, row, col, row, col FROM d UNION SELECT r.session, r.row, r.col, d.row, d.col FROM reach r JOIN d ON d.session = r.session AND abs(d.row - r.r2) <= 1 AND abs(d.col - r.c2) <= 1), reg AS (SELECT session, row, col, min(r2 * {COLUMNS} + c2) AS region FROM reach GROUP BY session, row, col)"
+REGION_SQL = f"WITH RECURSIVE {CELLS_SQL}, d AS (SELECT session, row, col FROM cells GROUP BY session, row, col HAVING count(*) * sum(value * value) - sum(value) * sum(value) > 7000e0 * count(*) * count(*) AND count(*) >= 3), reach(session, row, col, r2, c2) AS (SELECT session, row, col, row, col FROM d UNION SELECT r.session, r.row, r.col, d.row, d.col FROM reach r JOIN d ON d.session = r.session AND abs(d.row - r.r2) <= 1 AND abs(d.col - r.c2) <= 1), reg AS (SELECT session, row, col, min(r2 * {COLUMNS} + c2) AS region FROM reach GROUP BY session, row, col)"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
