@@ -275,11 +275,14 @@ def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("camera")).agg(F.round(F.percentile("l_extendedprice", 0.5), 6).alias("median"))
 
 
-@query("F11_camera_quality", "SELECT l_suppkey AS camera FROM lineitem GROUP BY 1 HAVING count(*) >= 20 AND quantile_cont(l_discount, 0.5) <= 0.05 AND avg(l_tax) <= 0.04")
+@query("F11_camera_quality", "SELECT l_suppkey AS camera FROM lineitem GROUP BY 1 HAVING count(*) >= 20 AND quantile_cont(CAST(round(l_discount * 1e6) AS BIGINT), 0.5) <= 50000 AND sum(CAST(round(l_tax * 1e6) AS BIGINT)) <= 40000 * count(l_tax)")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cameras with enough observations and small median and mean errors."""
-    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("camera")).agg(F.count("*").alias("n"), F.percentile("l_discount", 0.5).alias("error"), F.avg("l_tax").alias("tilt"))
-    return c.where("n >= 20 and error <= 0.05 and tilt <= 0.04").select("camera")
+    """Cameras with enough observations and small median and mean errors, in whole millionths: a mean that is the limit
+    itself is small enough, in whatever order it is summed."""
+    millionths = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("camera"))
+    c = l.agg(F.count("*").alias("n"), F.percentile(millionths("l_discount"), 0.5).alias("error"), F.sum(millionths("l_tax")).alias("tilt"), F.count("l_tax").alias("tilts"))
+    return c.where("n >= 20 and error <= 50000 and tilt <= 40000 * tilts").select("camera")
 
 
 @query("F13_valid_observations", "WITH o AS (SELECT * FROM lineitem WHERE l_quantity > 1 AND l_extendedprice < 50000), k AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS left_over FROM o) SELECT l_orderkey, l_linenumber FROM k WHERE left_over >= 2")
