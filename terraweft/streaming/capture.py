@@ -29,7 +29,7 @@ class Rules:
 
     def __init__(self, area: Area, interval: float = 40.0, min_altitude: float = 1.0, max_tilt_degrees: float = 12.0) -> None:
         self.lat, self.lon, self.edges = area.lat, area.lon, area.edges
-        self.scale = METRES_PER_DEGREE * math.cos(math.radians(area.lat))
+        self.shrink = math.cos(math.radians(area.lat))
         self.interval, self.min_altitude, self.max_tilt = interval, min_altitude, math.radians(max_tilt_degrees)
 
     def inside(self, x: float, y: float) -> bool:
@@ -63,7 +63,8 @@ def judged(rules: Rules, state: tuple, rows: pd.DataFrame) -> tuple[tuple | None
             lat, lon, alt = r.lat_e7 / 1e7, r.lon_e7 / 1e7, r.rel_alt_mm / 1e3
             if not (armed and alt >= rules.min_altitude):
                 continue
-            e, n = (lon - rules.lon) * rules.scale, (lat - rules.lat) * METRES_PER_DEGREE
+            # In this order, as everywhere else: captures lie on the area's border, where the last digit decides.
+            e, n = (lon - rules.lon) * METRES_PER_DEGREE * rules.shrink, (lat - rules.lat) * METRES_PER_DEGREE
             inside = rules.inside(e, n)
             if inside != was_inside:
                 out.append((r.session, r.msg_id, "enter" if inside else "leave", lat, lon, alt, None, kept))
