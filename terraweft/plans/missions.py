@@ -45,8 +45,8 @@ qm AS (SELECT *, least(2, (hi - lo) / 4, spacing / 4) AS margin FROM qy), quad A
 
 @query("M2_quad_lines", f"WITH {QUAD_SQL} SELECT mission, i AS line, round(x, 6) AS e, round(n1, 6) AS n1, round(n2, 6) AS n2 FROM quad")
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = mission.quad_lines(settings(spark, sf_dir), AREA).select("mission", F.posexplode("lines").alias("line", "p"))
-    return l.select("mission", F.col("line").cast("long").alias("line"), F.round(F.col("p")[0]["e"], 6).alias("e"), F.round(F.col("p")[0]["n"], 6).alias("n1"), F.round(F.col("p")[1]["n"], 6).alias("n2"))
+    l = mission.quad_lines(settings(spark, sf_dir), AREA)
+    return l.select("mission", F.col("line").cast("long").alias("line"), *(F.round(c, 6).alias(c) for c in ("e", "n1", "n2")))
 
 
 @query("M3_lap_route", f"""WITH {SETTINGS_SQL}, r AS (SELECT mission, 0 AS place, e, n FROM lap WHERE k = 0 AND laps > 0 UNION ALL SELECT mission, 1 + lapno * 4 + CASE WHEN k = 0 THEN 3 ELSE k - 1 END, e, n FROM (SELECT *, unnest(range(0, laps)) AS lapno FROM lap))
