@@ -14,26 +14,59 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Ties are ordered by (src, dst), so that the forest is unique. Parts at least halve in each round.
     """
-    edges = settle(edges.select("src", "dst", "score").where("src <> dst").distinct(), "graph")
-    taken = edges.limit(0)
-    part = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node"))
+    return forest_and_parts(edges, max_rounds)[0]
+
+
+def forest_and_parts(edges: DataFrame, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The forest, and its parts (node, component: the part's smallest node).
+
+    After each round parts are contracted to one node and only the best edge between two of them is kept, so that rounds
+    shrink with the parts.
+    """
+    ends = edges.select("src", "dst", "score").where("src <> dst").distinct()
+    held = settle(ends.select("*", F.col("src").alias("a"), F.col("dst").alias("b")), "graph")
+    part = settle(held.select(F.col("src").alias("node")).union(held.select("dst")).distinct().withColumn("component", F.col("node")), "parts")
+    taken = held.select("src", "dst", "score").limit(0)
+    first = F.max(F.struct("score", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d")))
+    edge = ((-F.col("e.s")).alias("src"), (-F.col("e.d")).alias("dst"), F.col("e.score").alias("score"))
     for _ in range(max_rounds):
-        p = settle(part, "parts")
-        a = p.select(F.col("node").alias("src"), F.col("component").alias("a"))
-        b = p.select(F.col("node").alias("dst"), F.col("component").alias("b"))
-        across = edges.join(a, "src").join(b, "dst").where("a <> b")
-        best = F.max(F.struct("score", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d"))).alias("e")
-        both = across.select(F.col("a").alias("part"), "score", "src", "dst").union(across.select("b", "score", "src", "dst"))
-        chosen = settle(both.groupBy("part").agg(best).select((-F.col("e.s")).alias("src"), (-F.col("e.d")).alias("dst"), F.col("e.score").alias("score")).distinct(), "chosen")
+        both = held.select(F.col("a").alias("part"), F.col("b").alias("up"), "score", "src", "dst").union(held.select("b", "a", "score", "src", "dst"))
+        best = F.max(F.struct("score", (-F.col("src")).alias("s"), (-F.col("dst")).alias("d"), "up")).alias("e")
+        chosen = settle(both.groupBy("part").agg(best).select("part", "e.up", *edge), "chosen")
         if not chosen.take(1):
-            discard(edges)
-            return taken
-        taken = settle(taken.unionByName(chosen).distinct(), "forest")
-        joined = connected_components(taken.select("src", "dst"))
-        part = p.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            discard(held)
+            return taken, part
+        taken = taken.unionByName(chosen.select("src", "dst", "score").distinct())
+        label = settle(_contracted(chosen.select("part", "up")), "labels")
+        a, b = label.select(F.col("part").alias("a"), F.col("label").alias("x")), label.select(F.col("part").alias("b"), F.col("label").alias("y"))
+        across = held.join(a, "a").join(b, "b").where("x <> y")
+        after = across.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(first.alias("e")).select(*edge, "a", "b")
+        after = settle(after, "graph")
+        part = settle(part.join(label.withColumnRenamed("part", "component"), "component", "left").select("node", F.coalesce("label", "component").alias("component")), "parts")
+        discard(held)
+        held = after
     raise RuntimeError("the forest did not settle")
 
 
+def _contracted(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """part, label (the smallest of those that are joined) from the part that each one's best edge leads to.
+
+    Best edges form trees whose two topmost parts lead to each other; of these the smaller is the root, and the way to it
+    halves in each round.
+    """
+    back = links.select(F.col("part").alias("up"), F.col("up").alias("_back"))
+    up = settle(links.join(back, "up").select("part", F.when((F.col("_back") == F.col("part")) & (F.col("part") < F.col("up")), F.col("part")).otherwise(F.col("up")).alias("up")), "up")
+    for _ in range(max_rounds):
+        top = up.select(F.col("part").alias("up"), F.col("up").alias("top"))
+        after = settle(up.join(top, "up").select("part", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+        moved = after.where("moved").take(1)
+        discard(up)
+        up = after.select("part", "up")
+        if not moved:
+            return up.join(up.groupBy("up").agg(F.min("part").alias("label")), "up").select("part", "label")
+    raise RuntimeError("the parts did not settle")
+
+
 def largest_component(edges: DataFrame) -> DataFrame:
     """node of the component with the most nodes (ties: the smaller one)."""
     parts = connected_components(edges)

@@ -233,8 +233,7 @@ def g2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_parts(e: DataFrame) -> DataFrame:
     """A forest has one edge less than nodes in each component; the exact forest is tested against Kruskal's."""
-    forest = settle(spanning.spanning_forest(e), "forest")
-    parts = graph.connected_components(forest)
+    forest, parts = spanning.forest_and_parts(e)
     return forest.join(parts, F.col("src") == F.col("node")).groupBy("component").agg(F.count("*").alias("links"))
 
 
