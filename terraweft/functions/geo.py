@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The two earth models in use, and the foot.
 METRES_PER_DEGREE = 111_320.0
@@ -195,30 +198,64 @@ def general_number(x: Column, digits: int = 12) -> Column:
     return F.transform(found, written)[0]
 
 
+FAULTS = ("count", "duplicate", "extent", "collinear", "crossing")
+#: Pairs of edges that are compared at once.
+PAIRS = 1 << 20
+
+
+def _faults_of(e: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each of FAULTS holds, (fences, 5), of fences of one size: coordinates (fences, corners), without a closing one."""
+    m, k = e.shape
+    if not k:
+        return np.tile([True, False, False, False, False], (m, 1))
+    i, j = np.triu_indices(k, 1)
+    be, bn = np.roll(e, -1, 1), np.roll(n, -1, 1)
+    ce, cn = np.roll(e, -2, 1), np.roll(n, -2, 1)
+    twice = ((e[:, i] == e[:, j]) & (n[:, i] == n[:, j])).any(1)
+    far = (np.hypot(e[:, i] - e[:, j], n[:, i] - n[:, j]) > 20_000).any(1)
+    line = (np.abs((be - e) * (cn - n) - (bn - n) * (ce - e)) < 1e-7).any(1)
+    apart = (j > i + 1) & ~((i == 0) & (j == k - 1))
+    i, j = i[apart], j[apart]
+    a, b, c, d = (e[:, i], n[:, i]), (be[:, i], bn[:, i]), (e[:, j], n[:, j]), (be[:, j], bn[:, j])
+    cross = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    s1, s2, s3, s4 = cross(a, b, c), cross(a, b, d), cross(c, d, a), cross(c, d, b)
+    meet = (np.sign(s1) * np.sign(s2) < 0) & (np.sign(s3) * np.sign(s4) < 0)
+    for s, p, q, r in ((s1, a, b, c), (s2, a, b, d), (s3, c, d, a), (s4, c, d, b)):
+        at = np.nonzero(np.abs(s) <= 1e-7)
+        near = np.ones(len(at[0]), bool)
+        for x in (0, 1):
+            u, v, w = p[x][at], q[x][at], r[x][at]
+            near &= (np.minimum(u, v) - 1e-8 <= w) & (w <= np.maximum(u, v) + 1e-8)
+        meet[at] |= near
+    return np.stack([np.full(m, not 3 <= k <= 70), twice, far, line, meet.any(1)], 1)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _faults(east: pd.Series, north: pd.Series) -> pd.Series:
+    """Fences of a batch are judged together with those of like size."""
+    out: list = [[]] * len(east)
+    sized: dict[int, list[int]] = {}
+    for at, e in enumerate(east):
+        if e is not None:
+            sized.setdefault(len(e), []).append(at)
+    for k, every in sized.items():
+        step = max(1, PAIRS // max(1, k * k))
+        for start in range(0, len(every), step):
+            some = every[start : start + step]
+            e, n = (np.stack([s.iat[at] for at in some]).astype(np.float64).reshape(len(some), k) for s in (east, north))
+            shut = (e[:, 0] == e[:, -1]) & (n[:, 0] == n[:, -1]) if k > 1 else np.zeros(len(some), bool)
+            for closed in (False, True):
+                own = np.flatnonzero(shut == closed)
+                if len(own):
+                    for at, bad in zip(own, _faults_of(e[own, : k - closed], n[own, : k - closed]), strict=True):
+                        out[some[at]] = [f for f, b in zip(FAULTS, bad, strict=True) if b]
+    return pd.Series(out, dtype="object")
+
+
 def fence_faults(corners: Column) -> Column:
-    """What is wrong with a fence (array of struct(e, n), metres): an array of `count`, `duplicate`, `extent`, `collinear`, `crossing`.
+    """What is wrong with a fence (array of struct(e, n), metres; finite): an array of FAULTS.
 
     A last corner that repeats the first closes the fence and is left out. Three to seventy corners, none twice, none more than
     20 km apart, no three in a row on a line, and edges that are no neighbours neither cross nor touch.
     """
-    closed = (F.size(corners) > 1) & (F.element_at(corners, 1) == F.element_at(corners, -1))
-    p = F.when(closed, F.slice(corners, 1, F.size(corners) - 1)).otherwise(corners)
-
-    def of(p: Column) -> Column:
-        n = F.size(p)
-        at = lambda k: F.get(p, F.pmod(k, n))
-        cross = lambda a, b, c: (b["e"] - a["e"]) * (c["n"] - a["n"]) - (b["n"] - a["n"]) * (c["e"] - a["e"])
-        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        far = F.exists(p, lambda a: F.exists(p, lambda b: F.hypot(a["e"] - b["e"], a["n"] - b["n"]) > 20_000))
-        line = F.exists(every, lambda k: F.abs(cross(at(k), at(k + 1), at(k + 2))) < 1e-7)
-        within = lambda a, b, c: (F.abs(cross(a, b, c)) <= 1e-7) & c["e"].between(F.least(a["e"], b["e"]) - 1e-8, F.greatest(a["e"], b["e"]) + 1e-8) & c["n"].between(F.least(a["n"], b["n"]) - 1e-8, F.greatest(a["n"], b["n"]) + 1e-8)
-
-        def meet(a: Column, b: Column, c: Column, d: Column) -> Column:
-            proper = (F.signum(cross(a, b, c)) * F.signum(cross(a, b, d)) < 0) & (F.signum(cross(c, d, a)) * F.signum(cross(c, d, b)) < 0)
-            return proper | within(a, b, c) | within(a, b, d) | within(c, d, a) | within(c, d, b)
-
-        crossing = F.exists(every, lambda i: F.exists(every, lambda j: (j > i + 1) & ~((i == 0) & (j == n - 1)) & meet(at(i), at(i + 1), at(j), at(j + 1))))
-        rules = (("count", ~n.between(3, 70)), ("duplicate", F.size(F.array_distinct(p)) < n), ("extent", far), ("collinear", line), ("crossing", crossing))
-        return F.filter(F.array(*(F.when(bad, name) for name, bad in rules)), lambda x: x.isNotNull())
-
-    return F.transform(F.array(p), of)[0]
+    return _faults(F.transform(corners, lambda p: p["e"].cast("double")), F.transform(corners, lambda p: p["n"].cast("double")))
