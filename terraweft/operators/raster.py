@@ -155,6 +155,26 @@ def cell_regions(cells: DataFrame, group: str, width: int) -> DataFrame:
     return named.join(parts, "node", "left").select(group, "row", "col", F.coalesce("component", "node").alias("region"))
 
 
+def run_hull_area(runs: Column) -> Column:
+    """Area, in cells, of the hull of the cell centres of one footprint: array of struct(row, first, last), a row once, in order.
+
+    The hull's width in a row is that between the least concave line over the last columns and the greatest convex one under
+    the first; between two rows it is the mean of theirs. Twice the area is a whole number, so that it is exact.
+    """
+
+    def edge(r: Column, side: str) -> Column:
+        """The furthest that a chord between a row up to r and one from r on reaches in row r."""
+        sign = 1 if side == "last" else -1
+        reach = lambda a, b: F.when(a["row"] == b["row"], (sign * a[side]).cast("double")).otherwise(sign * (a[side] * (b["row"] - r) + b[side] * (r - a["row"])) / (b["row"] - a["row"]))
+        upto, onward = F.filter(runs, lambda a: a["row"] <= r), F.filter(runs, lambda b: b["row"] >= r)
+        return F.array_max(F.transform(upto, lambda a: F.array_max(F.transform(onward, lambda b: reach(a, b)))))
+
+    top, bottom = F.element_at(runs, 1)["row"], F.element_at(runs, -1)["row"]
+    ends = lambda r: F.when((r == top) | (r == bottom), 1.0).otherwise(2.0)
+    twice = F.aggregate(F.sequence(top, bottom), F.lit(0.0), lambda s, r: s + ends(r) * (edge(r, "last") + edge(r, "first")))
+    return F.when(top == bottom, F.lit(0.0)).otherwise(F.rint(twice) / 2)
+
+
 def gains(cells: DataFrame, group: str, source: str, keys: list[str]) -> DataFrame:
     """A gain for each source that brings its mean to that of what all sources show in its cells: one step of the
     least-squares exposure balance, from sums over cells."""

@@ -11,7 +11,6 @@ from terraweft.operators import raster
 from terraweft.plans.capture import CLOSE_SQL, close_pairs
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL, num, placed
-from terraweft.plans.matching import hull_areas
 from terraweft.plans.rasters import CELL, CELLS_SQL, COLUMNS, NORTH, ROWS, WEST, cells
 from terraweft.session import settle, table
 from terraweft.sources.frames import FRAMES_SQL, TELEMETRY_SQL, frames, telemetry
@@ -127,12 +126,13 @@ SELECT session, frame_id, round(area, 6) AS area FROM h JOIN big USING (session,
 def r8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures whose support is broad: the hull of the cell centres that another capture of the session sees too, twelve at
     least, is larger than 0.1 square metres and three tenths of the ground in the frame."""
-    c = settle(cells(spark, sf_dir).select("session", "frame_id", "alt", "row", "col"), "seen")
+    c = cells(spark, sf_dir).select("session", "frame_id", "alt", "row", "col")
     views = c.groupBy("session", "row", "col").agg(F.count("*").alias("views")).where("views >= 2")
-    points = c.join(views, ["session", "row", "col"], "left_semi")
-    enough = points.groupBy("session", "frame_id").agg(F.count("*").alias("points"), F.max("alt").alias("alt")).where("points >= 12")
-    centres = points.select("session", "frame_id", ((F.col("col") + 0.5) * CELL).alias("x"), ((F.col("row") + 0.5) * CELL).alias("y"))
-    hulls = hull_areas(centres, ["session", "frame_id"], "x", "y").join(enough, ["session", "frame_id"])
+    # Spark sizes the cells by the captures, before they are exploded, and so would broadcast them.
+    points = c.join(views.hint("merge"), ["session", "row", "col"], "left_semi")
+    runs = points.groupBy("session", "frame_id", "row").agg(F.count("*").alias("points"), F.max("alt").alias("alt"), F.min("col").alias("first"), F.max("col").alias("last"))
+    support = runs.groupBy("session", "frame_id").agg(F.sum("points").alias("points"), F.max("alt").alias("alt"), F.array_sort(F.collect_list(F.struct("row", "first", "last"))).alias("runs")).where("points >= 12")
+    hulls = support.withColumn("area", raster.run_hull_area(F.col("runs")) * (CELL * CELL))
     frame = F.pow(F.col("alt") * 1.2, F.lit(2))
     return hulls.where((F.col("area") > 0.1) & (F.col("area") >= 0.3 * frame)).select("session", "frame_id", F.round("area", 6).alias("area"))
 
