@@ -110,12 +110,15 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).groupBy("session", "frame_id").agg(F.count("*").alias("cells"), F.round(F.sum(score), 5).alias("score"))
 
 
+def seen_twice(c: DataFrame) -> DataFrame:
+    """The cells (dealt by session) that another capture of the session sees too; a join would shuffle them again."""
+    return c.withColumn("views", F.count("*").over(Window.partitionBy("session", "row", "col"))).where("views >= 2 and session is not null").drop("views")
+
+
 @query("R7_supported_regions", f"WITH {CELLS_SQL}, s AS (SELECT a.session, a.frame_id, count(*) AS points, min(a.row) AS r0, max(a.row) AS r1, min(a.col) AS c0, max(a.col) AS c1 FROM cells a JOIN (SELECT session, row, col FROM cells GROUP BY session, row, col HAVING count(*) >= 2) b USING (session, row, col) GROUP BY a.session, a.frame_id) SELECT session, frame_id, points, (r1 - r0 + 1) * (c1 - c0 + 1) AS box FROM s WHERE points >= 12")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each capture the cells that another one sees too, twelve at least, and their box."""
-    c = cells(spark, sf_dir)
-    shared = c.groupBy("session", "row", "col").agg(F.count("*").alias("views")).where("views >= 2")
-    s = c.join(shared, ["session", "row", "col"], "left_semi").groupBy("session", "frame_id").agg(F.count("*").alias("points"), *(f(k).alias(f"{k}_{n}") for k in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))))
+    s = seen_twice(cells(spark, sf_dir).select("session", "frame_id", "row", "col")).groupBy("session", "frame_id").agg(F.count("*").alias("points"), *(f(k).alias(f"{k}_{n}") for k in ("row", "col") for n, f in (("lo", F.min), ("hi", F.max))))
     return s.where("points >= 12").select("session", "frame_id", "points", ((F.col("row_hi") - F.col("row_lo") + 1) * (F.col("col_hi") - F.col("col_lo") + 1)).alias("box"))
 
 
@@ -127,9 +130,7 @@ def r8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures whose support is broad: the hull of the cell centres that another capture of the session sees too, twelve at
     least, is larger than 0.1 square metres and three tenths of the ground in the frame."""
     c = cells(spark, sf_dir).select("session", "frame_id", "alt", "row", "col")
-    views = c.groupBy("session", "row", "col").agg(F.count("*").alias("views")).where("views >= 2")
-    # Spark sizes the cells by the captures, before they are exploded, and so would broadcast them.
-    points = c.join(views.hint("merge"), ["session", "row", "col"], "left_semi")
+    points = seen_twice(c)
     runs = points.groupBy("session", "frame_id", "row").agg(F.count("*").alias("points"), F.max("alt").alias("alt"), F.min("col").alias("first"), F.max("col").alias("last"))
     support = runs.groupBy("session", "frame_id").agg(F.sum("points").alias("points"), F.max("alt").alias("alt"), F.array_sort(F.collect_list(F.struct("row", "first", "last"))).alias("runs")).where("points >= 12")
     hulls = support.withColumn("area", raster.run_hull_area(F.col("runs")) * (CELL * CELL))

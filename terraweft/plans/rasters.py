@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terraweft.operators import raster
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL, num, placed
-from terraweft.session import settle, table
+from terraweft.session import dealt, settle, table
 from terraweft.sources.frames import AREA
 
 SIDE, CELL = 8, 10.0
@@ -120,8 +120,9 @@ CELLS_SQL = f"""{LOCAL_SQL}, cells AS (SELECT session, frame_id, alt, row, col,
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map cells that each capture sees, with a weight that falls from its centre and a brightness."""
-    seen = raster.footprint(placed(spark, sf_dir), CORNER, CELL, F.col("alt") * 0.6)
+    """The map cells that each capture sees, with a weight that falls from its centre and a brightness; dealt by session."""
+    views = dealt(placed(spark, sf_dir).select("session", "frame_id", "alt", "east", "north"), "session")
+    seen = raster.footprint(views, CORNER, CELL, F.col("alt") * 0.6)
     value = ((F.col("frame_id") * 31 + F.col("row") * 7 + F.col("col") * 3) % 256).cast("double")
     return seen.select("session", "frame_id", "alt", "row", "col", F.round(1 / (1 + F.col("gap2")), 9).alias("weight"), value.alias("value"))
 

@@ -79,6 +79,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a task among which groups are dealt.
+DEALT = 20_000
+
+
+def dealt(df: DataFrame, key: str, rows: int = DEALT) -> DataFrame:
+    """df dealt over tasks by key, a group whole, in so many tasks that each has about `rows` rows however large df is.
+
+    What is exploded from such rows and grouped or joined by the key and more then stays where it is: only df itself is
+    shuffled, once, and what a task holds does not grow with the table. The task of a hot key has all its rows, one by one.
+    """
+    return df.repartition(max(shuffle_width(df.sparkSession), -(-df.count() // rows)), key)
+
+
 @contextmanager
 def sent_whole(*modules: str) -> Iterator[None]:
     """What is handed to Spark within takes the code of these modules along.
