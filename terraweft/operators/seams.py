@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from terraweft.session import discard, settle
 
 # How much unequal brightness in an overlap and a gain away from one cost.
 ALPHA, BETA = 0.01, 100.0
+#: Pairs of cells at one place up to which a group is balanced in one task.
+PAIRS = 2_000_000
 #: What a place beside an overlap costs a seam.
 OUTSIDE = 1_000_000
 
@@ -67,11 +71,69 @@ def conjugate_gradients(entries: DataFrame, right: DataFrame, bound: float = 1e-
 
 
 def block_gains(cells: DataFrame, group: str, view: str, block: int) -> DataFrame:
-    """group, view, block_row, block_col, gain."""
-    gains = conjugate_gradients(*exposure_system(cells, group, view, block))
-    named = cells.select(group, view, F.floor(F.col("row") / block).alias("r"), F.floor(F.col("col") / block).alias("c")).distinct()
+    """group, view, block_row, block_col, gain.
+
+    Groups have nothing in common: one that has PAIRS pairs of cells or fewer is balanced in one task, where its cells lie
+    if they were dealt by group; the others, and what has a null in it, by rounds over one system.
+    """
+    cells = cells.select(group, view, "row", "col", F.col("value").cast("double").alias("value"))
+    places = cells.groupBy(group, "row", "col").agg(F.count("*").alias("n"), F.count(F.when(F.isnull(view) | F.isnull("value"), 1)).alias("open"))
+    bare = F.isnull("row") | F.isnull("col")
+    sized = places.groupBy(group).agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("open").alias("open"), F.count(F.when(bare, 1)).alias("bare"))
+    large = settle(sized.where((F.col("pairs") > PAIRS) | (F.col("open") > 0) | (F.col("bare") > 0) | F.isnull(group)).select(group), "large")
+    kind = dict(cells.dtypes)
+    schema = f"`{group}` {kind[group]}, `{view}` {kind[view]}, block_row long, block_col long, gain double"
+    if not large.take(1):
+        return cells.groupBy(group).applyInPandas(_balanced(group, view, block), schema)
+    names = large.withColumnRenamed(group, "_g")
+    few = cells.join(names, cells[group].eqNullSafe(F.col("_g")), "left_anti").groupBy(group).applyInPandas(_balanced(group, view, block), schema)
+    many = settle(cells.join(names, cells[group].eqNullSafe(F.col("_g")), "left_semi"), "many")
+    gains = conjugate_gradients(*exposure_system(many, group, view, block))
+    named = many.select(group, view, F.floor(F.col("row") / block).alias("r"), F.floor(F.col("col") / block).alias("c")).distinct()
     named = named.withColumn("i", F.xxhash64(F.struct(group, view, "r", "c")))
-    return named.join(gains, "i").select(group, view, F.col("r").alias("block_row"), F.col("c").alias("block_col"), F.col("x").alias("gain"))
+    return few.unionByName(named.join(gains, "i").select(group, view, F.col("r").alias("block_row"), F.col("c").alias("block_col"), F.col("x").alias("gain")))
+
+
+def _balanced(group: str, view: str, block: int):
+    """The balance of one group's blocks: exposure_system and conjugate_gradients on arrays."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        who, row, col, value = rows[view].to_numpy(), rows.row.to_numpy(), rows.col.to_numpy(), rows.value.to_numpy()
+        blocks, at = np.unique(np.stack([who, row // block, col // block]), axis=1, return_inverse=True)
+        at, m = at.reshape(-1), blocks.shape[1]
+        places = np.unique(np.stack([row, col]), axis=1, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(places, kind="stable")
+        many = np.bincount(places)
+        each = many[places[order]]
+        first = np.repeat(order, each)
+        begin = np.repeat((np.cumsum(many) - many)[places[order]], each)
+        second = order[begin + np.arange(len(first)) - np.repeat(np.cumsum(each) - each, each)]
+        apart = who[first] != who[second]
+        first, second = first[apart], second[apart]
+        met, pair = np.unique(at[first] * m + at[second], return_inverse=True)
+        i, j, n = met // m, met % m, np.bincount(pair, minlength=len(met)).astype(float)
+        own, other = (np.bincount(pair, value[x], len(met)) / n for x in (first, second))
+        right = BETA * (np.bincount(at, minlength=m) + np.bincount(i, n, m))
+        diagonal = right + np.bincount(i, 2 * ALPHA * own * own * n, m)
+        a = -2 * ALPHA * own * other * n
+        x, scale = np.ones(m), 1 / diagonal
+        times = lambda p: diagonal * p + np.bincount(i, a * p[j], m)
+        r = right - times(x)
+        p = scale * r
+        z, due = r @ p, 1e-16 * (right @ (scale * right))
+        for _ in range(200):
+            if z <= due:
+                break
+            q = times(p)
+            length = z / (p @ q)
+            x, r = x + length * p, r - length * q
+            after = r @ (scale * r)
+            p, z = scale * r + after / z * p, after
+        else:
+            raise RuntimeError("no solution within 200 rounds")
+        return pd.DataFrame({group: rows[group].iloc[0], view: blocks[0], "block_row": blocks[1].astype(np.int64), "block_col": blocks[2].astype(np.int64), "gain": x})
+
+    return run
 
 
 def cuts(cells: DataFrame, pairs: DataFrame, group: str, view: str) -> DataFrame:

@@ -137,8 +137,7 @@ BLOCK = 4
 @query("R11_block_gains")
 def r11_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gains of all blocks of four by four cells of all views, balanced over their overlaps."""
-    seen = settle(cells(spark, sf_dir).select("session", "frame_id", "row", "col", "value"), "seen")
-    return seams.block_gains(seen, "session", "frame_id", BLOCK).withColumn("gain", F.round("gain", 5))
+    return seams.block_gains(cells(spark, sf_dir), "session", "frame_id", BLOCK).withColumn("gain", F.round("gain", 5))
 
 
 @query("R12_seams", f"""WITH RECURSIVE {CELLS_SQL}, f AS (SELECT DISTINCT session, frame_id FROM cells), pair AS (SELECT * FROM (SELECT session, frame_id AS a, lead(frame_id) OVER (PARTITION BY session ORDER BY frame_id) AS b FROM f) WHERE b IS NOT NULL),
