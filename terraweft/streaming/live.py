@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from terraweft.session import sent_whole
+from terraweft.session import dealt, sent_whole
 from terraweft.sources import log_stream
 from terraweft.streaming import capture
 from terraweft.streaming.capture import FRESH, OUTPUT, STATE, TELEMETRY_SCHEMA, Rules, judged
@@ -140,7 +140,7 @@ def write_growing(rows: DataFrame, folder: str, share: float) -> None:
     A task streams its sessions in order and holds one batch.
     """
     sizes = rows.groupBy("session").agg(F.sum(F.octet_length("line") + 1).alias("size"))
-    ordered = rows.join(sizes, "session").repartition("session").sortWithinPartitions("session", "at")
+    ordered = dealt(rows.join(sizes, "session"), "session").sortWithinPartitions("session", "at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
