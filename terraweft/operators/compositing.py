@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -203,6 +205,10 @@ def expanded(coarse: DataFrame, fine: DataFrame, keys: list[str], columns: list[
     return met.groupBy(*keys, "row", "col").agg(*((F.sum(F.col("_k") * F.col(c)) / F.sum("_k")).alias(c) for c in columns))
 
 
+#: A group of so few cells in so small a box is blended in one task, FIELD places at a time.
+CELLS, BOX, FIELD = 200_000, 1 << 18, 1 << 20
+
+
 def multiband(views: DataFrame, group: str, view: str, bands: int = 5) -> DataFrame:
     """group, row, col, value: views (group, view, row, col, value, weight) blended apart in each of `bands` frequency bands
     and a rest.
@@ -210,9 +216,76 @@ def multiband(views: DataFrame, group: str, view: str, bands: int = 5) -> DataFr
     A band is what a level of a view's pyramid has beyond the expanded next one; it is weighed by the view's weight at that
     level, so that fine detail changes over within a few cells of a seam and coarse brightness slowly. Cells where no view
     has weight are left out. A view that is alone comes back as it is.
+
+    Groups have nothing in common: one within CELLS and BOX is blended in one task, where its cells lie if they were dealt by
+    group; the others, and those with a null in them, by joins of levels.
     """
+    level = views.select(group, view, "row", "col", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")).where("weight > 0")
+    open_ = reduce(lambda a, b: a | b, (F.isnull(c) for c in (view, "row", "col", "value")))
+    side = lambda c: (F.max(c) - F.min(c) + 1).cast("long")
+    sized = level.groupBy(group).agg(F.count("*").alias("n"), (side("row") * side("col")).alias("box"), F.count(F.when(open_, 1)).alias("open"))
+    large = settle(sized.where((F.col("n") > CELLS) | (F.col("box") > BOX) | F.isnull("box") | (F.col("open") > 0) | F.isnull(group)).select(F.col(group).alias("_g")), "large")
+    kind = dict(level.dtypes)
+    schema = f"`{group}` {kind[group]}, row int, col int, value double"
+    if not large.take(1):
+        return level.groupBy(group).applyInPandas(_blended(group, view, bands), schema)
+    same = level[group].eqNullSafe(F.col("_g"))
+    few = level.join(large, same, "left_anti").groupBy(group).applyInPandas(_blended(group, view, bands), schema)
+    return few.unionByName(_blended_by_joins(level.join(large, same, "left_semi"), group, view, bands))
+
+
+def _blended(group: str, view: str, bands: int):
+    """multiband of one group, on fields of one view each; as reduced() and expanded(), means are over the cells there are."""
+    over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+
+    def steps(low: int, high: int) -> list[np.ndarray]:
+        """Of each level the kernel's shares of its rows (or columns) in those of the next, as far out as that reaches."""
+        out = []
+        for _ in range(bands):
+            fine, coarse = np.arange(low, high + 1), np.arange(-(-(low - 2) // 2), (high + 2) // 2 + 1)
+            gap = fine - 2 * coarse[:, None]
+            out.append(sum(k * (gap == d) for d, k in KERNEL.items()))
+            low, high = coarse[0], coarse[-1]
+        return out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        who = np.unique(rows[view].to_numpy(), return_inverse=True)[1]
+        row, col = rows.row.to_numpy(np.int64), rows.col.to_numpy(np.int64)
+        top, west, bottom, east = row.min(), col.min(), row.max(), col.max()
+        down, along = steps(top, bottom), steps(west, east)
+        reduce_ = lambda x, n: down[n] @ x @ along[n].T
+        expand = lambda x, n: down[n].T @ x @ along[n]
+        sums: list = [0.0] * (bands + 1)
+        many, shape = who.max() + 1, (bottom - top + 1, east - west + 1)
+        step = max(1, FIELD // (shape[0] * shape[1]))
+        order = np.argsort(who, kind="stable")
+        for lo in range(0, many, step):
+            part = order[slice(*np.searchsorted(who[order], (lo, lo + step)))]
+            at = (who[part] - lo, row[part] - top, col[part] - west)
+            value, weight, there = (np.zeros((min(step, many - lo), *shape)) for _ in range(3))
+            value[at], weight[at], there[at] = rows.value.to_numpy()[part], rows.weight.to_numpy()[part], 1.0
+            for n in range(bands + 1):
+                band = value
+                if n < bands:
+                    mass = reduce_(there, n)
+                    coarse, heavy, held = over(reduce_(value, n), mass), over(reduce_(weight, n), mass), (mass > 0).astype(float)
+                    band = (value - over(expand(coarse, n), expand(held, n))) * there
+                sums[n] = sums[n] + np.stack([(weight * band).sum(0), weight.sum(0)])
+                if n < bands:
+                    value, weight, there = coarse, heavy, held
+        out = over(*sums[bands])
+        for n in reversed(range(bands)):
+            rough = over(expand(out, n), expand((sums[n + 1][1] > 0).astype(float), n))
+            out = (over(*sums[n]) + rough) * (sums[n][1] > 0)
+        r, c = np.nonzero(sums[0][1] > 0)
+        return pd.DataFrame({group: rows[group].iloc[0], "row": r + top, "col": c + west, "value": out[r, c]})
+
+    return run
+
+
+def _blended_by_joins(level: DataFrame, group: str, view: str, bands: int) -> DataFrame:
     at, own = [group, "row", "col"], [group, view]
-    level = settle(views.select(group, view, "row", "col", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")).where("weight > 0"), "level0")
+    level = settle(level, "level0")
     blended = []
     mix = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias("value")
     for k in range(bands):
