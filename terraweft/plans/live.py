@@ -9,9 +9,9 @@ from terraweft.plans.catalog import query
 from terraweft.plans.capture import ARMED_SQL, CLOSE_SQL, close_pairs
 from terraweft.plans.geometry import LOCAL_SQL
 from terraweft.plans.matching import REACH_SQL
-from terraweft.plans.rasters import CELLS_SQL, cells
+from terraweft.plans.rasters import CELLS_SQL, COLUMNS, cells
 from terraweft.plans.streams import DECISIONS_SQL
-from terraweft.operators import graph, proximity, raster
+from terraweft.operators import graph, raster
 from terraweft.session import settle
 from terraweft.sources import sinks
 from terraweft.sources.frames import AREA, telemetry
@@ -42,10 +42,12 @@ b AS (SELECT i AS a, j AS b FROM link UNION SELECT j, i FROM link), {REACH_SQL},
 SELECT session, component, frames, count(*) AS links FROM link JOIN reach ON node = i JOIN big USING (component) GROUP BY 1, 2, 3""")
 def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates, verified links and the connected part of each session: pairs in reach whose views overlap enough."""
-    near = settle(proximity.unordered(close_pairs(spark, sf_dir), "session"), "candidates")
-    seen = settle(cells(spark, sf_dir).select("session", "frame_id", "row", "col"), "seen")
-    a, b = seen.withColumnRenamed("frame_id", "i"), seen.withColumnRenamed("frame_id", "j")
-    shared = near.join(a, ["session", "i"]).join(b, ["session", "j", "row", "col"]).groupBy("session", "i", "j").agg(F.count("*").alias("cells"))
+    near = close_pairs(spark, sf_dir).select("session", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    # What a capture sees is one row: joined cell by cell, candidates would be copied for each cell.
+    place = (F.col("row") * COLUMNS + F.col("col")).cast("int")
+    seen = settle(cells(spark, sf_dir).select("session", "frame_id", place.alias("place")).groupBy("session", "frame_id").agg(F.collect_set("place").alias("places")).where(F.size("places") >= 12), "seen")
+    a, b = (seen.select("session", F.col("frame_id").alias(n), F.col("places").alias(p)).hint("merge") for n, p in (("i", "p"), ("j", "q")))
+    shared = near.distinct().join(a, ["session", "i"]).join(b, ["session", "j"]).select("session", "i", "j", F.size(F.array_intersect("p", "q")).alias("cells"))
     links = settle(shared.where("cells >= 12"), "links")
     parts = graph.connected_components(links.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     size = parts.groupBy("component").agg(F.count("*").alias("frames")).where("frames >= 6")
