@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -173,29 +174,17 @@ def segment_cut(ax: Column, ay: Column, bx: Column, by: Column, c: Point, d: Poi
 
 
 def general_number(x: Column, digits: int = 12) -> Column:
-    """A double as printf's %.<digits>g writes it: significant digits, no trailing zeros, an exponent where it is long."""
-
-    def written(p: Column) -> Column:
-        short, power = p["short"], p["power"]
-        size = F.length(short)
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), short)
-        whole = F.rpad(short, F.greatest(power + 1, size), "0")
-        large = F.rtrim(F.concat_ws(".", F.substring(whole, F.lit(1), power + 1), F.when(size > power + 1, F.substring(whole, power + 2, size))))
-        tail = F.format_string("e%s%02d", F.when(power < 0, "-").otherwise("+"), F.abs(power))
-        long = F.concat(F.concat_ws(".", F.substring(short, 1, 1), F.when(size > 1, F.substring(short, F.lit(2), size))), tail)
-        body = F.when((power < -4) | (power >= digits), long).when(power < 0, small).otherwise(large)
-        return F.when(short == "", "0").otherwise(F.concat(p["sign"], body))
-
-    def parts(text: Column) -> Column:
-        return F.struct(
-            F.when(text.startswith("-"), "-").otherwise("").alias("sign"),
-            F.regexp_replace(F.regexp_replace(F.split_part(text, F.lit("e"), F.lit(1)), "[-.]", ""), "0+$", "").alias("short"),
-            F.split_part(text, F.lit("e"), F.lit(2)).cast("int").alias("power"),
-        )
-
-    # Arrays of one element bind a value to a name, so that it is computed once.
-    found = F.transform(F.array(F.format_string(f"%.{digits - 1}e", x)), parts)
-    return F.transform(found, written)[0]
+    """A double as printf's %.<digits>g writes it: significant digits, no trailing zeros, an exponent where it is long.
+
+    A zero has no sign; null where there is no finite number."""
+
+    @F.arrow_udf(StringType())
+    def written(values: pa.Array) -> pa.Array:
+        # Equal numbers of a batch are written once; adding 0.0 takes the sign from a zero.
+        d = values.dictionary_encode()
+        return pa.array([f"{v + 0.0:.{digits}g}" if math.isfinite(v) else None for v in d.dictionary.to_pylist()], pa.string()).take(d.indices)
+
+    return written(x.cast("double"))
 
 
 FAULTS = ("count", "duplicate", "extent", "collinear", "crossing")

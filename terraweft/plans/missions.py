@@ -9,15 +9,17 @@ from terraweft.functions import geo
 from terraweft.operators import mission
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import edges_values
-from terraweft.session import table
+from terraweft.session import dealt, table
 from terraweft.sources.frames import AREA
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mission a customer; sizes, heights and laps follow from the key."""
+    """One mission a customer; sizes, heights and laps follow from the key.
+
+    A row makes a hundred: keys are dealt over tasks first, a mission's rows stay where they are made."""
     k = F.col("c_custkey")
     lap = F.array(*(mission.point(F.lit(a) + k % 3, F.lit(b) - k % 5) for a, b in ((10.0, 20.0), (60.0, 25.0), (70.0, 80.0), (15.0, 75.0))))
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         k.alias("mission"), (F.lit(40.0) + k % 160).alias("width"), (F.lit(30.0) + k % 90).alias("height"), (F.lit(20.0) + k % 5 * 5).alias("altitude"), (F.lit(20.0) + k % 4 * 5).alias("lap_altitude"),
         (F.lit(3.0) + k % 3).alias("speed"), (F.lit(4.0) + k % 2).alias("lap_speed"), (F.lit(3.0) + k % 4).alias("transfer_speed"), (F.lit(7.0) + k % 11).alias("spacing"),
         (k % 4).cast("int").alias("laps"), (k % 3).cast("double").alias("delay"), (k % 2 * 10).cast("double").alias("lap_delay"), F.lit(37.4119).alias("lat"), F.lit(-121.998).alias("lon"), F.lit(12.5).alias("home_alt"), lap.alias("lap"),
