@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terraweft.session import settle
+from terraweft.session import dealt, settle
 
 #: Candidates for a group's normal, views moved less than this (of the plane's distance) have no say, least z of a normal.
 CANDIDATES, MOVED, FACING = 64, 0.03, 0.1
@@ -76,25 +76,36 @@ def plane_normals(held: DataFrame, group: str, view: str, limit: float = 15.0) -
     Candidates are the ways of the group's first CANDIDATES / 2 views in a seeded order. A candidate's score is the median,
     over the views, of its gap to their nearest way; the best one picks each view's way, and the normal is the median of
     those by component. degrees is the median angle between it and them; past `limit` the group is no plane.
+
+    Views are dealt by group, and a group's candidates are one row: gaps are made and ranked where the views are.
     """
-    some = held.withColumn("ways", F.filter("ways", lambda w: (w["moved"] >= MOVED) & (w["nz"] > FACING))).where(F.size("ways") > 0)
+    some = held.select(group, view, F.filter("ways", lambda w: (w["moved"] >= MOVED) & (w["nz"] > FACING)).alias("ways")).where(F.size("ways") > 0)
+    some = dealt(some, group)
+    gap = lambda a, b: 1 - (a["nx"] * b["nx"] + a["ny"] * b["ny"] + a["nz"] * b["nz"])
     order = Window.partitionBy(group).orderBy(F.xxhash64(view), view)
     drawn = some.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CANDIDATES // 2)
-    drawn = settle(drawn.select(group, F.posexplode("ways").alias("_w", "candidate"), (F.col("_n") * 2).alias("_n")).select(group, (F.col("_n") + F.col("_w")).alias("_c"), "candidate"), "normals")
-    options = some.select(group, view, F.explode("ways").alias("way"))
-    met = options.join(drawn, group).groupBy(group, "_c", "candidate", view).agg(F.min(_gap("candidate", "way")).alias("gap"))
-    scores = met.groupBy(group, "_c", "candidate").agg(F.percentile("gap", F.lit(0.5)).alias("score"))
-    best = settle(scores.groupBy(group).agg(F.min_by("candidate", F.struct("score", "_c")).alias("best")), "best")
-    picked = options.join(best, group).groupBy(group, view).agg(F.min_by("way", _gap("best", "way")).alias("way"))
-    picked = settle(picked, "picked")
+    drawn = drawn.select(group, (F.col("_n") * 2).alias("_n"), F.posexplode("ways").alias("_w", "candidate")).groupBy(group)
+    drawn = settle(drawn.agg(F.array_sort(F.collect_list(F.struct((F.col("_n") + F.col("_w")).alias("c"), "candidate"))).alias("_drawn")), "normals")
+    gaps = F.transform("_drawn", lambda d: F.struct(d["c"].alias("c"), F.array_min(F.transform("ways", lambda w: gap(d["candidate"], w))).alias("gap")))
+    met = _beside(some, drawn, group).select(group, F.explode(gaps).alias("_m")).select(group, F.col("_m.c").alias("_c"), F.col("_m.gap").alias("gap"))
+    scores = met.groupBy(group, "_c").agg(F.percentile("gap", F.lit(0.5)).alias("score"))
+    best = scores.groupBy(group).agg(F.min(F.struct("score", "_c"))["_c"].alias("_c"))
+    best = settle(best.join(drawn, group).select(group, F.filter("_drawn", lambda d: d["c"] == F.col("_c"))[0]["candidate"].alias("best")), "best")
+    nearest = F.array_min(F.transform("ways", lambda w, i: F.struct(gap(F.col("best"), w).alias("gap"), i.alias("i"), w.alias("way"))))["way"]
+    picked = _beside(some, best, group).select(group, nearest.alias("way"))
     middle = picked.groupBy(group).agg(*(F.percentile(f"way.{c}", F.lit(0.5)).alias(c) for c in ("nx", "ny", "nz")))
     size = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
     normal = settle(middle.select(group, F.struct(*((F.col(c) / size).alias(c) for c in ("nx", "ny", "nz"))).alias("n")), "normal")
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - _gap("n", "way")))
-    error = picked.join(normal, group).groupBy(group, "n").agg(F.percentile(F.degrees(F.acos(cosine)), F.lit(0.5)).alias("degrees"))
+    error = _beside(picked, normal, group).groupBy(group, "n").agg(F.percentile(F.degrees(F.acos(cosine)), F.lit(0.5)).alias("degrees"))
     return error.select(group, "n.*", "degrees", (F.col("degrees") <= limit).alias("consistent"))
 
 
+def _beside(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Rows dealt by group with what their group has, which is brought to them."""
+    return rows.join(groups.hint("merge"), group)
+
+
 def camera_places(held: DataFrame, normals: DataFrame, group: str, view: str) -> DataFrame:
     """group, view, u, v: the cameras' places over the plane, in its distances from the reference camera, by the way that
     agrees with the group's normal. Groups without a consistent one, and views without ways, are left out.
