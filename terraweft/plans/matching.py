@@ -84,11 +84,11 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratio_matches(d: DataFrame, images: int) -> DataFrame:
     """Matches between neighbouring images whose nearest is clearly nearer than the second nearest.
 
-    Both sides are blocks of one image, joined by the pair of images; the two nearest are a bounded aggregate."""
+    Blocks of two images meet in tasks of bounded size, which leave what can be among the two nearest."""
     a = d.withColumn("to_image", (F.col("image_id") + 1) % images)
-    b = d.select(F.col("image_id").alias("to_image"), F.col("feat_id").alias("other"), F.col("desc").alias("other_desc"))
-    gap = F.round(F.sqrt(proximity.squared_gap(F.col("desc"), F.col("other_desc"))), 9)
-    ranked = a.join(b, "to_image").select("image_id", "feat_id", "other", gap.alias("gap"))
+    b = d.select(F.col("image_id").alias("to_image"), F.col("feat_id").alias("other"), "desc")
+    near = proximity.two_nearest(a, b, "to_image", ["image_id", "feat_id"], "other", "desc")
+    ranked = near.select("image_id", "feat_id", "other", F.round(F.sqrt("gap2"), 9).alias("gap"))
     first_two = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("feat_id").orderBy("gap", "other"))).where("rank <= 2")
     pair = first_two.groupBy("image_id", "feat_id").agg(F.min(F.struct("gap", "other")).alias("a"), F.max("gap").alias("second"), F.count("*").alias("n"))
     return pair.where((F.col("n") == 2) & (F.col("a.gap") < 0.95 * F.col("second"))).select("image_id", "feat_id", F.col("a.other").alias("other"))
