@@ -6,6 +6,7 @@ nothing gathers a whole map or a whole view's overlaps in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terraweft.operators import raster
 from terraweft.operators.graph import connected_components
 from terraweft.session import settle
 
@@ -183,6 +185,35 @@ def filled(cells: DataFrame, group: str, height: int) -> DataFrame:
     return cells.select(group, "row", "col").unionByName(holes)
 
 
+def _over(maps: np.ndarray, offsets: list[tuple[int, int]], beyond: bool) -> Iterator[np.ndarray]:
+    """Many maps (map, row, col) shifted by each of the offsets; what comes from beyond them is as told."""
+    reach = max(max(map(abs, o)) for o in offsets)
+    wide = np.pad(maps, ((0, 0), (reach, reach), (reach, reach)), constant_values=beyond)
+    for r, c in offsets:
+        yield wide[:, reach - r : reach - r + maps.shape[1], reach - c : reach - c + maps.shape[2]]
+
+
+def _grown_whole(maps: np.ndarray) -> np.ndarray:
+    """closed(), filled() and dilated(), on the maps of many groups at a time."""
+    grown = lambda m, by: reduce(np.logical_or, _over(m, by, False))
+    maps = reduce(np.logical_and, _over(grown(maps, ELLIPSE), ELLIPSE, True))
+    back = ~np.pad(maps, ((0, 0), (1, 1), (1, 1)))
+    outside = back & (raster.touching(back, [(0, 1), (1, 0)]) == 0)
+    return grown(~outside[:, 1:-1, 1:-1], SQUARE)
+
+
+def closed_regions(cells: DataFrame, group: str, rows: int, cols: int) -> DataFrame:
+    """group, row, col, region (its first place) of a map's cells closed by an ellipse, with their holes, grown by a cell.
+
+    Groups have nothing in common: those of a small map are streamed by tasks, the others' cells met by joins.
+    """
+    if rows * cols <= raster.PLACES:
+        return raster.map_regions(cells, group, rows, cols, _grown_whole)
+    whole = filled(settle(closed(cells, group, rows, cols), "closed"), group, rows)
+    grown = settle(dilated(whole, group, rows, cols), "grown")
+    return raster.cell_regions(grown, group, cols).withColumn("region", F.pmod("region", F.lit(1 << 32)))
+
+
 #: The binomial kernel of five taps.
 KERNEL = {-2: 1.0, -1: 4.0, 0: 6.0, 1: 4.0, 2: 1.0}
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,13 +145,69 @@ def disagreeing(cells: DataFrame, keys: list[str], variance: float, views: int)
     return s.where((spread > variance * whole) & (F.col("views") >= views)).select(*keys, (spread / whole).alias("variance"), "views")
 
 
-def cell_regions(cells: DataFrame, group: str, width: int) -> DataFrame:
-    """group, row, col, region: cells that touch at a side or corner share a region."""
+#: A map of so few places is one row of its group, and tasks stream such rows, FIELD places at a time.
+PLACES, FIELD = 4_096, 1 << 20
+AROUND = [(0, 1), (1, -1), (1, 0), (1, 1)]
+
+
+def joined(many: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 to many - 1 is joined with by the links i, j."""
+    low = np.arange(many)
+    while len(i):
+        np.minimum.at(low, np.maximum(low[i], low[j]), np.minimum(low[i], low[j]))
+        while (low[low] != low).any():
+            low = low[low]
+        apart = low[i] != low[j]
+        i, j = i[apart], j[apart]
+    return low
+
+
+def touching(maps: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Of each set place of many maps (map, row, col) the first place that it is connected with, as row * width + col."""
+    many, height, width = maps.shape
+    at = np.arange(maps.size).reshape(maps.shape)
+    ends = []
+    for r, c in steps:
+        a = (slice(None), slice(0, height - r), slice(max(0, -c), width - max(0, c)))
+        b = (slice(None), slice(r, height), slice(max(0, c), width - max(0, -c)))
+        both = maps[a] & maps[b]
+        ends.append((at[a][both], at[b][both]))
+    i, j = (np.concatenate(e) for e in zip(*ends, strict=True))
+    return joined(maps.size, i, j).reshape(maps.shape) % (height * width)
+
+
+def map_regions(cells: DataFrame, group: str, height: int, width: int, changed: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """group, row, col, region of cells within a small map, on the maps of many groups at a time, after `changed` has changed
+    these; region is its first place. A group's places become one row where they lie, if the cells were dealt by group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), max(1, FIELD // (height * width))):
+                part = b.iloc[lo : lo + max(1, FIELD // (height * width))]
+                maps = np.zeros((len(part), height * width), bool)
+                maps[np.repeat(np.arange(len(part)), part["_at"].map(len)), np.concatenate(part["_at"].to_list())] = True
+                maps = maps.reshape(-1, height, width)
+                maps = changed(maps) if changed else maps
+                g, r, c = np.nonzero(maps)
+                yield pd.DataFrame({group: part[group].to_numpy()[g], "row": r, "col": c, "region": touching(maps, AROUND)[g, r, c]})
+
+    place = (F.col("row") * width + F.col("col")).cast("int")
+    held = cells.where(F.col(group).isNotNull()).groupBy(group).agg(F.collect_list(place).alias("_at"))
+    return held.mapInPandas(run, f"`{group}` {dict(cells.dtypes)[group]}, row long, col long, region long")
+
+
+def cell_regions(cells: DataFrame, group: str, width: int, height: int | None = None) -> DataFrame:
+    """group, row, col, region: cells that touch at a side or corner share a region.
+
+    On a map of so few places as PLACES (height is its last row and one) tasks stream groups, else regions are found by joins.
+    """
+    if height is not None and height * width <= PLACES:
+        return map_regions(cells, group, height, width).withColumn("region", (F.col(group) * F.lit(1 << 32) + F.col("region")).cast("long"))
     from terraweft.operators.graph import connected_components
 
     node = (F.col(group) * F.lit(1 << 32) + F.col("row") * width + F.col("col")).cast("long")
     named = cells.select(group, "row", "col", node.alias("node"))
-    around = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    around = F.array(*(F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in AROUND))
     there = named.select(group, F.col("node").alias("src"), "row", "col", F.explode(around).alias("s"))
     there = there.select(group, "src", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
     touching = there.join(named.withColumnRenamed("node", "dst"), [group, "row", "col"]).select("src", "dst")

@@ -98,10 +98,8 @@ lab(session, row, col, region) USING KEY (session, row, col) AS (SELECT session,
 @query("R13_closed_regions", MORPH_SQL + " SELECT session, region, count(*) AS cells, min(row) AS top, max(row) AS bottom, min(col) AS west, max(col) AS east FROM lab GROUP BY session, region HAVING count(*) >= 12")
 def r13_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of disagreement of twelve cells and more: closed by an ellipse, their holes filled, grown by a cell."""
-    strong = settle(raster.disagreeing(cells(spark, sf_dir), ["session", "row", "col"], 7000.0, 3).select("session", "row", "col"), "strong")
-    whole = compositing.filled(settle(compositing.closed(strong, "session", ROWS, COLUMNS), "closed"), "session", ROWS)
-    grown = settle(compositing.dilated(whole, "session", ROWS, COLUMNS), "grown")
-    r = raster.cell_regions(grown, "session", COLUMNS).withColumn("region", F.col("region") % (1 << 32))
+    strong = raster.disagreeing(cells(spark, sf_dir), ["session", "row", "col"], 7000.0, 3).select("session", "row", "col")
+    r = compositing.closed_regions(strong, "session", ROWS, COLUMNS)
     box = r.groupBy("session", "region").agg(F.count("*").alias("cells"), F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("west"), F.max("col").alias("east"))
     return box.where("cells >= 12")
 

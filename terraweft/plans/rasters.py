@@ -164,8 +164,8 @@ REGION_SQL = f"WITH RECURSIVE {CELLS_SQL}, d AS (SELECT session, row, col FROM c
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strong = settle(raster.disagreeing(cells(spark, sf_dir), ["session", "row", "col"], 7000.0, 3), "cells")
-    return raster.cell_regions(strong, "session", COLUMNS)
+    strong = raster.disagreeing(cells(spark, sf_dir), ["session", "row", "col"], 7000.0, 3)
+    return raster.cell_regions(strong, "session", COLUMNS, ROWS)
 
 
 @query("R13_disagreeing_regions", REGION_SQL + " SELECT session, region, count(*) AS cells, min(row) AS top, max(row) AS bottom, min(col) AS west, max(col) AS east FROM reg GROUP BY session, region HAVING count(*) >= 2")
