@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from terraweft.operators import graph, proximity, spanning
 from terraweft.plans.catalog import query
 from terraweft.plans.geometry import LOCAL_SQL
-from terraweft.session import settle, table
+from terraweft.session import settle, split_join, table
 from terraweft.sources.frames import EDGES_SQL, FRAMES_SQL, descriptors, edges, frames
 
 WORDS = 16
@@ -247,12 +247,14 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(l: DataFrame) -> DataFrame:
-    """Union of observations that share a key: components of the bipartite graph, without pairs within a group."""
-    o = l.select("l_orderkey", "l_partkey").distinct()
-    parts = graph.connected_components(o.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_orderkey") * 2 + 1).alias("dst")))
-    # A track is named after its smallest point: even numbers are points.
-    points = settle(parts.where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("point"), "component"), "points")
-    return points.groupBy("component").agg(F.min("point").alias("track"), F.count("*").alias("points")).select("track", "points")
+    """Union of observations that share a key: each point of a key is linked with the key's smallest one, without pairs
+    within a group; keys are no nodes of their own. A track is named after its smallest point."""
+    o = l.select("l_orderkey", F.col("l_partkey").alias("point")).where("l_orderkey is not null and point is not null")
+    first = o.groupBy("l_orderkey").agg(F.min("point").alias("first"))
+    links = settle(split_join(o, first, "l_orderkey").select("first", "point").distinct(), "links")
+    parts = spanning.contracted_components(links.select(F.col("first").alias("src"), F.col("point").alias("dst")))
+    points = links.select("point").distinct().join(parts, F.col("point") == F.col("node"), "left")
+    return points.groupBy(F.coalesce("component", "point").alias("track")).agg(F.count("*").alias("points"))
 
 
 @query("A10_track_filter", "SELECT l_partkey AS track, count(*) AS observations FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(*) = count(DISTINCT l_orderkey)")
