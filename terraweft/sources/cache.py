@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,8 @@ class KeyedCache:
         name = uuid.uuid4().hex
         path = f"{self.folder}/segments/{name}"
         held = entries.select(*self.keys, *self.payload).withColumn("bucket", self._bucket())
-        held.repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{path}/entries")
+        # Several tasks share a bucket: of as many tasks as buckets a part would have none.
+        held.repartition("bucket", F.pmod(F.shiftright(F.xxhash64(*self.keys), 32), F.lit(4))).write.partitionBy("bucket").parquet(f"{path}/entries")
         own = self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{path}/entries")
         bits = own.select("bucket", F.explode(self._places()).alias("at")).groupBy("bucket", F.shiftright("at", 6).alias("slot"))
         bits = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63))).alias("bits"))
@@ -98,11 +100,15 @@ class KeyedCache:
     def candidates(self, keys: DataFrame) -> dict[str, list[int]]:
         """The buckets of each segment that may hold one of the keys, by the filters alone."""
         out: dict[str, list[int]] = {}
-        asked = keys.select(*self.keys).distinct().select(self._bucket().alias("bucket"), F.xxhash64(*self.keys).alias("_key"), F.explode(self._places()).alias("at")).withColumn("slot", F.shiftright("at", 6))
+        asked = keys.select(self._bucket().alias("bucket"), self._places().alias("_at"))
         for name in self.segments:
             held = self.spark.read.schema("bucket int, slot int, bits long").parquet(f"{self.folder}/segments/{name}/filter")
-            hit = asked.join(held, ["bucket", "slot"]).where(F.call_function("shiftright", "bits", F.col("at").bitwiseAND(63)).bitwiseAND(1) == 1)
-            some = hit.groupBy("bucket", "_key").agg(F.count("*").alias("n")).where(F.col("n") == HASHES).select("bucket").distinct().collect()
+            # A filter is of fixed size: keys are judged where they lie, each as one row.
+            bits = held.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("slot", "bits"))).alias("_m"))
+            bits = bits.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda s: F.coalesce(F.col("_m")[s], F.lit(0).cast("long"))).alias("_bits"))
+            places = [F.col("_at")[k] for k in range(HASHES)]
+            hit = [F.call_function("shiftright", F.col("_bits")[F.shiftright(p, 6)], p.bitwiseAND(63)).bitwiseAND(1) == 1 for p in places]
+            some = asked.join(F.broadcast(bits), "bucket").where(reduce(lambda x, y: x & y, hit)).select("bucket").distinct().collect()
             if some:
                 out[name] = sorted(r.bucket for r in some)
         return out
