@@ -153,8 +153,12 @@ def homography_jacobian(h: list[Column], u: Column, v: Column) -> tuple[Column,
 
 
 def normal_equations(rows: DataFrame, group: list[str], jacobian: str, target: str, weight: str) -> DataFrame:
-    """group, i, j, value of J'WJ (upper half, j <= 7) and of J'Wr (j = -1): a sparse system as one sum by position."""
-    r = rows.select(*group, F.col(weight).alias("_w"), F.col(target).alias("_t"), F.col(jacobian).alias("_j"), F.posexplode(jacobian).alias("i", "_a"))
-    whole = F.concat(F.array(F.struct(F.lit(-1).alias("j"), F.col("_t").alias("b"))), F.transform("_j", lambda b, j: F.struct(j.cast("int").alias("j"), b.alias("b"))))
-    r = r.select(*group, "i", (F.col("_w") * F.col("_a")).alias("_a"), F.explode(whole).alias("e")).where("e.j = -1 or e.j >= i")
-    return r.groupBy(*group, "i", F.col("e.j").alias("j")).agg(F.sum(F.col("_a") * F.col("e.b")).alias("value"))
+    """group, i, j, value of J'WJ (upper half, j <= 7) and of J'Wr (j = -1): a sparse system as one sum by position.
+
+    A row is added to the 44 sums of its group as it is: as a row for each position it would be shuffled and hashed 44 times."""
+    a = [F.get(F.col(jacobian), F.lit(k)) for k in range(8)]
+    ends = [(i, j, F.col(weight) * a[i] * (F.col(target) if j < 0 else a[j])) for i in range(8) for j in (-1, *range(i, 8))]
+    sums = rows.groupBy(*group).agg(*(F.sum(x).alias(f"_{n}") for n, (_, _, x) in enumerate(ends)))
+    at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{n}").alias("value")) for n, (i, j, _) in enumerate(ends)))
+    return sums.select(*group, F.explode(at).alias("_e")).select(*group, "_e.i", "_e.j", "_e.value").where("value is not null")
+
