@@ -214,10 +214,14 @@ def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
     hysteresis is below them)."""
     from terraweft.streaming.live_map import merged
 
-    c = settle(cells(spark, sf_dir).select("frame_id", "row", "col", "weight"), "cells")
-    last = c.agg(F.max("frame_id")).first()[0] or 0
+    last = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    batch = sum((F.col("frame_id") > last * k // 3).cast("int") for k in (1, 2))
+    # What a batch shows of a cell is its best view there: only that is kept, and no cell is written. Its weight and then its
+    # capture are plain numbers, which Spark hashes; a structure of both would have every cell sorted.
+    seen = cells(spark, sf_dir).select(batch.alias("batch"), "row", "col", "frame_id", "weight")
+    top = settle(seen.groupBy("batch", "row", "col").agg(F.max("weight").alias("weight")), "weights")
+    best = settle(seen.join(top, ["batch", "row", "col", "weight"]).groupBy("batch", "row", "col", "weight").agg(F.min("frame_id").alias("frame_id")), "batches")
     held = None
     for k in range(3):
-        part = c.where((F.col("frame_id") > last * k // 3 - (k == 0)) & (F.col("frame_id") <= last * (k + 1) // 3))
-        held = settle(merged(held, part, hysteresis=1e-12), "map")
+        held = settle(merged(held, best.where(F.col("batch") == k), hysteresis=1e-12), "map")
     return held.select("row", "col", "frame_id")
